@@ -62,6 +62,8 @@ def _settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     best[key[old]] = label[old]
 
     def improve(k, lab):
+        if not len(k):
+            return k
         order = np.lexsort((*lab.T[::-1], k))
         k, lab = k[order], lab[order]
         top = np.concatenate(([True], k[1:] != k[:-1]))
