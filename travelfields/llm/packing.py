@@ -22,13 +22,16 @@ END_ID = 2
 SLACK = 32
 #: Partitions whose leftover windows are merged together, round by round.
 FAN_IN = 16
-CACHE_WORDS = 1_500_000
+#: Words of one generation of the cache; the one before it is kept too, so frequent words stay.
+CACHE_WORDS = 400_000
+#: Characters that are split into words at a time.
+CHUNK_CHARS = 1 << 20
 SPECIAL = "<|endoftext|>"
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 CONTROL_SPACE = re.compile("[\\x1c-\\x1f]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_cache: dict[tuple[str, str], np.ndarray] = {}
+_caches: dict[str, list[dict[str, bytes]]] = {}
 _tokenizers: dict[str, object] = {}
 
 
@@ -45,41 +48,46 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def _learn(path: str, cache: dict, unknown: list[str]) -> None:
+def _learn(path: str, cache: dict[str, bytes], unknown: list[str]) -> None:
     """Encode words that are not cached yet, many joined by the special token, which marks their ends."""
     tok = tokenizer(path)
     end = tok.token_to_id(SPECIAL)
     odd = [w for w in unknown if end is None or "<|" in w or "|>" in w]
     plain = [w for w in unknown if not (end is None or "<|" in w or "|>" in w)]
     for w in odd:
-        cache[w] = np.array(tok.encode(w, add_special_tokens=False).ids, dtype="<u4")
+        cache[w] = np.array(tok.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
     for i in range(0, len(plain), 20_000):
         part = plain[i : i + 20_000]
         lines = [SPECIAL.join(part[j : j + 100]) for j in range(0, len(part), 100)]
-        encoded = tok.encode_batch_fast(lines, add_special_tokens=False)
-        for j, e in enumerate(encoded):
+        for j, e in enumerate(tok.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
-            cache.update(zip(part[100 * j : 100 * j + 100], np.split(ids, np.flatnonzero(ids == end))))
-    for w in plain:
-        ids = cache[w]
-        if len(ids) and ids[0] == end:
-            cache[w] = ids[1:].copy()
-
-
-def encode(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text, word by word from a cache that lives as long as its Python worker."""
-    cache = _cache.setdefault(path, {})
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    split = [split_words(t) for t in texts]
-    unknown = set()
-    for ws in split:
-        unknown.update(ws)
-    unknown.difference_update(cache)
-    if unknown:
-        _learn(path, cache, list(unknown))
-    for ws in split:
-        yield np.concatenate([cache[w] for w in ws]) if ws else np.zeros(0, dtype="<u4")
+            raw, cut = ids.tobytes(), [-1, *np.flatnonzero(ids == end).tolist(), len(ids)]
+            for w, a, b in zip(part[100 * j : 100 * j + 100], cut, cut[1:]):
+                cache[w] = raw[4 * a + 4 : 4 * b]
+
+
+def encode(texts: list[str], path: str) -> Iterator[bytes]:
+    """Ids of each text as little-endian 32-bit, word by word from a cache that lives as long as its Python worker."""
+    caches = _caches.setdefault(path, [{}, {}])
+    at = 0
+    while at < len(texts):
+        to, chars = at, 0
+        while to < len(texts) and (to == at or chars + len(texts[to]) <= CHUNK_CHARS):
+            chars += len(texts[to])
+            to += 1
+        if len(caches[0]) > CACHE_WORDS:
+            caches[:] = [{}, caches[0]]
+        new, old = caches
+        split = [split_words(t) for t in texts[at:to]]
+        unknown = set().union(*split).difference(new)
+        for w in [w for w in unknown if w in old]:
+            new[w] = old[w]
+        unknown.difference_update(new)
+        if unknown:
+            _learn(path, new, list(unknown))
+        for ws in split:
+            yield b"".join(map(new.__getitem__, ws))
+        at = to
 
 
 class Packer:
@@ -140,17 +148,17 @@ def _pack_texts(path: str, window: int, open_windows: int, end_id: int):
         packer = Packer(window, open_windows, TaskContext.get().partitionId() << 36)
         for batch in batches:
             done: list[tuple] = []
-            ids_of = [NULL_ID if d is None else d for d in batch.column(0).to_pylist()]
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(ids_of, encode(texts, path)):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                total, start = len(ids), 0
+            parts = (batch.slice(k, 512) for k in range(0, batch.num_rows, 512))
+            rows = ((NULL_ID if d is None else d, ids) for p in parts for d, ids in zip(p.column(0).to_pylist(), encode(["" if t is None else t for t in p.column(1).to_pylist()], path)))
+            for doc, ids in rows:
+                ids += end_id.to_bytes(4, "little")
+                total, start = len(ids) // 4, 0
                 while start < total:
                     take = min(window, total - start)
                     room = packer.fullest_room()
                     if SLACK <= room < take and packer.largest_room() < take:
                         take = room  # nothing else fits: cut the document to close the fullest without padding
-                    crc = zlib.crc32(ids[start : start + take].tobytes())
+                    crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + take)])
                     for closed in packer.add((doc, start, take, crc, total), take):
                         done += closed
                     start += take
