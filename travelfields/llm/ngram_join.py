@@ -30,8 +30,8 @@ N_WORDS = 5
 PERCENT = 75
 #: Longs in a text's bitmap.
 SIG_LONGS = 16
-#: How many frequent shingles are told apart when shingles are ordered; it bounds the broadcast to 16 MB.
-FREQUENT = 1_000_000
+#: How many frequent shingles are told apart when shingles are ordered; it bounds the broadcast to 4 MB.
+FREQUENT = 250_000
 NODE_ROWS = 256
 LEAF_ROWS = 16
 #: Texts compared with one other text in one task.
@@ -63,8 +63,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str | None, n: int = N_WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles, as int64."""
+def shingles(text: str | None, n: int = N_WORDS) -> np.ndarray:
+    """64-bit hashes of the text's shingles in their order, as int64."""
     ws = words(text)
     if not ws:
         return np.zeros(0, np.int64)
@@ -80,8 +80,13 @@ def shingle_set(text: str | None, n: int = N_WORDS) -> np.ndarray:
             acc = np.full(m, n, np.uint64)
             for i in range(n):
                 acc = acc * _P + h[i : i + m]
-        s = np.sort(_mixed(acc).view(np.int64))
-    return s[np.concatenate(([True], s[1:] != s[:-1]))]
+        return _mixed(acc).view(np.int64)
+
+
+def shingle_set(text: str | None, n: int = N_WORDS) -> np.ndarray:
+    """Sorted distinct shingles."""
+    s = np.sort(shingles(text, n))
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -103,7 +108,7 @@ def _frequent(n_words: int):
 
         for batch in batches:
             for t in batch.column(0):
-                s = shingle_set(t.as_py(), n_words)
+                s = shingles(t.as_py(), n_words)
                 buf.append(s)
                 held += len(s)
                 if held >= BUFFER:
@@ -344,7 +349,10 @@ def jaccard_groups(documents: DataFrame, n_words: int = N_WORDS, percent: int =
         comp = write_shared(connected_components(links), "ngram-comp")
     members = stars.select("key", F.col("a").alias("doc")).union(stars.select("key", "b")).distinct()
     members = write_shared(of(members, "doc").withColumnRenamed("c_doc", "comp"), "ngram-members")
-    apart = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    # Two texts of a root are its star, which is done. Roots with the same texts give the same pairs: one of them is enough.
+    same_texts = (F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("second"), "doc")).alias("x2"))
+    apart = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("texts"), *same_texts)
+    apart = apart.where("lo <> hi and texts > 2").groupBy("texts", "x1", "x2").agg(F.min("key").alias("key")).select("key")
     members = write_shared(members.join(apart, "key").join(size.withColumnRenamed("doc_id", "doc"), "doc"), "ngram-apart")
     if not members.isEmpty():
         rest = write_shared(tree_candidates(members, percent).join(tried, ["a", "b"], "left_anti"), "ngram-rest")
