@@ -201,5 +201,5 @@ def test_extract(spark, tmp_path):
 def test_entry_has_rows(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns == ["scenario", "metric", "cell", "zone_id", "trips", "best_cost", "cost_per_trip", "saving"]
+    assert entry.entry(spark).columns == ["scenario", "metric", "place", "point", "trips", "out", "back", "weekly", "total"] and entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
