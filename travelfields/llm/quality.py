@@ -137,7 +137,8 @@ def classify(documents: DataFrame, labels: DataFrame, host: Column, path: Column
     model = QualityModel.fit(documents, labels)
     cols = [c.alias(f"_kept{i}") for i, c in enumerate(kept)]
     names = documents.select(*kept).columns
-    scored = model.score(documents, *cols, host.alias("host"), path.alias("path"))
+    # Written, as sites need all scores before any row is done: each text is read and scored once.
+    scored = write_shared(model.score(documents, *cols, host.alias("host"), path.alias("path")), "quality-scores")
     sites, mean = site_posteriors(scored.select("host", "path", "doc_score"))
     sites = sites.withColumnsRenamed({"host": "of_host", "path": "of_path"})
     if sites.count() <= BROADCAST_SITES:
