@@ -6,6 +6,7 @@
    shingle of their prefixes. The texts that share a prefix shingle are the root of a tree.
 3. A root is first joined as a star around its smallest text. Most roots are groups of copies
    and end here, in as many pairs as texts.
+   A pair goes on only if the counts of shingles by hash bucket allow enough overlap.
 4. A root whose texts are not all connected by then is split into nodes that hold the OR of
    their texts' bitmaps and the range of their sizes. Node pairs, then leaf pairs, then text pairs
    are dropped where the largest overlap that bitmaps and sizes allow is too small, or where
@@ -24,12 +25,14 @@ from pyspark.sql import Window as W
 
 from travelfields.llm.text import words
 from travelfields.operators.components import connected_components
-from travelfields.shared import write_shared
+from travelfields.shared import drop_shared, write_shared
 
 N_WORDS = 5
 PERCENT = 75
 #: Longs in a text's bitmap.
 SIG_LONGS = 16
+#: Hash buckets by which a text's shingles are counted, one byte each.
+BUCKETS = 1024
 #: How many frequent shingles are told apart when shingles are ordered; it bounds the broadcast to 4 MB.
 FREQUENT = 250_000
 NODE_ROWS = 256
@@ -136,6 +139,12 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def _bucket_counts(s: np.ndarray) -> bytes:
+    """Shingles by bucket, from other bits of the hash than the bitmap; a bucket holds 255 at most."""
+    k = (s.view(np.uint64) >> np.uint64(40)) % np.uint64(BUCKETS)
+    return np.minimum(np.bincount(k.astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
 def _digest(s: np.ndarray) -> tuple[int, int]:
     import xxhash
 
@@ -144,7 +153,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-_DOC_DDL = "doc_id long, n long, d1 long, d2 long, sig array<long>, prefix array<long>"
+_DOC_DDL = "doc_id long, n long, d1 long, d2 long, sig array<long>, prefix array<long>, counts binary"
 
 
 def _describe(frequent, n_words: int, percent: int):
@@ -153,7 +162,7 @@ def _describe(frequent, n_words: int, percent: int):
         for batch in batches:
             ids, texts = _texts(batch)
             for at in range(0, len(ids), 512):
-                cols: list[list] = [[], [], [], [], [], []]
+                cols: list[list] = [[] for _ in range(7)]
                 for doc, t in zip(ids[at : at + 512], texts[at : at + 512]):
                     s = shingle_set(t.as_py(), n_words)
                     pre = s[:0]
@@ -165,11 +174,11 @@ def _describe(frequent, n_words: int, percent: int):
                             pre = s[np.lexsort((s, weight))[:p]]
                         else:
                             pre = s[:p]
-                    for c, v in zip(cols, (doc, len(s), *_digest(s), _signature(s), pre)):
+                    for c, v in zip(cols, (doc, len(s), *_digest(s), _signature(s), pre, _bucket_counts(s))):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int64()))],
-                    ["doc_id", "n", "d1", "d2", "sig", "prefix"],
+                    [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int64())), pa.array(cols[6], pa.binary())],
+                    ["doc_id", "n", "d1", "d2", "sig", "prefix", "counts"],
                 )
 
     return run
@@ -221,19 +230,43 @@ def _compare(percent: int):
     return run
 
 
+def _overlap_allowed(percent: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                b = batch.slice(at, 2048)
+                n_a, n_b = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
+                a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in ("counts_a", "counts_b"))
+                # What a full bucket doesn't hold may all be shared.
+                most = np.minimum(a, c).sum(1, dtype=np.int64) + np.minimum(n_a - a.sum(1, dtype=np.int64), n_b - c.sum(1, dtype=np.int64))
+                keep = pa.array(100 * most >= percent * (n_a + n_b - most))
+                yield pa.RecordBatch.from_arrays([b.column(k).filter(keep) for k in ("a", "b", "shared")], ["a", "b", "shared"])
+
+    return run
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, shared) those whose sizes and bucket counts allow the threshold; none that reaches it is lost."""
+    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
+    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(fits)
+    return both.mapInArrow(_overlap_allowed(percent), "a long, b long, shared long").groupBy("a", "b").agg(F.max("shared").alias("shared"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold. Only the texts in pairs are read into sets, and the partners of one
     text are split in chunks."""
     ids = write_shared(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ngram-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = write_shared(docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(_sets(n_words), "doc_id long, grams binary"), "ngram-sets")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = write_shared(docs.join(few, "doc_id").select("doc_id", "text").mapInArrow(_sets(n_words), "doc_id long, grams binary"), "ngram-sets")
     chunked = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(1 << 30)))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     chunked = write_shared(chunked.join(sizes, "a").select("a", "b", (F.col("chunk") % F.col("chunks")).alias("chunk")), "ngram-pairs")
     lead = chunked.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", "chunk", "grams").toDF("a_lead", "chunk_lead", "grams_lead")
     rest = chunked.join(sets, F.col("b") == F.col("doc_id")).select("a", "chunk", "b", "grams")
-    return write_shared(lead.groupBy("a_lead", "chunk_lead").cogroup(rest.groupBy("a", "chunk")).applyInArrow(_compare(percent), "a long, b long"), "ngram-links")
+    links = write_shared(lead.groupBy("a_lead", "chunk_lead").cogroup(rest.groupBy("a", "chunk")).applyInArrow(_compare(percent), "a long, b long"), "ngram-links")
+    drop_shared(ids, sets, chunked)
+    return links
 
 
 def _traverse(percent: int):
@@ -333,9 +366,8 @@ def jaccard_groups(documents: DataFrame, n_words: int = N_WORDS, percent: int =
     )
 
     size = usable.groupBy("doc_id").agg(F.max("n").alias("n"), F.first("sig").alias("sig"))
-    n_a, n_b = size.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
-    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    pairs = write_shared(stars.groupBy("a", "b").agg(F.count("*").alias("shared")).join(n_a, "a").join(n_b, "b").where(fits).select("a", "b", "shared"), "ngram-star-pairs")
+    met = write_shared(stars.groupBy("a", "b").agg(F.count("*").alias("shared")), "ngram-met")
+    pairs = write_shared(plausible(met, usable, percent), "ngram-star-pairs")
     # First each text with the star that it shares most shingles with, then what that left apart.
     best = write_shared(pairs.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m")["col2"]).alias("a"), "b"), "ngram-best")
     links = verify(best, docs, n_words, percent)
@@ -355,7 +387,8 @@ def jaccard_groups(documents: DataFrame, n_words: int = N_WORDS, percent: int =
     apart = apart.where("lo <> hi and texts > 2").groupBy("texts", "x1", "x2").agg(F.min("key").alias("key")).select("key")
     members = write_shared(members.join(apart, "key").join(size.withColumnRenamed("doc_id", "doc"), "doc"), "ngram-apart")
     if not members.isEmpty():
-        rest = write_shared(tree_candidates(members, percent).join(tried, ["a", "b"], "left_anti"), "ngram-rest")
+        found = write_shared(tree_candidates(members, percent).join(tried, ["a", "b"], "left_anti").withColumn("shared", F.lit(0).cast("long")), "ngram-found")
+        rest = write_shared(plausible(found, usable, percent).select("a", "b"), "ngram-rest")
         if not rest.isEmpty():
             links = links.unionByName(verify(rest, docs, n_words, percent))
             comp = write_shared(connected_components(links), "ngram-comp")
