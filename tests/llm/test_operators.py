@@ -57,6 +57,16 @@ def test_jaccard_groups(spark, docs, none):
     assert ngram_join.jaccard_groups(none).count() == 0
 
 
+def test_word_hashes_agree_over_long_texts():
+    """Texts of several segments, words longer than a segment, and white space at the cuts."""
+    text = "x" * 700_000 + " ab\tCd " + "y" * 300_000 + " q" * 400_000 + " ab É\x1cz"
+    ws, hashes = words(text), ngram_join.word_hashes(text.encode()).tolist()
+    of = dict(zip(ws, hashes))
+    assert len(ws) == len(hashes) and [of[w] for w in ws] == hashes and len(set(of.values())) == len(of)
+    assert ngram_join.word_hashes(b"CD " + b"x" * 700_000).tolist() == [of["cd"], of["x" * 700_000]]
+    assert len(ngram_join.word_hashes(b" \t ")) == 0
+
+
 def test_signature_tree_finds_what_stars_leave_apart(spark):
     """b and c link but neither links a, the star of the shingles that all three share."""
     common = [f"s{k}" for k in range(12)]
@@ -64,7 +74,7 @@ def test_signature_tree_finds_what_stars_leave_apart(spark):
     rows = [(1, " ".join([*common, *(f"a{k}" for k in range(60))])), (2, " ".join([*common, *body])), (3, " ".join([*common, *body[:70], *(f"c{k}" for k in range(6))]))]
     got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 2, 3: 2}
-    s = {d: ngram_join.shingle_set(t) for d, t in rows}
+    s = {d: ngram_join.shingle_set(t.encode()) for d, t in rows}
     members = spark.createDataFrame([(7, d, len(s[d]), d, ngram_join._signature(s[d]).tolist()) for d in s], "key long, doc long, n long, comp long, sig array<long>")
     assert [tuple(r) for r in ngram_join.tree_candidates(members).collect()] == [(2, 3)]
 

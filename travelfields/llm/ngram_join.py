@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from travelfields.llm.text import words
 from travelfields.operators.components import connected_components
 from travelfields.shared import drop_shared, write_shared
 
@@ -47,17 +46,13 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 
 
-class _Words(dict):
-    def __missing__(self, w):
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_words = _Words()
+#: Words are hashed in pieces of a text of about this many bytes.
+SEGMENT = 1 << 18
+_FOLDED = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BYTE = np.random.default_rng(10).integers(0, 2**64, 256, np.uint64)
+with np.errstate(over="ignore"):
+    _UP = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(SEGMENT, _P))))
+    _DOWN = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(SEGMENT, np.uint64(pow(int(_P), -1, 2**64))))))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -66,27 +61,56 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int = N_WORDS) -> np.ndarray:
-    """64-bit hashes of the text's shingles in their order, as int64."""
-    ws = words(text)
-    if not ws:
-        return np.zeros(0, np.int64)
+def _long_word(piece: bytes) -> np.ndarray:
+    total = 0
+    for at in range(0, len(piece), SEGMENT):
+        x = np.frombuffer(piece, np.uint8, min(SEGMENT, len(piece) - at), at)
+        total += int((_BYTE[x] * _UP[: len(x)]).sum()) * pow(int(_P), at, 2**64)
+    return np.array([total & _MASK], np.uint64)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word of a text in UTF-8: A-Z folded, cut at the bytes \\x20 and \\x09-\\x0D. A word's hash is a
+    polynomial of its bytes, taken as the difference of two running sums."""
+    text = text.translate(_FOLDED)
+    out, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > SEGMENT:
+            end = text.rfind(b" ", at, at + SEGMENT)
+            if end <= at:
+                end = text.find(b" ", at + 1)
+                end = len(text) if end < 0 else end
+        piece = text[at:end].strip(b" ")
+        at = end
+        if len(piece) > SEGMENT:
+            out.append(_long_word(piece))
+        elif piece:
+            data = np.frombuffer(piece, np.uint8)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE[data] * _UP[: len(data)], out=sums[1:])
+            inside = data != 32
+            edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+            start, stop = np.concatenate(([0], edge[1::2])), np.concatenate((edge[::2], [len(data)]))
+            out.append((sums[stop] - sums[start]) * _DOWN[start])
+    return _mixed(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text: bytes | None, n: int = N_WORDS) -> np.ndarray:
+    """64-bit hashes of the shingles of a text in UTF-8, in their order, as int64."""
     with np.errstate(over="ignore"):
-        h = np.fromiter(map(_words.__getitem__, ws), np.uint64, len(ws))
-        if len(h) < n:
-            h = h[None, :].copy()
-            acc = np.full(1, len(ws), np.uint64)
-            for i in range(h.shape[1]):
-                acc = acc * _P + _mixed(h[:, i])
-        else:
-            m = len(h) - n + 1
-            acc = np.full(m, n, np.uint64)
-            for i in range(n):
-                acc = acc * _P + h[i : i + m]
+        h = word_hashes(text or b"")
+        if not len(h):
+            return np.zeros(0, np.int64)
+        size = min(n, len(h))
+        m = len(h) - size + 1
+        acc = np.full(m, size, np.uint64)
+        for i in range(size):
+            acc = acc * _P + h[i : i + m]
         return _mixed(acc).view(np.int64)
 
 
-def shingle_set(text: str | None, n: int = N_WORDS) -> np.ndarray:
+def shingle_set(text: bytes | None, n: int = N_WORDS) -> np.ndarray:
     """Sorted distinct shingles."""
     s = np.sort(shingles(text, n))
     return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
@@ -97,7 +121,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _texts(batch):
-    return batch.column(0).to_pylist(), batch.column(1)
+    return batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
 
 
 def _frequent(n_words: int):
@@ -110,7 +134,7 @@ def _frequent(n_words: int):
             return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(counts[keep].astype(np.int64))], ["key", "n"])
 
         for batch in batches:
-            for t in batch.column(0):
+            for t in batch.column(0).cast(pa.binary()):
                 s = shingles(t.as_py(), n_words)
                 buf.append(s)
                 held += len(s)
