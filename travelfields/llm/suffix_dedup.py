@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from travelfields.shared import write_shared
+from travelfields.shared import drop_shared, write_shared
 
 LENGTH = 200
 BLOCK = 32
@@ -274,7 +274,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     many = found.groupBy("h").agg(F.count("*").alias("n"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("n > 1")
     many = write_shared(many.select("h", "n", (F.col("lo") != F.col("hi")).alias("mixed")), "rep-many")
     whole = found.join(many.where("not mixed").select("h"), "h").select("doc_id", "th", F.col("s").alias("start"), (F.col("e") + length).alias("end"))
-    mixed = found.join(many.where("mixed").select("h"), "h")
+    # Written, so that the join may split an anchor that holds many rows and the aggregate combines before it shuffles.
+    mixed = write_shared(found.join(many.where("mixed").select("h"), "h"), "rep-mixed")
     # Runs of the same bytes repeat one another; one of them is enough for the rest of the collection.
     alike = write_shared(mixed.groupBy("h", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "s", "e")).alias("r")), "rep-runs")
     whole = whole.unionByName(
@@ -287,6 +288,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = write_shared(docs.join(asked, ["doc_id", "th"]).select("doc_id", "th", "h", "pos", "s", "e", "runs", cut.alias("bytes")).dropDuplicates(["doc_id", "th", "pos", "s"]), "rep-texts")
     small = texts.where(F.col("runs") <= TASK_RUNS).drop("runs").repartition("h").sortWithinPartitions("h")
     marks = write_shared(whole.unionByName(small.mapInArrow(_sort_runs(length), "doc_id long, th long, start long, end long")), "rep-marks")
+    drop_shared(found, mixed)
     large = texts.where(F.col("runs") > TASK_RUNS).drop("runs")
     if not large.isEmpty():
         windows = write_shared(large.mapInArrow(_window_hashes(length), _WINDOW), "rep-windows")
