@@ -277,6 +277,36 @@ def test_forest_recall(spark):
     assert true.sum() > 1000 and sum(got.values()) >= 0.9 * true.sum() and all(got[k] <= true[k] for k in got)
 
 
+def test_forest_keeps_dense_groups_whole():
+    """Thousands of non-identical near copies in one label: no link may be lost by splits."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9000, 64))
+    x[:3000] = x[0] + rng.normal(size=(3000, 64)) * 0.26
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    label = np.zeros(9000, np.int32)
+    x, label = np.concatenate([x, x[::-1]]), np.concatenate([label, label + 7])
+    f = embedding_dedup.Forest(x, label, 1.0, 6)
+    for single in (False, True):  # by the trees themselves, and by the short way of one leaf
+        f.single[:] = single
+        row, leaf = f.leaves(x[:9000], label[:9000])
+        found = np.zeros((9000, 9000), bool)
+        for g in np.split(row[np.argsort(leaf, kind="stable")], np.flatnonzero(np.diff(np.sort(leaf))) + 1):
+            found[np.ix_(g, g)] |= True
+        true = x[:9000] @ x[:9000].T >= 0.93
+        assert true.sum() > 4_000_000 and (found & true).sum() >= 0.99 * true.sum()
+
+
+def test_dense_group_links(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64))
+    x[::3] = x[0] + rng.normal(size=(2000, 64)) * 0.26
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    true = (u @ u.T >= 0.93).sum(1) - 1
+    assert true.sum() > 1_000_000 and sum(got.values()) >= 0.99 * true.sum() and all(got[k] <= true[k] for k in got)
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(d, d != 12) for d, _, _ in TEXTS] + [(None, True), (1, None)], "doc_id long, good boolean")
     run = lambda d, lab: quality.classify(d, lab, F.col("source"), F.col("lang"), F.col("doc_id"), F.col("component")).collect()

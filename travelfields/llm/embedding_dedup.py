@@ -1,9 +1,11 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Each tree splits recursively at the median along a random direction; vectors near the
-median go to both sides (spill). Vectors are compared only inside leaves, so a pair is
-found if any tree keeps it together, and every comparison is exact. The forest is fitted
-on a bounded sample; every vector is put into all of its leaves."""
+Each tree splits recursively near the median along a random direction; vectors near the
+cut go to both sides (spill), in a band as wide as linked vectors are apart. A node whose
+band holds much of a label isn't split for that label, so dense groups stay whole. Vectors
+are compared only inside leaves, so a pair is found if any tree keeps it together, and
+every comparison is exact. The forest is fitted on a bounded sample; every vector is put
+into all of its leaves."""
 
 from __future__ import annotations
 
@@ -20,8 +22,13 @@ from travelfields.shared import write_shared
 THRESHOLD = 0.93
 TREES = 8
 LEAF_ROWS = 256
-#: Share of a node's rows that spill over its median, on each side.
-SPILL = 0.05
+#: Width of the band that spills to both sides, in standard deviations of the distance of a pair at the threshold.
+SPILL = 1.0
+#: A node is split for a label only if that leaves at most this share of its comparisons.
+GAIN = 0.8
+CUTS = (0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65)
+#: Rows of a label that the sample must have in all, and in a node, to judge splits by.
+LABEL_SAMPLE, NODE_SAMPLE = 64, 16
 #: The forest is fitted on at most this many vectors and has at most sample / 64 leaves a tree.
 SAMPLE_ROWS = 32_768
 #: Leaves above this are compared in tiles, each pair of tiles in a task of its own.
@@ -31,32 +38,68 @@ BROADCAST_LEAVES = 500_000
 
 
 class Forest:
-    """Directions and spill bounds of complete binary trees, heap order."""
+    """Directions and spill bounds of complete binary trees, heap order, and the nodes at which a label stays whole.
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 7):
+    A direction of normal numbers moves two vectors of cosine threshold apart by sqrt(2 - 2 threshold) as standard
+    deviation, so a band that wide keeps most linked pairs together at each node however dense the data is."""
+
+    def __init__(self, sample: np.ndarray, label: np.ndarray, scale: float, depth: int, trees: int = TREES, threshold: float = THRESHOLD, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.dim, self.depth, self.trees = sample.shape[1], depth, trees
-        inner = (1 << depth) - 1
+        inner, half = (1 << depth) - 1, SPILL * math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
         self.direction = rng.standard_normal((trees, inner, self.dim)).astype(np.float32)
-        self.low = np.zeros((trees, inner), np.float32)
-        self.high = np.zeros((trees, inner), np.float32)
+        self.low, self.high = np.full((trees, inner), -half, np.float32), np.full((trees, inner), half, np.float32)
+        names, n = np.unique(label, return_counts=True)
+        self.names = names[n >= LABEL_SAMPLE]
+        code, n_labels = self._code(label), len(self.names) + 1
+        # The last column is for labels with too few rows in the sample: those are split everywhere.
+        self.whole = np.zeros((trees, inner, n_labels), bool)
+        pairs = np.zeros(n_labels)
         for t in range(trees):
             rows = {0: np.arange(len(sample))}
             for node in range(inner):
                 r = rows.pop(node, np.zeros(0, int))
                 if len(r):
                     p = sample[r] @ self.direction[t, node]
-                    lo, hi = np.quantile(p, [0.5 - spill, 0.5 + spill])
-                    self.low[t, node], self.high[t, node] = lo, hi
-                    m = np.median(p)
-                    rows[2 * node + 1], rows[2 * node + 2] = r[p <= m], r[p > m]
-
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    # Of the cuts near the median, the one whose band holds least.
+                    cut, s = np.quantile(p, CUTS), np.sort(p)
+                    held = np.searchsorted(s, cut + half, "right") - np.searchsorted(s, cut - half)
+                    c = cut[np.lexsort((np.abs(np.array(CUTS) - 0.5), held))[0]]
+                    self.low[t, node], self.high[t, node] = c - half, c + half
+                    left, right = p <= self.high[t, node], p >= self.low[t, node]
+                    a, b, both = (np.bincount(code[r[k]], minlength=n_labels).astype(float) for k in (left, right, slice(None)))
+                    w = (both * scale <= LEAF_ROWS) | (both >= NODE_SAMPLE) & (a * a + b * b > GAIN * both * both)
+                    w[-1] = False
+                    self.whole[t, node] = w
+                    pairs += np.where(w, both * (both - 1), 0)
+                    go = ~w[code[r]]
+                    rows[2 * node + 1], rows[2 * node + 2] = r[left & go], r[right & go]
+            for r in rows.values():
+                both = np.bincount(code[r], minlength=n_labels).astype(float)
+                pairs += both * (both - 1)
+        # Labels that all trees together compare no less often than one leaf would: one leaf, which loses nothing.
+        n = np.bincount(code, minlength=n_labels).astype(float)
+        self.single = (pairs >= n * (n - 1)) | (depth == 0)
+        self.single[-1] = depth == 0
+
+    def _code(self, label: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.zeros(len(label), np.int64)
+        at = np.searchsorted(self.names, label).clip(0, len(self.names) - 1)
+        return np.where(self.names[at] == label, at, len(self.names))
+
+    def leaves(self, x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all rows; leaf numbers are unique over trees, ordered by row and leaf."""
-        out = []
+        code = self._code(label)
+        single = self.single[code]
+        out = [(np.flatnonzero(single), np.zeros(single.sum(), np.int64))]
         for t in range(self.trees):
-            row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+            row = np.flatnonzero(~single)
+            node = np.zeros(len(row), np.int64)
             for _ in range(self.depth):
+                stay = self.whole[t, node, code[row]]
+                out.append((row[stay], node[stay] + t * (2 << self.depth)))
+                row, node = row[~stay], node[~stay]
                 p = np.einsum("ij,ij->i", x[row], self.direction[t, node])
                 left, right = p <= self.high[t, node], p >= self.low[t, node]
                 row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
@@ -93,7 +136,7 @@ def _assign(forest, with_vector: bool):
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
                 x = _matrix(b.column("v"), f.dim).astype(np.float32)
-                row, leaf = f.leaves(x)
+                row, leaf = f.leaves(x, b.column("label").to_numpy())
                 if not with_vector:
                     yield pa.RecordBatch.from_arrays([b.column("label").take(pa.array(row)), b.column("dim").take(pa.array(row)), pa.array(leaf)], ["label", "dim", "leaf"])
                     continue
@@ -177,10 +220,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, trees:
     n_label = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     if not n_rows:
         return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = reps.orderBy(F.xxhash64("vec_id")).limit(SAMPLE_ROWS).select("v").toArrow()
+    sample = reps.orderBy(F.xxhash64("vec_id")).limit(SAMPLE_ROWS).select("v", "label").toArrow()
     x = _matrix(sample.column("v"), dim)
     depth = max(0, min(math.ceil(math.log2(max(1, n_label / LEAF_ROWS))), int(math.log2(max(1, len(x) / 64)))))
-    forest = reps.sparkSession.sparkContext.broadcast(Forest(x.astype(np.float32), depth, trees))
+    forest = reps.sparkSession.sparkContext.broadcast(Forest(x.astype(np.float32), sample.column("label").to_numpy(), n_rows / len(x), depth, trees, threshold))
 
     source = reps.select("vec_id", "m", "label", "dim", "v")
     leaves = write_shared(
