@@ -45,14 +45,13 @@ select event_id as line, 'p'||cast(user_id%18 as varchar) as id_par,
   case when event_type='signup' and event_id%3<>0 then cast(event_id%40+10 as varchar) else '' end as minutos_max
 from events""",
     "fx_points": """
-select c_custkey%20 as scenario, c_custkey as point,
+select c_custkey // 4 as scenario, c_custkey as point,
   cast(-335200000 + ((c_custkey*37)%n // 50)*9000 + 2000 as double)/1e7 as lat,
   cast(-707000000 + ((c_custkey*37)%n % 50)*11000 - 3000 as double)/1e7 as lon,
   c_custkey%15 as trips,
   case c_custkey%4 when 0 then 'punta_am' when 1 then 'valle' when 2 then 'madrugada' else 'nope' end as slot_out,
   case c_custkey%3 when 0 then 'punta_pm' when 1 then 'noche' else 'valle' end as slot_back
-from customer cross join (select count(*) as n from part) k
-where c_custkey < 80""",
+from customer cross join (select count(*) as n from part) k""",
 }
 
 
