@@ -17,6 +17,7 @@ from travelfields.operators import spatial as D
 from travelfields.operators import streets as G
 from travelfields.operators import surfaces as V
 from travelfields.operators.components import connected_components
+from travelfields.operators.indexing import dense_index
 from travelfields.sources import synthetic as S
 from travelfields.shared import write_shared
 
@@ -324,7 +325,7 @@ def d12_select_zones(spark, sf_dir):
 def r1_cost_field(spark, sf_dir):
     g = graph(spark, sf_dir)
     w = R.edge_weights(g.edges, g.nodes, S.slot_params(spark).where("slot = 'valle'"), R.metric_catalogue(spark).where("metric = 'tiempo'")).withColumn("weight_id", F.lit("v"))
-    src = g.nodes.where("node % 40 = 0").select(F.col("node").alias("field"), F.lit("v").alias("weight_id"), "node")
+    src = g.nodes.select(F.col("node").alias("field"), F.lit("v").alias("weight_id"), "node")
     return _q(R.cost_field(w.select("weight_id", "src", "dst", "w"), src, g.nodes, 0.01))
 
 
@@ -336,12 +337,19 @@ def r2_r4_point_fields(spark, sf_dir):
 
 
 def r5_reach_field(spark, sf_dir):
-    return _q(_reach(spark, sf_dir))
+    """From every point, in each metric and the slots that a trip out has in it."""
+    g, metrics = graph(spark, sf_dir), R.metric_catalogue(spark)
+    at = R.effective_slots(_points(spark, sf_dir).where("node is not null"), metrics).select("point", "node", "metric", F.col("slot_out").alias("slot"))
+    one = at.select("node", "metric", "slot").distinct().withColumn("key", F.concat_ws("|", "metric", "slot", F.lpad(F.col("node").cast("string"), 20, "0")))
+    keyed = write_shared(dense_index(one, "key", "field").select("field", "node", "metric", "slot"), "q-reach-fields")
+    reach = R.reach_field(keyed, g.edges, g.nodes, S.slot_params(spark), metrics)
+    asked = at.join(keyed, ["node", "metric", "slot"]).select("point", "metric", "slot", "field")
+    return _q(asked.join(reach, "field").select("point", "metric", "slot", "node", "cost"))
 
 
 def r6_od_routes(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return _q(R.od_routes(_pairs(spark, sf_dir), g.edges, g.nodes, S.slot_params(spark).where("slot in ('valle', 'punta_am')")))
+    return _q(R.od_routes(_pairs(spark, sf_dir), g.edges, g.nodes, S.slot_params(spark).where(F.col("slot").isin(*config.PRIORS))))
 
 
 def r7_metrics(spark, sf_dir):
@@ -362,7 +370,7 @@ def c3_summary(spark, sf_dir):
 
 
 def _places(spark, sf_dir):
-    p = S.table(spark, sf_dir, "fx_points").where("point % 4 = 1").select("point", "scenario", "lat", "lon")
+    p = S.table(spark, sf_dir, "fx_points").select("point", "scenario", "lat", "lon")
     return D.nearest_any(p, graph(spark, sf_dir).nodes).select(F.col("point").alias("place"), "scenario", "node")
 
 
