@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +23,16 @@ END_ID = 2
 SLACK = 32
 #: Partitions whose leftover windows are merged together, round by round.
 FAN_IN = 16
-#: Words of one generation of the cache; the one before it is kept too, so frequent words stay.
+#: Words that a Python worker remembers with their ids; beyond it the memory starts anew.
 CACHE_WORDS = 400_000
-#: Characters that are split into words at a time.
-CHUNK_CHARS = 1 << 20
+#: Bytes of texts that are split into words at a time.
+CHUNK_CHARS = 1 << 22
 SPECIAL = "<|endoftext|>"
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 CONTROL_SPACE = re.compile("[\\x1c-\\x1f]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_caches: dict[str, list[dict[str, bytes]]] = {}
-_tokenizers: dict[str, object] = {}
+_known: dict[str, KnownWords] = {}
 
 
 def split_words(text: str) -> list[str]:
@@ -40,56 +40,89 @@ def split_words(text: str) -> list[str]:
     return [w for w in SPACE.split(text) if w] if CONTROL_SPACE.search(text) else text.split()
 
 
-def tokenizer(path: str):
-    if path not in _tokenizers:
+class KnownWords:
+    """Ids of words in one flat array, with where each word's begin and how many they are."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
-
-
-def _learn(path: str, cache: dict[str, bytes], unknown: list[str]) -> None:
-    """Encode words that are not cached yet, many joined by the special token, which marks their ends."""
-    tok = tokenizer(path)
-    end = tok.token_to_id(SPECIAL)
-    odd = [w for w in unknown if end is None or "<|" in w or "|>" in w]
-    plain = [w for w in unknown if not (end is None or "<|" in w or "|>" in w)]
-    for w in odd:
-        cache[w] = np.array(tok.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    for i in range(0, len(plain), 20_000):
-        part = plain[i : i + 20_000]
-        lines = [SPECIAL.join(part[j : j + 100]) for j in range(0, len(part), 100)]
+        self.tok = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, unknown: list[str]) -> None:
+        """Encode words, many joined by the special token, which marks their ends."""
+        tok = self.tok
+        end = tok.token_to_id(SPECIAL)
+        odd = [w for w in unknown if end is None or "<|" in w or "|>" in w]
+        plain = [w for w in unknown if not (end is None or "<|" in w or "|>" in w)] if odd else unknown
+        found = [np.array(tok.encode(w, add_special_tokens=False).ids, np.uint32) for w in odd]
+        counts = [np.array([len(f) for f in found], np.int64)]
+        lines = [SPECIAL.join(plain[j : j + 100]) for j in range(0, len(plain), 100)]
         for j, e in enumerate(tok.encode_batch_fast(lines, add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
-            raw, cut = ids.tobytes(), [-1, *np.flatnonzero(ids == end).tolist(), len(ids)]
-            for w, a, b in zip(part[100 * j : 100 * j + 100], cut, cut[1:]):
-                cache[w] = raw[4 * a + 4 : 4 * b]
-
-
-def encode(texts: list[str], path: str) -> Iterator[bytes]:
-    """Ids of each text as little-endian 32-bit, word by word from a cache that lives as long as its Python worker."""
-    caches = _caches.setdefault(path, [{}, {}])
+            ids = np.array(e.ids, np.uint32)
+            cut = np.concatenate(([-1], np.flatnonzero(ids == end), [len(ids)]))
+            found.append(ids[ids != end])
+            counts.append(np.diff(cut) - 1)
+        count = np.concatenate(counts)
+        at = len(self.first)
+        self.index.update(zip([*odd, *plain], range(at, at + len(count))))
+        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count))
+        self.ids = np.concatenate((self.ids, *found))
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.index) > CACHE_WORDS:
+            self.forget()
+        get = self.index.get
+        out = np.array([get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            at = len(self.first)
+            unknown = [words[k] for k in new]
+            self.learn(unknown)
+            out[new] = [self.index[w] for w in unknown]
+            assert len(self.first) == at + len(new)
+        return out
+
+
+def _chunks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Lists of words, for at most CHUNK_CHARS bytes of texts at a time or one text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    odd = pc.match_substring_regex(texts, "[\\x1c-\\x1f]").to_numpy(zero_copy_only=False).astype(bool)
     at = 0
     while at < len(texts):
-        to, chars = at, 0
-        while to < len(texts) and (to == at or chars + len(texts[to]) <= CHUNK_CHARS):
-            chars += len(texts[to])
-            to += 1
-        if len(caches[0]) > CACHE_WORDS:
-            caches[:] = [{}, caches[0]]
-        new, old = caches
-        split = [split_words(t) for t in texts[at:to]]
-        unknown = set().union(*split).difference(new)
-        for w in [w for w in unknown if w in old]:
-            new[w] = old[w]
-        unknown.difference_update(new)
-        if unknown:
-            _learn(path, new, list(unknown))
-        for ws in split:
-            yield b"".join(map(new.__getitem__, ws))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_CHARS, "right")))
+        if odd[at]:
+            yield pa.array([split_words(texts[at].as_py())], pa.list_(pa.string()))
+            at += 1
+            continue
+        rare = np.flatnonzero(odd[at:to])
+        to = at + int(rare[0]) if len(rare) else to
+        yield pc.utf8_split_whitespace(texts.slice(at, to - at))
         at = to
 
 
+def encode(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
+    """Ids of each text, in columns: words are cut and told apart by Arrow, only words not seen before meet the tokenizer,
+    and ids are gathered by word number. What is known of words lives as long as the Python worker."""
+    if path not in _known:
+        _known[path] = KnownWords(path)
+    known = _known[path]
+    for lists in _chunks(texts):
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        word = known.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+        n = known.count[word]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = known.ids[np.arange(ends[-1]) + np.repeat(known.first[word] - ends[:-1], n)]
+        for a, b in zip(ends[offsets[:-1]], ends[offsets[1:]]):
+            yield ids[a:b]
+
+
 class Packer:
     """At most `open_windows` windows that still have room. add() places a piece best-fit; where none
     fits it closes the fullest and opens another."""
@@ -148,10 +181,9 @@ def _pack_texts(path: str, window: int, open_windows: int, end_id: int):
         packer = Packer(window, open_windows, TaskContext.get().partitionId() << 36)
         for batch in batches:
             done: list[tuple] = []
-            parts = (batch.slice(k, 512) for k in range(0, batch.num_rows, 512))
-            rows = ((NULL_ID if d is None else d, ids) for p in parts for d, ids in zip(p.column(0).to_pylist(), encode(["" if t is None else t for t in p.column(1).to_pylist()], path)))
-            for doc, ids in rows:
-                ids += end_id.to_bytes(4, "little")
+            names = batch.column(0).fill_null(NULL_ID).to_pylist()
+            for doc, found in zip(names, encode(batch.column(1).fill_null(""), path)):
+                ids = found.astype("<u4").tobytes() + end_id.to_bytes(4, "little")
                 total, start = len(ids) // 4, 0
                 while start < total:
                     take = min(window, total - start)
