@@ -7,27 +7,41 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table up to this many rows of a few longs (some tens of MB) is broadcast, a longer one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+_open_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private one is made (and named there)
-    only where the setting is absent, as in tests on one machine."""
+    """The folder named by spark.checkpoint.dir. Only where that is absent and all tasks run in this process, as in
+    tests, a private one is made (and named there); a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def write_shared(df: DataFrame, label: str) -> DataFrame:
-    """Write df under the shared folder and return the written table."""
+def write_shared(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df under the shared folder and return the written table. Inside scratch() it is deleted at the end
+    of the block, unless it is to be kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    if _open_scopes and not keep:
+        _open_scopes[-1].append(out)
     return out
 
 
@@ -39,3 +53,19 @@ def drop_shared(*tables: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written inside the block and not kept are deleted at its end, so what leaves the block must not
+    read them: write it with keep=True."""
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        drop_shared(*_open_scopes.pop())
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
