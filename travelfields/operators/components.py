@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from travelfields.shared import drop_shared, write_shared
+from travelfields.shared import drop_shared, scratch, write_shared
 
 
 def _nearest_neighbour(edges: DataFrame, round_no: int) -> DataFrame:
@@ -32,7 +32,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     is contracted, which removes a constant share of its nodes whatever its shape: long
     chains take as few rounds as stars. Only aggregates with map-side combine and joins of
     written tables are used, so the hub of a huge component is split by adaptive skew
-    handling. Rounds grow with the logarithm of the nodes."""
+    handling. Rounds grow with the logarithm of the nodes. The result is a written table."""
+    with scratch():
+        return write_shared(_contract(edges, max_rounds), "cc-named", keep=True)
+
+
+def _contract(edges: DataFrame, max_rounds: int) -> DataFrame:
     clean = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where(
         F.col("a").isNotNull() & F.col("b").isNotNull()
     )

@@ -34,14 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def write_shared(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df under the shared folder and return the written table. Inside scratch() it is deleted at the end
-    of the block, unless it is to be kept."""
+    of the block; what is to be kept goes with the block around that one, if there is one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
-    if _open_scopes and not keep:
-        _open_scopes[-1].append(out)
+    scopes = _open_scopes[:-1] if keep else _open_scopes
+    if scopes:
+        scopes[-1].append(out)
     return out
 
 
