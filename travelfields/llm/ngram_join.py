@@ -4,42 +4,49 @@
    text of each class goes on.
 2. Under one global order of shingles, rare ones first, two sets at or above the threshold share a
    shingle of their prefixes. The texts that share a prefix shingle are the root of a tree.
-3. A root is first joined as a star around its smallest text. Most roots are groups of copies
-   and end here, in as many pairs as texts.
-   A pair goes on only if the counts of shingles by hash bucket allow enough overlap.
-4. A root whose texts are not all connected by then is split into nodes that hold the OR of
-   their texts' bitmaps and the range of their sizes. Node pairs, then leaf pairs, then text pairs
-   are dropped where the largest overlap that bitmaps and sizes allow is too small, or where
-   both sides are one component already.
-5. Surviving pairs are compared exactly.
+3. Stars come first, as an order of work: each text is compared with one other, the least text of the roots
+   that it shares most prefix shingles with. Most roots are groups of copies and end here, in as many pairs as texts.
+4. What a root still holds of different components goes through its tree: texts in order of size and least
+   bit form leaves and nodes, which hold the OR of their texts' bitmaps and the range of their sizes. The dual
+   traversal drops pairs of nodes, of leaves and of texts where the largest overlap that bitmaps and sizes
+   allow is too small, or where both sides are one component already. A first wave proposes a forest of
+   text pairs over components, the second, over what is then still apart, all. So links inside a component are not all enumerated.
+5. A pair goes on only if the counts of shingles by hash bucket allow enough overlap, and is then compared exactly.
 
 Neither the order of shingles nor the choice of stars changes which components come out."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from travelfields.llm.text import row_hash
 from travelfields.operators.components import connected_components
-from travelfields.shared import drop_shared, write_shared
+from travelfields.shared import scratch, small, write_shared
 
 N_WORDS = 5
 PERCENT = 75
-#: Longs in a text's bitmap.
+#: Longs in the bitmap by which nodes of large roots are compared, and the least of a text's own.
 SIG_LONGS = 16
+#: A text's bitmap has 16 bits for each shingle, rounded up to a power of two, up to these longs.
+MOST_LONGS = 64
 #: Hash buckets by which a text's shingles are counted, one byte each.
 BUCKETS = 1024
-#: How many frequent shingles are told apart when shingles are ordered; it bounds the broadcast to 4 MB.
+#: How many frequent shingles are told apart when shingles are ordered; it bounds the broadcast to 2 MB.
 FREQUENT = 250_000
-NODE_ROWS = 256
-LEAF_ROWS = 16
+#: Waves of trees: the first proposes pairs that would join all components if they linked, the last all pairs.
+WAVES = (True, False)
+#: Texts of a node (of a root that has more), of an inner node and of a leaf.
+NODE_ROWS, INNER_ROWS, LEAF_ROWS = 2048, 64, 8
+#: Rows of roots that are traversed in one task's turn.
+TURN_ROWS = 8192
 #: Texts compared with one other text in one task.
 CHUNK = 512
-#: A list of ids up to this long (8 MB) is broadcast to the texts; a longer one is joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 BUFFER = 1 << 21
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -120,24 +127,28 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _texts(batch):
-    return batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+def _eligible(s: np.ndarray) -> np.ndarray:
+    """Half of all shingles, by their hash: these come first in the order, and only they are counted."""
+    return s >= 0
+
+
+def _short(s: np.ndarray) -> np.ndarray:
+    return s.astype(np.uint64).astype(np.uint32).view(np.int32)
 
 
-def _frequent(n_words: int):
+def _count(n_words: int):
     def run(batches):
         buf, held = [], 0
 
         def flush():
             keys, counts = np.unique(np.concatenate(buf), return_counts=True)
-            keep = counts >= 3
-            return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(counts[keep].astype(np.int64))], ["key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int32))], ["key", "n"])
 
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()):
                 s = shingles(t.as_py(), n_words)
-                buf.append(s)
-                held += len(s)
+                buf.append(_short(s[_eligible(s)]))
+                held += len(buf[-1])
                 if held >= BUFFER:
                     yield flush()
                     buf, held = [], 0
@@ -148,18 +159,20 @@ def _frequent(n_words: int):
 
 
 def frequent_shingles(docs: DataFrame, n_words: int = N_WORDS, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles and their rank by count. Each task counts all its shingles and passes on those that it
-    met at least three times in a buffer; the sums order shingles by how common they are."""
-    rows = docs.select("text").mapInArrow(_frequent(n_words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 8")
+    """The most frequent eligible shingles, by 32 bits of their hash, and their rank by count over the whole corpus. Any shingle
+    that isn't listed is rarer than all that are."""
+    rows = docs.select("text").mapInArrow(_count(n_words), "key int, n int").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 4")
     top = rows.orderBy(F.desc("n"), "key").limit(most).toPandas().sort_values("key")
-    rank = np.empty(len(top), np.int64)
+    rank = np.empty(len(top), np.int32)
     rank[np.lexsort((top["key"].to_numpy(), top["n"].to_numpy()))] = np.arange(1, len(top) + 1)
-    return top["key"].to_numpy(np.int64), rank
+    return top["key"].to_numpy(np.int32), rank
 
 
 def _signature(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SIG_LONGS * 64, np.uint8)
-    bits[(s.view(np.uint64) % np.uint64(SIG_LONGS * 64)).astype(np.int64)] = 1
+    """A text's bitmap as longs. A wider one folds into a narrower one by OR of its parts."""
+    longs = min(MOST_LONGS, max(SIG_LONGS, 1 << max(0, len(s) // 4 - 1).bit_length()))
+    bits = np.zeros(longs * 64, np.uint8)
+    bits[(s.view(np.uint64) % np.uint64(len(bits))).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
@@ -177,33 +190,37 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-_DOC_DDL = "doc_id long, n long, d1 long, d2 long, sig array<long>, prefix array<long>, counts binary"
+def prefix(s: np.ndarray, keys: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first shingles of a set in the global order: eligible ones by count, then the others, each by hash."""
+    weight = np.zeros(len(s), np.int64)
+    if len(keys) and len(s):
+        short = _short(s)
+        k = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+        weight = np.where(keys[k] == short, rank[k], 0).astype(np.int64)
+    weight[~_eligible(s)] = 1 << 40
+    return s[np.lexsort((s, weight))[: prefix_length(len(s), percent)]] if len(s) else s
+
+
+_SET = "h1 long, h2 long, doc_id long, n long, d1 long, d2 long, sig array<long>, prefix array<long>, counts binary"
 
 
 def _describe(frequent, n_words: int, percent: int):
+    names = [c.split()[0] for c in _SET.split(", ")]
+    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+
     def run(batches):
         keys, rank = frequent.value
         for batch in batches:
-            ids, texts = _texts(batch)
-            for at in range(0, len(ids), 512):
-                cols: list[list] = [[] for _ in range(7)]
-                for doc, t in zip(ids[at : at + 512], texts[at : at + 512]):
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                cols: list[list] = [[] for _ in range(6)]
+                for t in b.column("text").cast(pa.binary()):
                     s = shingle_set(t.as_py(), n_words)
-                    pre = s[:0]
-                    if len(s):
-                        p = prefix_length(len(s), percent)
-                        if len(keys):
-                            k = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                            weight = np.where(keys[k] == s, rank[k], 0)
-                            pre = s[np.lexsort((s, weight))[:p]]
-                        else:
-                            pre = s[:p]
-                    for c, v in zip(cols, (doc, len(s), *_digest(s), _signature(s), pre, _bucket_counts(s))):
+                    row = (len(s), *_digest(s), _signature(s), prefix(s, keys, rank, percent), _bucket_counts(s))
+                    for c, v in zip(cols, row):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int64())), pa.array(cols[6], pa.binary())],
-                    ["doc_id", "n", "d1", "d2", "sig", "prefix", "counts"],
-                )
+                arrays = [*(b.column(c) for c in ("h1", "h2", "doc_id")), *(pa.array(c, kind) for c, kind in zip(cols, kinds[3:]))]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
@@ -212,7 +229,7 @@ def _local_stars(batches):
     """Per batch, (key, doc, star): star is null for the least text of a key, which goes on to meet other batches,
     and that text for the others of the batch. So a shingle in very many texts is met once for each batch."""
     for batch in batches:
-        docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        docs = batch.column("row").to_numpy(zero_copy_only=False)
         lists = batch.column("prefix")
         counts = np.diff(lists.offsets.to_numpy())
         keys = lists.flatten().to_numpy(zero_copy_only=False)
@@ -229,10 +246,10 @@ def _local_stars(batches):
 def _sets(n_words: int):
     def run(batches):
         for batch in batches:
-            ids, texts = _texts(batch)
-            for at in range(0, len(ids), 256):
+            rows, texts = batch.column("row"), batch.column("text").cast(pa.binary())
+            for at in range(0, len(rows), 256):
                 part = [shingle_set(t.as_py(), n_words).tobytes() for t in texts[at : at + 256]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256], pa.int64()), pa.array(part, pa.binary())], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([rows[at : at + 256], pa.array(part, pa.binary())], ["row", "grams"])
 
     return run
 
@@ -264,108 +281,280 @@ def _overlap_allowed(percent: int):
                 # What a full bucket doesn't hold may all be shared.
                 most = np.minimum(a, c).sum(1, dtype=np.int64) + np.minimum(n_a - a.sum(1, dtype=np.int64), n_b - c.sum(1, dtype=np.int64))
                 keep = pa.array(100 * most >= percent * (n_a + n_b - most))
-                yield pa.RecordBatch.from_arrays([b.column(k).filter(keep) for k in ("a", "b", "shared")], ["a", "b", "shared"])
+                yield pa.RecordBatch.from_arrays([b.column(k).filter(keep) for k in ("a", "b")], ["a", "b"])
 
     return run
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, shared) those whose sizes and bucket counts allow the threshold; none that reaches it is lost."""
-    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
+    """Of distinct pairs (a, b) those whose sizes and bucket counts allow the threshold; none that reaches it is lost."""
+    of = lambda c: sets.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
     fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where(fits)
-    return both.mapInArrow(_overlap_allowed(percent), "a long, b long, shared long").groupBy("a", "b").agg(F.max("shared").alias("shared"))
-
-
-def verify(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold. Only the texts in pairs are read into sets, and the partners of one
-    text are split in chunks."""
-    ids = write_shared(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ngram-ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = write_shared(docs.join(few, "doc_id").select("doc_id", "text").mapInArrow(_sets(n_words), "doc_id long, grams binary"), "ngram-sets")
-    chunked = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(1 << 30)))
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    chunked = write_shared(chunked.join(sizes, "a").select("a", "b", (F.col("chunk") % F.col("chunks")).alias("chunk")), "ngram-pairs")
-    lead = chunked.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", "chunk", "grams").toDF("a_lead", "chunk_lead", "grams_lead")
-    rest = chunked.join(sets, F.col("b") == F.col("doc_id")).select("a", "chunk", "b", "grams")
-    links = write_shared(lead.groupBy("a_lead", "chunk_lead").cogroup(rest.groupBy("a", "chunk")).applyInArrow(_compare(percent), "a long, b long"), "ngram-links")
-    drop_shared(ids, sets, chunked)
-    return links
-
-
-def _traverse(percent: int):
-    """Leaf pairs, then text pairs, of one pair of nodes."""
-
-    def bound(n_a, n_b, pop_a, pop_b, shared):
-        return np.minimum(n_a - (pop_a - shared), n_b - (pop_b - shared))
+    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where(fits).mapInArrow(_overlap_allowed(percent), "a long, b long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, as a written table. Only the texts in pairs are read into sets, and the
+    partners of one text are split in chunks. pairs is a written table, docs has h1, h2 and text."""
+    with scratch():
+        ids = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct().join(sets.select("row", "h1", "h2"), "row")
+        few = small(write_shared(ids, "ngram-ids"))
+        # Rows that repeat one another have one hash: one of them is enough.
+        texts = docs.join(few, ["h1", "h2"]).groupBy("row").agg(F.first("text").alias("text"))
+        grams = write_shared(texts.mapInArrow(_sets(n_words), "row long, grams binary"), "ngram-sets")
+        sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+        chunk = F.pmod(F.xxhash64("b"), F.lit(1 << 30)) % F.col("chunks")
+        chunked = write_shared(pairs.join(sizes, "a").select("a", "b", chunk.alias("chunk")), "ngram-pairs")
+        lead = chunked.select("a", "chunk").distinct().join(grams, F.col("a") == F.col("row")).select("a", "chunk", "grams").toDF("a_lead", "chunk_lead", "grams_lead")
+        rest = chunked.join(grams, F.col("b") == F.col("row")).select("a", "chunk", "b", "grams")
+        links = lead.groupBy("a_lead", "chunk_lead").cogroup(rest.groupBy("a", "chunk")).applyInArrow(_compare(percent), "a long, b long")
+        return write_shared(links, "ngram-links", keep=True)
+
+
+def _fold(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """The same bitmap in a width (longs) that divides its own."""
+    return np.bitwise_or.reduce(bitmap.reshape(-1, size), 0)
+
+
+def _least_bit(bitmap: np.ndarray) -> int:
+    at = int(np.argmax(bitmap != 0))
+    word = int(bitmap[at])
+    return 64 * at + (word & -word).bit_length()
+
+
+class _Node:
+    """Texts of a tree: rows in the task's arrays, the OR of their bitmaps, the range of their sizes and their set bits."""
+
+    def __init__(self, rows, maps, n, kids=()):
+        size = min(len(m) for m in maps)
+        maps = [_fold(m, size) for m in maps]
+        self.rows, self.kids, self.map = rows, kids, np.bitwise_or.reduce(maps)
+        self.pop = min(k.folded_pop(size) for k in kids) if kids else min(int(np.bitwise_count(m).sum()) for m in maps)
+        self.lo, self.hi = n[rows].min(), n[rows].max()
+        self.maps = None if kids else np.stack(maps)
+
+    def folded_pop(self, size: int) -> int:
+        """Bits that each text below has at least, in this width."""
+        if size == len(self.map):
+            return self.pop
+        return min(k.folded_pop(size) for k in self.kids) if self.kids else min(int(np.bitwise_count(_fold(m, size)).sum()) for m in self.maps)
+
+
+def _apart(a: _Node, b: _Node, percent: int) -> bool:
+    """Whether no text of a can link a text of b."""
+    if 100 * a.hi < percent * b.lo or 100 * b.hi < percent * a.lo:
+        return True
+    size = min(len(a.map), len(b.map))
+    shared = int(np.bitwise_count(_fold(a.map, size) & _fold(b.map, size)).sum())
+    most = min(a.hi - max(0, a.folded_pop(size) - shared), b.hi - max(0, b.folded_pop(size) - shared))
+    return (100 + percent) * most < percent * (a.lo + b.lo)
+
+
+class _Labels:
+    """Components of a turn's texts; with `forest` a proposed pair counts as a link at once."""
+
+    def __init__(self, comp: np.ndarray, forest: bool):
+        self.forest = forest
+        self.code = np.unique(comp, return_inverse=True)[1]
+        self.label = np.arange(int(self.code.max(initial=-1)) + 1)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        return self.label[self.code[rows]]
+
+    def join(self, c: int, d: int) -> None:
+        self.label[self.label == d] = c
+
+
+def traverse(left: np.ndarray, right: np.ndarray | None, maps: list[np.ndarray], n: np.ndarray, labels: _Labels, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Text pairs that the dual traversal of two trees (of one, if right is None) leaves. left, right: rows of the arrays."""
+
+    def tree(rows):
+        least = np.array([_least_bit(_fold(maps[i], SIG_LONGS)) for i in rows])
+        of = labels.of(rows)
+        count = np.unique(of, return_inverse=True, return_counts=True)
+        own = np.where(count[2][count[1]] >= LEAF_ROWS, of, -1)  # larger components have leaves of their own
+        rows = rows[np.lexsort((least, n[rows], own))]
+        leaves = [_Node(r, [maps[i] for i in r], n) for r in (rows[k : k + LEAF_ROWS] for k in range(0, len(rows), LEAF_ROWS))]
+        step = INNER_ROWS // LEAF_ROWS
+        groups = [leaves[k : k + step] for k in range(0, len(leaves), step)]
+        return [_Node(np.concatenate([x.rows for x in g]), [x.map for x in g], n, g) for g in groups]
+
+    out = []
+
+    def visit(a: _Node, b: _Node):
+        la, lb = labels.of(a.rows), labels.of(b.rows)
+        if (la == la[0]).all() and (lb == la[0]).all() or _apart(a, b, percent):
+            return
+        if a.kids:
+            for p, x in enumerate(a.kids):
+                for y in a.kids[p:] if a is b else b.kids:
+                    visit(x, y)
+            return
+        size = min(a.maps.shape[1], b.maps.shape[1])
+        ma, mb = (np.bitwise_or.reduce(x.maps.reshape(len(x.rows), -1, size), 1) for x in (a, b))
+        shared = np.bitwise_count(ma[:, None, :] & mb[None, :, :]).sum(2, dtype=np.int64)
+        pop_a, pop_b = (np.bitwise_count(m).sum(1, dtype=np.int64) for m in (ma, mb))
+        na, nb = n[a.rows], n[b.rows]
+        overlap = np.minimum(na[:, None] - (pop_a[:, None] - shared), nb[None, :] - (pop_b[None, :] - shared))
+        over = (100 + percent) * overlap - percent * (na[:, None] + nb[None, :])
+        x, y = np.nonzero((over >= 0) & (la[:, None] != lb[None, :]))
+        if labels.forest and len(x):
+            kept = []
+            for k in np.argsort(-over[x, y], kind="stable"):  # what overlaps most first
+                c, d = (int(labels.label[labels.code[i]]) for i in (a.rows[x[k]], b.rows[y[k]]))
+                if c != d:
+                    labels.join(c, d)
+                    kept.append(k)
+            x, y = x[kept], y[kept]
+        out.append((a.rows[x], b.rows[y]))
+
+    first = tree(left)
+    second = first if right is None else tree(right)
+    for p, a in enumerate(first):
+        for b in first[p:] if right is None else second:
+            visit(a, b)
+    return out
+
+
+def _turn(percent: int, forest: bool):
+    """All roots, or pairs of nodes of large roots, of one turn."""
 
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        doc, n, comp = (table.column(c).to_numpy() for c in ("doc", "n", "comp"))
-        sig = np.array(table.column("sig").to_pylist(), np.int64).view(np.uint64).reshape(len(doc), -1)
-        pop = np.bitwise_count(sig).sum(1).astype(np.int64)
-        own = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-
-        def leaves(rows):
-            rows = rows[np.lexsort((doc[rows], n[rows]))]
-            return [rows[k : k + LEAF_ROWS] for k in range(0, len(rows), LEAF_ROWS)]
-
-        left = leaves(np.flatnonzero(side == 0))
-        right = left if own else leaves(np.flatnonzero(side == 1))
-        node = lambda rows: (np.bitwise_or.reduce(sig[rows], 0), n[rows].min(), n[rows].max(), pop[rows].min(), comp[rows].min(), comp[rows].max())
-        out_a, out_b = [], []
-        nodes_l, nodes_r = [node(r) for r in left], [node(r) for r in right]
-        for p, a in enumerate(left):
-            ora, lo_a, hi_a, pop_a, c_a, d_a = nodes_l[p]
-            for q in range(p if own else 0, len(right)):
-                b = right[q]
-                orb, lo_b, hi_b, pop_b, c_b, d_b = nodes_r[q]
-                if c_a == d_a == c_b == d_b or 100 * hi_a < percent * lo_b or 100 * hi_b < percent * lo_a:
-                    continue
-                shared = int(np.bitwise_count(ora & orb).sum())
-                most = min(hi_a - max(0, pop_a - shared), hi_b - max(0, pop_b - shared))
-                if (100 + percent) * most < percent * (lo_a + lo_b):
-                    continue
-                both = np.bitwise_count(sig[a][:, None, :] & sig[b][None, :, :]).sum(2).astype(np.int64)
-                most = bound(n[a][:, None], n[b][None, :], pop[a][:, None], pop[b][None, :], both)
-                ok = ((100 + percent) * most >= percent * (n[a][:, None] + n[b][None, :])) & (comp[a][:, None] != comp[b][None, :])
-                x, y = np.nonzero(ok)
-                out_a += [doc[a[x]]]
-                out_b += [doc[b[y]]]
-        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        key, i, j, side, doc, n, comp = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "doc", "n", "comp"))
+        lists = table.column("sig").combine_chunks()
+        maps = np.split(lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py())
+        order = np.lexsort((side, j, i, key))
+        edge = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        found, labels = [], _Labels(comp, forest)
+        for rows in np.split(order, edge):
+            own = i[rows[0]] == j[rows[0]]
+            of = labels.of(rows)
+            if (of != of[0]).any():
+                found += traverse(rows if own else rows[side[rows] == 0], None if own else rows[side[rows] == 1], maps, n, labels, percent)
+        a, b = (np.concatenate([doc[f[k]] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
     return run
 
 
-def tree_candidates(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+def tree_candidates(members: DataFrame, percent: int = PERCENT, forest: bool = False) -> DataFrame:
     """members: written (key, doc, n, comp, sig), roots by key. Returns distinct pairs (a, b) of different components whose
-    largest possible overlap reaches the threshold."""
+    largest possible overlap reaches the threshold: all, or with `forest` in each turn as many as would join
+    its components.
+
+    A root of more than NODE_ROWS texts is split into nodes by size band, component and least bit, and pairs of its nodes that the
+    bounds leave are traversed each on its own."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / NODE_ROWS).alias("nodes"))
-    tiled = write_shared(members.join(sizes, "key").withColumn("node", F.pmod(F.xxhash64("doc"), F.col("nodes"))).drop("nodes"), "ngram-nodes")
-    bit = [F.col("sig")[k].alias(f"s{k}") for k in range(SIG_LONGS)]
-    flat = tiled.select("key", "node", "n", "comp", *bit)
-    pop = sum((F.bit_count(f"s{k}") for k in range(1, SIG_LONGS)), F.bit_count("s0"))
-    nodes = flat.withColumn("pop", pop).groupBy("key", "node").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pop").alias("pop"), F.min("comp").alias("c"), F.max("comp").alias("d"),
-        *(F.bit_or(f"s{k}").alias(f"s{k}") for k in range(SIG_LONGS)),
-    )
-    nodes = write_shared(nodes, "ngram-tree")
-    a = nodes.select(*(F.col(c).alias(c if c == "key" else f"a_{c}") for c in nodes.columns))
-    b = nodes.select(*(F.col(c).alias(c if c == "key" else f"b_{c}") for c in nodes.columns))
-    shared = sum((F.bit_count(F.col(f"a_s{k}").bitwiseAND(F.col(f"b_s{k}"))) for k in range(1, SIG_LONGS)), F.bit_count(F.col("a_s0").bitwiseAND(F.col("b_s0"))))
-    lost = lambda s: F.greatest(F.lit(0), F.col(f"{s}_pop") - shared)
-    most = F.least(F.col("a_hi") - lost("a"), F.col("b_hi") - lost("b"))
-    node_pairs = a.join(b, "key").where(
-        (F.col("a_node") <= F.col("b_node"))
-        & ~((F.col("a_c") == F.col("a_d")) & (F.col("b_c") == F.col("b_d")) & (F.col("a_c") == F.col("b_c")))
-        & (F.col("a_hi") * 100 >= F.col("b_lo") * percent) & (F.col("b_hi") * 100 >= F.col("a_lo") * percent)
-        & (most * (100 + percent) >= (F.col("a_lo") + F.col("b_lo")) * percent)
-    ).select("key", F.col("a_node").alias("i"), F.col("b_node").alias("j"))
-    node_pairs = write_shared(node_pairs, "ngram-node-pairs")
-    one = node_pairs.join(tiled.withColumnRenamed("node", "i"), ["key", "i"]).withColumn("side", F.lit(0))
-    two = node_pairs.where("i <> j").join(tiled.withColumnRenamed("node", "j"), ["key", "j"]).withColumn("side", F.lit(1))
-    return one.unionByName(two).groupBy("key", "i", "j").applyInArrow(_traverse(percent), "a long, b long").distinct()
+    band = F.floor(F.log(F.col("n")) / math.log(1.15)).cast("long")
+    # The least bit that is set, as longs by place and value, stands for the least shingle.
+    place = F.expr("array_position(transform(sig, x -> x <> 0), true)").cast("int")
+    least = F.element_at("sig", place)
+    below = F.coalesce(F.try_subtract(least, F.lit(1)), F.lit(2**63 - 1))
+    alike = F.when(F.col("comp") == F.col("doc"), F.xxhash64(place, least.bitwiseAND(F.bitwise_not(below)))).otherwise(F.xxhash64("comp"))
+    node = F.when(F.col("nodes") == 1, F.lit(0)).otherwise(band * (1 << 32) + F.pmod(alike, F.col("nodes")))
+    tiled = write_shared(members.join(sizes, "key").withColumn("node", node.cast("long")), "ngram-nodes")
+    one = tiled.where("nodes = 1").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "doc", "n", "comp", "sig", F.lit(0).alias("side"))
+    large = tiled.where("nodes > 1").drop("nodes")
+    if not large.isEmpty():
+        bit = [F.expr(f"aggregate(sequence({k}, size(sig) - 1, {SIG_LONGS}), 0L, (o, x) -> o | sig[x])").alias(f"s{k}") for k in range(SIG_LONGS)]
+        pop = sum((F.bit_count(f"s{k}") for k in range(1, SIG_LONGS)), F.bit_count("s0"))
+        nodes = large.select("key", "node", "n", "comp", *bit).withColumn("pop", pop).groupBy("key", "node").agg(
+            F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pop").alias("pop"), F.min("comp").alias("c"), F.max("comp").alias("d"),
+            *(F.bit_or(f"s{k}").alias(f"s{k}") for k in range(SIG_LONGS)),
+        )
+        nodes = write_shared(nodes, "ngram-tree")
+        a, b = (nodes.select(*(F.col(c).alias(c if c == "key" else f"{s}_{c}") for c in nodes.columns)) for s in "ab")
+        shared = sum((F.bit_count(F.col(f"a_s{k}").bitwiseAND(F.col(f"b_s{k}"))) for k in range(1, SIG_LONGS)), F.bit_count(F.col("a_s0").bitwiseAND(F.col("b_s0"))))
+        lost = lambda s: F.greatest(F.lit(0), F.col(f"{s}_pop") - shared)
+        largest = F.least(F.col("a_hi") - lost("a"), F.col("b_hi") - lost("b"))
+        pairs = a.join(b, "key").where(
+            (F.col("a_node") <= F.col("b_node"))
+            & ~((F.col("a_c") == F.col("a_d")) & (F.col("b_c") == F.col("b_d")) & (F.col("a_c") == F.col("b_c")))
+            & (F.col("a_hi") * 100 >= F.col("b_lo") * percent) & (F.col("b_hi") * 100 >= F.col("a_lo") * percent)
+            & (largest * (100 + percent) >= (F.col("a_lo") + F.col("b_lo")) * percent)
+        ).select("key", F.col("a_node").alias("i"), F.col("b_node").alias("j"))
+        pairs = write_shared(pairs, "ngram-node-pairs")
+        for c, s in (("i", 0), ("j", 1)):
+            part = (pairs if s == 0 else pairs.where("i <> j")).join(large.withColumnRenamed("node", c), ["key", c]).withColumn("side", F.lit(s))
+            one = one.unionByName(part.select(*one.columns))
+    one = write_shared(one, "ngram-turns")
+    turns = max(1, one.count() // TURN_ROWS)
+    return one.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(turns)).alias("turn")).applyInArrow(_turn(percent, forest), "a long, b long").distinct()
+
+
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links between them."""
+    if comp is None:
+        return connected_components(links)
+    more = connected_components(_with(_with(links, comp, "a"), comp, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    up = more.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = comp.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = more.join(comp.select("node"), "node", "left_anti")
+    return write_shared(old.unionByName(new.select("node", "component")), "ngram-comp")
+
+
+def _with(df: DataFrame, comp: DataFrame, c: str) -> DataFrame:
+    named = comp.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    return df.join(named, c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
+
+
+def _linked(sets: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """(row, component) of written sets that have links or copies, as rows."""
+    usable = sets.where("n > 0")
+    classes = write_shared(usable.groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"), "ngram-classes")
+    copies = write_shared(usable.select("row", "d1", "d2").join(small(classes), ["d1", "d2"]).where("row <> rep").select("row", "rep"), "ngram-copies")
+    reps = usable.join(small(copies.select("row")), "row", "left_anti")
+    stars = reps.select("row", "prefix").mapInArrow(_local_stars, "key long, doc long, star long")
+    # Stars of a batch only ride along; a salt keeps those of a common shingle apart.
+    salt = F.when(F.col("star").isNull(), F.lit(0)).otherwise(F.col("doc"))
+    lead = F.min("doc").over(W.partitionBy("key", salt))
+    stars = write_shared(stars.withColumn("a", F.coalesce("star", lead)).where("a <> doc").select("key", "a", F.col("doc").alias("b")), "ngram-stars")
+
+    sizes = sets.select("row", "n", "counts")
+    met = stars.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    tried = write_shared(met.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m")["col2"]).alias("a"), "b"), "ngram-best")
+    comp = _joined(None, verify(write_shared(plausible(tried, sizes, percent), "ngram-star-pairs"), sets, docs, n_words, percent))
+    texts = write_shared(stars.select("key", F.col("a").alias("doc")).union(stars.select("key", "b")).distinct(), "ngram-texts")
+    for forest in WAVES:
+        members = write_shared(_with(texts, comp, "doc").withColumnRenamed("c_doc", "comp"), "ngram-members")
+        # Roots with the same texts give the same pairs: one of them is enough. A root of two texts is a pair.
+        same_texts = (F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("second"), "doc")).alias("x2"))
+        apart = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("texts"), F.min("doc").alias("a"), F.max("doc").alias("b"), *same_texts)
+        apart = write_shared(apart.where("lo <> hi").groupBy("texts", "x1", "x2").agg(F.min("key").alias("key"), F.min("a").alias("a"), F.min("b").alias("b")), "ngram-apart")
+        if apart.isEmpty():
+            break
+        roots = members.join(apart.where("texts > 2").select("key"), "key").join(sets.select(F.col("row").alias("doc"), "n", "sig"), "doc")
+        found = apart.where("texts = 2").select("a", "b").unionByName(tree_candidates(write_shared(roots, "ngram-roots"), percent, forest)).distinct()
+        found = write_shared(found.join(tried, ["a", "b"], "left_anti"), "ngram-found")
+        rest = write_shared(plausible(found, sizes, percent), "ngram-rest")
+        if not rest.isEmpty():
+            comp = _joined(comp, verify(rest, sets, docs, n_words, percent))
+        tried = tried.unionByName(found)
+    copies = _with(copies.withColumnRenamed("rep", "a"), comp, "a").select("row", F.col("c_a").alias("component"))
+    return copies.unionByName(comp.select(F.col("node").alias("row"), "component"))
+
+
+def jaccard_rows(documents: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT, identity: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, h1, h2, is_first) for each row of documents (doc_id, text), as jaccard_groups has it.
+
+    h1 and h2 are a hash of the identity columns (doc_id and text, if none are given); is_first marks one row of
+    each component: that with the smallest doc_id, null ids last. A row without shingles is a component of its own."""
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_hash(*(identity or (F.col("doc_id"), F.col("text")))))
+    with scratch():
+        docs = keyed.select("h1", "h2", "doc_id", "text")
+        frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n_words))
+        # The number that a row gets when it is written names it from here on.
+        sets = write_shared(docs.mapInArrow(_describe(frequent, n_words, percent), _SET).withColumn("row", F.monotonically_increasing_id()), "ngram-docs")
+        linked = write_shared(_linked(sets, docs, n_words, percent), "ngram-linked")
+        rows = sets.select("row", "doc_id", "h1", "h2", F.col("n").alias("n_shingles")).join(linked, "row", "left").withColumn("component", F.coalesce("component", "row"))
+        rows = write_shared(rows, "ngram-rows", keep=True)
+        several = rows.join(linked.select("component").distinct(), "component", "left_semi")
+        nulls_last = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+        first = several.groupBy("component").agg(F.min("doc_id").alias("least"), F.min(nulls_last)["row"].alias("first"))
+        first = write_shared(first, "ngram-first", keep=True)
+    out = rows.join(first, "component", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "h1", "h2", (F.coalesce("first", "row") == F.col("row")).alias("is_first"))
 
 
 def jaccard_groups(documents: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -373,58 +562,8 @@ def jaccard_groups(documents: DataFrame, n_words: int = N_WORDS, percent: int =
 
     Texts link where 100 * |A and B| >= percent * |A or B|; component_id is the smallest doc_id reachable.
     A text of fewer than n_words words is one shingle; a null, empty or blank text has no shingle, links
-    with nothing and is its own component. Equal texts link always. doc_id names a document: rows that
-    repeat it are returned each, and links of any of them join its component. A null doc_id links
-    with nothing and its component is null. Other columns are ignored. Empty input: no rows."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n_words))
-    sets = write_shared(docs.mapInArrow(_describe(frequent, n_words, percent), _DOC_DDL), "ngram-docs")
-    usable = sets.where("n > 0 and doc_id is not null")
-    least = usable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "prefix")).alias("r")).select("r.doc_id", "r.prefix")
-    stars = least.mapInArrow(_local_stars, "key long, doc long, star long")
-    # Stars of a batch only ride along; a salt keeps those of a common shingle apart.
-    salt = F.when(F.col("star").isNull(), F.lit(0)).otherwise(F.col("doc"))
-    lead = F.min("doc").over(W.partitionBy("key", salt))
-    stars = write_shared(
-        stars.withColumn("a", F.coalesce("star", lead)).where("a <> doc").select("key", "a", F.col("doc").alias("b")), "ngram-stars"
-    )
-
-    size = usable.groupBy("doc_id").agg(F.max("n").alias("n"), F.first("sig").alias("sig"))
-    met = write_shared(stars.groupBy("a", "b").agg(F.count("*").alias("shared")), "ngram-met")
-    pairs = write_shared(plausible(met, usable, percent), "ngram-star-pairs")
-    # First each text with the star that it shares most shingles with, then what that left apart.
-    best = write_shared(pairs.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m")["col2"]).alias("a"), "b"), "ngram-best")
-    links = verify(best, docs, n_words, percent)
-    tried = best
-    comp = write_shared(connected_components(links), "ngram-comp")
-    of = lambda df, c: df.join(comp.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
-    open_pairs = write_shared(of(of(pairs.join(tried, ["a", "b"], "left_anti"), "a"), "b").where("c_a <> c_b").select("a", "b"), "ngram-open")
-    if not open_pairs.isEmpty():
-        links = links.unionByName(verify(open_pairs, docs, n_words, percent))
-        tried = tried.unionByName(open_pairs)
-        comp = write_shared(connected_components(links), "ngram-comp")
-    members = stars.select("key", F.col("a").alias("doc")).union(stars.select("key", "b")).distinct()
-    members = write_shared(of(members, "doc").withColumnRenamed("c_doc", "comp"), "ngram-members")
-    # Two texts of a root are its star, which is done. Roots with the same texts give the same pairs: one of them is enough.
-    same_texts = (F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("second"), "doc")).alias("x2"))
-    apart = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("texts"), *same_texts)
-    apart = apart.where("lo <> hi and texts > 2").groupBy("texts", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-    members = write_shared(members.join(apart, "key").join(size.withColumnRenamed("doc_id", "doc"), "doc"), "ngram-apart")
-    if not members.isEmpty():
-        found = write_shared(tree_candidates(members, percent).join(tried, ["a", "b"], "left_anti").withColumn("shared", F.lit(0).cast("long")), "ngram-found")
-        rest = write_shared(plausible(found, usable, percent).select("a", "b"), "ngram-rest")
-        if not rest.isEmpty():
-            links = links.unionByName(verify(rest, docs, n_words, percent))
-            comp = write_shared(connected_components(links), "ngram-comp")
-
-    classes = write_shared(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
-    same = sets.where("n > 0").join(classes, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    named = usable.join(classes, ["d1", "d2"]).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"), "rep", "d1", "d2")
-    repeated = usable.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y")
-    if not repeated.isEmpty():  # a doc_id with several texts joins their classes
-        comp = write_shared(connected_components(links.unionByName(same)), "ngram-comp")
-        named = usable.select("doc_id").distinct().join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("c"))
-    else:
-        named = named.select("doc_id", "c").distinct()
-    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(write_shared(named, "ngram-named"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    with nothing and is its own component. Equal texts link always. Each row is a document: rows that
+    repeat a doc_id with different texts link by their own texts, and a row with a null doc_id links like any
+    other, but names no component (null if no row of it has an id). Very long texts are hashed in pieces. Other columns
+    are ignored. Empty input: no rows."""
+    return jaccard_rows(documents, n_words, percent).select("doc_id", "n_shingles", "component_id")

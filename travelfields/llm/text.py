@@ -18,3 +18,9 @@ def word_array(text: Column) -> Column:
     """The same as a Column of array<string>."""
     cut = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[\\x20\\x09-\\x0D]+")
     return F.filter(cut, lambda w: w != "")
+
+
+def row_hash(*columns: Column) -> list[Column]:
+    """h1 and h2: 128 bits that stand for a row's values in these columns, nulls told apart."""
+    flat = [x for c in columns for x in (c.isNull(), c)]
+    return [F.xxhash64(*flat).alias("h1"), F.xxhash64(F.lit("second"), *flat).alias("h2")]
