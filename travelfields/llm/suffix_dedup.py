@@ -7,8 +7,9 @@ construction runs over many small collections of short, aligned strings:
 1. Every window of `length` bytes has an anchor, the least hash of the BLOCK-byte blocks in
    it. Equal windows have equal anchors at equal places, so only occurrences of one anchor
    can hold a repeated window. An occurrence carries the run of windows that it anchors.
-2. Anchors that occur once are done, and so are those whose runs have all the same bytes.
-3. The others fetch the bytes of their runs. Runs of one anchor, aligned at it, are the
+2. Anchors that occur once are done. Runs of one anchor with the same length, place and 128-bit hash of their bytes repeat
+   one another whole, and one of them stands for all from here on.
+3. Anchors that still have different runs fetch their bytes. Runs of one anchor, aligned at it, are the
    documents of a small collection. Column by column from the right, one symbol of each run
    is inserted: the order of suffixes is refined by a stable pass over the symbols, and the
    common prefixes of neighbours are updated from the last column's. A window is repeated
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from travelfields.shared import drop_shared, write_shared
+from travelfields.shared import drop_shared, scratch, small, write_shared
 
 LENGTH = 200
 BLOCK = 32
@@ -35,10 +36,12 @@ TASK_RUNS = 20_000
 #: Runs that are sorted together, from one or more anchors.
 SORT_RUNS = 8_000
 SEGMENT = 1 << 18
+#: Spans of up to this many texts are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_SPANS = 200_000
 NULL_ID = -(2**63)
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_TABLE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
+_TABLE, _TABLE2 = np.random.default_rng(20).integers(0, 2**64, (2, 256), np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -71,7 +74,7 @@ def _range_hash(sums: np.ndarray, start, end):
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> Iterator[tuple[np.ndarray, ...]]:
-    """(hash, position, first window, last window, hash of the run's bytes) of each anchor of one text."""
+    """(hash, position, first window, last window, two hashes of the run's bytes, place and length) of each anchor of one text."""
     for at in range(0, max(0, len(data) - length + 1), SEGMENT):
         seg = data[at : at + SEGMENT + length - 1]
         n_windows = len(seg) - length + 1
@@ -93,19 +96,19 @@ def anchors(data: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> Itera
         first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
         last = np.concatenate((first[1:], [n_windows])) - 1
         pos = where[first]
-        sums = _sums(x)
-        run = _mix(_range_hash(sums, first, last + length) + (pos - first).astype(np.uint64) * _P + (last - first).astype(np.uint64))
-        yield h[pos].view(np.int64), pos + at, first + at, last + at, run.view(np.int64)
+        shape = (pos - first).astype(np.uint64) * _P + (last - first).astype(np.uint64)
+        runs = [_mix(_range_hash(_sums(v), first, last + length) + shape).view(np.int64) for v in (x, _TABLE2[seg])]
+        yield h[pos].view(np.int64), pos + at, first + at, last + at, *runs
 
 
-_ANCHOR = "doc_id long, th long, h long, pos long, s long, e long, run long"
+_ANCHOR = "doc_id long, th long, h long, pos long, s long, e long, run long, run2 long"
 
 
 def _find(length: int):
     def run(batches):
         for batch in batches:
             ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             held = 0
             for doc, th, b in zip(ids, hashes, batch.column("bytes")):
                 data = np.frombuffer(b.as_buffer(), np.uint8)
@@ -116,7 +119,7 @@ def _find(length: int):
                     held += n
                 if held > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], _ANCHOR_NAMES)
-                    cols, held = [[] for _ in range(7)], 0
+                    cols, held = [[] for _ in range(8)], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], _ANCHOR_NAMES)
 
@@ -232,18 +235,19 @@ def _sort_runs(length: int):
     return run
 
 
-_WINDOW = "h long, at long, w long, doc_id long, th long, p long"
+_WINDOW = "h long, at long, w binary, doc_id long, th long, p long"
 
 
-def _window_hashes(length: int):
+def _windows(length: int):
     def run(batches):
         for batch in batches:
             docs, ths, h, pos, s = (batch.column(c).to_numpy() for c in ("doc_id", "th", "h", "pos", "s"))
             for k, b in enumerate(batch.column("bytes")):
                 data = np.frombuffer(b.as_buffer(), np.uint8)
-                w = _range_hash(_sums(_TABLE[data]), p := np.arange(len(data) - length + 1), p + length).view(np.int64)
+                p = np.arange(len(data) - length + 1)
                 n = len(p)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v)) if np.ndim(v) == 0 else pa.array(v) for v in (h[k], p + s[k] - pos[k], w, docs[k], ths[k], p + s[k])], ["h", "at", "w", "doc_id", "th", "p"])
+                w = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), n, [None, pa.py_buffer(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(np.full(n, v)) if np.ndim(v) == 0 else pa.array(v) for v in (h[k], p + s[k] - pos[k], w, docs[k], ths[k], p + s[k])], ["h", "at", "w", "doc_id", "th", "p"])
 
     return run
 
@@ -269,33 +273,33 @@ def _keyed(documents: DataFrame) -> DataFrame:
 def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, th, spans): for each text with repeats, the maximal runs of bytes covered by strings of `length`
     bytes that start in two or more places. th is a hash of the text; a null doc_id is NULL_ID."""
-    docs = _keyed(documents)
-    found = write_shared(docs.where(F.octet_length("bytes") >= length).mapInArrow(_find(length), _ANCHOR), "rep-anchors")
-    many = found.groupBy("h").agg(F.count("*").alias("n"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("n > 1")
-    many = write_shared(many.select("h", "n", (F.col("lo") != F.col("hi")).alias("mixed")), "rep-many")
-    whole = found.join(many.where("not mixed").select("h"), "h").select("doc_id", "th", F.col("s").alias("start"), (F.col("e") + length).alias("end"))
-    # Written, so that the join may split an anchor that holds many rows and the aggregate combines before it shuffles.
-    mixed = write_shared(found.join(many.where("mixed").select("h"), "h"), "rep-mixed")
-    # Runs of the same bytes repeat one another; one of them is enough for the rest of the collection.
-    alike = write_shared(mixed.groupBy("h", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "s", "e")).alias("r")), "rep-runs")
-    whole = whole.unionByName(
-        mixed.join(alike.where("n > 1").select("h", "run"), ["h", "run"]).select("doc_id", "th", F.col("s").alias("start"), (F.col("e") + length).alias("end"))
-    )
-    asked = alike.select("h", "r.*")
-    sizes = asked.groupBy("h").agg(F.count("*").alias("runs"))
-    asked = asked.join(sizes, "h")
-    cut = F.substring("bytes", F.col("s").cast("int") + 1, (F.col("e") - F.col("s") + length).cast("int"))
-    texts = write_shared(docs.join(asked, ["doc_id", "th"]).select("doc_id", "th", "h", "pos", "s", "e", "runs", cut.alias("bytes")).dropDuplicates(["doc_id", "th", "pos", "s"]), "rep-texts")
-    small = texts.where(F.col("runs") <= TASK_RUNS).drop("runs").repartition("h").sortWithinPartitions("h")
-    marks = write_shared(whole.unionByName(small.mapInArrow(_sort_runs(length), "doc_id long, th long, start long, end long")), "rep-marks")
-    drop_shared(found, mixed)
-    large = texts.where(F.col("runs") > TASK_RUNS).drop("runs")
-    if not large.isEmpty():
-        windows = write_shared(large.mapInArrow(_window_hashes(length), _WINDOW), "rep-windows")
-        twice = windows.groupBy("h", "at", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        marks = marks.unionByName(windows.join(write_shared(twice, "rep-twice"), ["h", "at", "w"]).select("doc_id", "th", F.col("p").alias("start"), (F.col("p") + length).alias("end")))
-    grouped = marks.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("marks"))
-    return write_shared(grouped.mapInArrow(_merge_spans, "doc_id long, th long, spans array<struct<start:long,end:long>>"), "rep-spans")
+    with scratch():
+        docs = _keyed(documents)
+        found = write_shared(docs.where(F.octet_length("bytes") >= length).mapInArrow(_find(length), _ANCHOR), "rep-anchors")
+        many = write_shared(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "rep-many")
+        # Written, so that the join may split an anchor that holds many rows and the aggregate combines before it shuffles.
+        shared = write_shared(found.join(small(many), "h"), "rep-shared")
+        drop_shared(found)
+        run = ["h", "run", "run2"]
+        alike = write_shared(shared.groupBy(*run).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "s", "e")).alias("r")), "rep-runs")
+        again = write_shared(alike.where("n > 1").select(*run), "rep-again")
+        whole = shared.join(small(again), run).select("doc_id", "th", F.col("s").alias("start"), (F.col("e") + length).alias("end"))
+        # Runs of the same bytes repeat one another; one of them is enough for the rest of the collection.
+        sizes = write_shared(alike.groupBy("h").agg(F.count("*").alias("runs")).where("runs > 1"), "rep-sizes")
+        asked = write_shared(alike.select("h", "r.*").join(small(sizes), "h"), "rep-asked")
+        cut = F.substring("bytes", F.col("s").cast("int") + 1, (F.col("e") - F.col("s") + length).cast("int"))
+        # Ids go to the texts as long as they are few; otherwise both are shuffled once.
+        texts = docs.join(small(asked), ["doc_id", "th"]).select("doc_id", "th", "h", "pos", "s", "e", "runs", cut.alias("bytes"))
+        texts = write_shared(texts.dropDuplicates(["doc_id", "th", "pos", "s"]), "rep-texts")
+        few = texts.where(F.col("runs") <= TASK_RUNS).drop("runs").repartition("h").sortWithinPartitions("h")
+        marks = write_shared(whole.unionByName(few.mapInArrow(_sort_runs(length), "doc_id long, th long, start long, end long")), "rep-marks")
+        large = texts.where(F.col("runs") > TASK_RUNS).drop("runs")
+        if not large.isEmpty():
+            windows = write_shared(large.mapInArrow(_windows(length), _WINDOW), "rep-windows")
+            twice = windows.groupBy("h", "at", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+            marks = marks.unionByName(windows.join(write_shared(twice, "rep-twice"), ["h", "at", "w"]).select("doc_id", "th", F.col("p").alias("start"), (F.col("p") + length).alias("end")))
+        grouped = marks.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("marks"))
+        return write_shared(grouped.mapInArrow(_merge_spans, "doc_id long, th long, spans array<struct<start:long,end:long>>"), "rep-spans", keep=True)
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, *kept) -> DataFrame:
@@ -306,7 +310,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, *kept) -> DataFra
     A null text is empty, and texts below `length` bytes keep all. Repeated rows are repeats of one another
     and lose all that is at least `length` long. A null doc_id is a document like any other. Columns are
     not read but for doc_id, text and kept. Empty input: no rows."""
-    spans = repeated_spans(documents, length).withColumnsRenamed({"doc_id": "_rep_doc", "th": "_rep_th"})
+    spans = small(repeated_spans(documents, length), BROADCAST_SPANS).withColumnsRenamed({"doc_id": "_rep_doc", "th": "_rep_th"})
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = documents.select(
         F.struct(*(kept or ("doc_id",))).alias("_kept"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_rep_doc"), F.xxhash64(data, F.lit("text")).alias("_rep_th"), data.alias("_bytes")
