@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from travelfields.operators.indexing import dense_index
-from travelfields.shared import drop_shared, write_shared
+from travelfields.shared import drop_shared, scratch, write_shared
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -102,6 +102,8 @@ def balance(cells: DataFrame, targets: DataFrame, cap: float = MAX_COPIES, steps
         )
         drop_shared(state)
         state = nxt
+    if not state.where("not done").isEmpty():
+        raise RuntimeError("entropy balancing did not settle")
     return state.select("source_key", "lam", "mean")
 
 
@@ -113,7 +115,13 @@ def mix(documents: DataFrame, size: Column, weights=WEIGHTS, share: float = SHAR
     is a source, the last. Repeated rows are rounded each on its own and so may differ by
     one copy. The same rows give the same copies, whatever their order or partitions, except that
     of identical rows (doc_id, source and size) it is open which gets the extra copy. A null doc_id
-    keeps its row. Other columns are ignored. Empty input: no rows."""
+    keeps its row. Ties of size are broken by a hash of doc_id. However long a text is, only its size counts. Other columns are
+    ignored. Empty input: no rows."""
+    with scratch():
+        return write_shared(_copies(documents, size, weights, share, cap), "mix-copies", keep=True)
+
+
+def _copies(documents: DataFrame, size: Column, weights, share: float, cap: int) -> DataFrame:
     base = write_shared(
         documents.select("doc_id", "source", F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
         .withColumn("source_key", F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit("")))), "mix-docs",
