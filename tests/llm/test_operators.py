@@ -323,3 +323,39 @@ def test_quality_on_held_out_labels(spark):
     got = quality.classify(d, lab.where(train), F.col("source"), F.col("lang"), F.col("doc_id")).join(lab.where(~train), "doc_id").collect()
     clean = [r.keep for r in got if r.good]
     assert sum(clean) >= 0.95 * len(clean) and sum(r.keep == r.good for r in got) >= 0.85 * len(got)
+
+
+def test_repeated_vectors_and_null_ids(spark):
+    v, w = [1.0, 0.0, 0.5], [1.0, 0.01, 0.5]
+    rows = [(1, v, 0), (1, v, None), (1, None, 0), (2, w, 0), (2, w, 0), (None, v, 0), (None, v, 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id) == [(1, 1, 1, True), (2, 1, 1, False)]
+    assert [tuple(r) for r in got if r.vec_id is None] == [(None, 0, None, True)] * 2
+
+
+def test_jaccard_rows_of_repeated_ids(spark):
+    """Rows, not ids, are documents: repeats, null ids, and one id for two texts."""
+    a, b = " ".join(BASE), " ".join(f"other{k}" for k in range(50))
+    rows = [(5, a, 1), (5, a, 1), (7, a + " x", 2), (3, b, 3), (7, b, 4), (None, a, 5), (None, None, 6), (None, None, 6), (9, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(df).collect())
+    assert got == Counter([(5, 56, 5), (5, 56, 5), (7, 57, 5), (3, 46, 3), (7, 46, 3), (None, 56, 5), (None, 0, None), (None, 0, None), (9, 0, 9)])
+    first = [r for r in ngram_join.jaccard_rows(df).collect() if r.is_first]
+    assert sorted((r.component_id or 0, r.doc_id or 0) for r in first) == [(0, 0), (0, 0), (3, 3), (5, 5), (9, 9)]
+
+
+def test_traversal_finds_all_pairs_of_a_large_root(spark, monkeypatch):
+    """A root of several nodes, sizes and widths of bitmaps: all linked pairs of different components are proposed."""
+    monkeypatch.setattr(ngram_join, "NODE_ROWS", 32)
+    rng = np.random.default_rng(1)
+    sets = []
+    for k in range(120):
+        body = rng.integers(0, 1 << 40, int(rng.integers(5, 400)))
+        sets += [np.unique(np.concatenate(([7], body))), np.unique(np.concatenate(([7], body[: max(1, int(len(body) * rng.uniform(0.6, 1)))])))]
+    rows = [(7, k, len(s), k, ngram_join._signature(s.astype(np.int64)).tolist()) for k, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "key long, doc long, n long, comp long, sig array<long>")
+    got = {tuple(r) for r in ngram_join.tree_candidates(members).collect()}
+    links = {(a, b) for a in range(240) for b in range(a + 1, 240) if 100 * (k := len(np.intersect1d(sets[a], sets[b]))) >= 75 * (len(sets[a]) + len(sets[b]) - k)}
+    assert links and links <= got and len(got) < 2000
+    forest = {tuple(r) for r in ngram_join.tree_candidates(members, forest=True).collect()}
+    assert forest <= got

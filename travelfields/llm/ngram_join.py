@@ -128,8 +128,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _eligible(s: np.ndarray) -> np.ndarray:
-    """Half of all shingles, by their hash: these come first in the order, and only they are counted."""
-    return s >= 0
+    """Three eighths of all shingles, by their hash: these come first in the order, and only they are counted. Prefixes hold a quarter."""
+    return s >= 1 << 61
 
 
 def _short(s: np.ndarray) -> np.ndarray:
@@ -287,10 +287,18 @@ def _overlap_allowed(percent: int):
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) those whose sizes and bucket counts allow the threshold; none that reaches it is lost."""
-    of = lambda c: sets.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
-    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where(fits).mapInArrow(_overlap_allowed(percent), "a long, b long")
+    """Of distinct pairs (a, b) those whose sizes and then bucket counts allow the threshold, as a written table; none that reaches
+    it is lost. Bucket counts are moved only for texts of pairs whose sizes fit."""
+    with scratch():
+        of = lambda c, *cols: sets.select(F.col("row").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols))
+        fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+        sized = pairs.select("a", "b").join(of("a", "n"), "a").join(of("b", "n"), "b").where(fits)
+        sized = write_shared(sized, "ngram-sized")
+        ids = write_shared(sized.select(F.col("a").alias("row")).union(sized.select("b")).distinct(), "ngram-sized-ids")
+        counts = write_shared(sets.select("row", "counts").join(small(ids), "row"), "ngram-counts")
+        of = lambda c: counts.select(F.col("row").alias(c), F.col("counts").alias(f"counts_{c}"))
+        both = sized.join(of("a"), "a").join(of("b"), "b")
+        return write_shared(both.mapInArrow(_overlap_allowed(percent), "a long, b long"), "ngram-plausible", keep=True)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -514,7 +522,7 @@ def _linked(sets: DataFrame, docs: DataFrame, n_words: int, percent: int) -> Dat
     sizes = sets.select("row", "n", "counts")
     met = stars.groupBy("a", "b").agg(F.count("*").alias("shared"))
     tried = write_shared(met.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m")["col2"]).alias("a"), "b"), "ngram-best")
-    comp = _joined(None, verify(write_shared(plausible(tried, sizes, percent), "ngram-star-pairs"), sets, docs, n_words, percent))
+    comp = _joined(None, verify(plausible(tried, sizes, percent), sets, docs, n_words, percent))
     texts = write_shared(stars.select("key", F.col("a").alias("doc")).union(stars.select("key", "b")).distinct(), "ngram-texts")
     for forest in WAVES:
         members = write_shared(_with(texts, comp, "doc").withColumnRenamed("c_doc", "comp"), "ngram-members")
@@ -527,7 +535,7 @@ def _linked(sets: DataFrame, docs: DataFrame, n_words: int, percent: int) -> Dat
         roots = members.join(apart.where("texts > 2").select("key"), "key").join(sets.select(F.col("row").alias("doc"), "n", "sig"), "doc")
         found = apart.where("texts = 2").select("a", "b").unionByName(tree_candidates(write_shared(roots, "ngram-roots"), percent, forest)).distinct()
         found = write_shared(found.join(tried, ["a", "b"], "left_anti"), "ngram-found")
-        rest = write_shared(plausible(found, sizes, percent), "ngram-rest")
+        rest = plausible(found, sizes, percent)
         if not rest.isEmpty():
             comp = _joined(comp, verify(rest, sets, docs, n_words, percent))
         tried = tried.unionByName(found)
