@@ -201,16 +201,18 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, trees:
     Vectors of one label and length link where their cosine, in double precision, reaches the
     threshold; of such pairs almost all are found, and nothing below is. Vectors with a null label,
     null, empty or zero vectors and those with null or non-finite elements link with nothing. Rows that
-    repeat a vec_id are one vector, the least by label and elements; a null vec_id is one vector
-    that links with nothing. Equal vectors are compared once, with their number. Other columns are
+    repeat a vec_id are one vector: of those that can link the least by label and elements, else the least of all. Each row with a
+    null vec_id is a vector that links with nothing. Equal vectors are compared once, with their number. Other columns are
     ignored. Empty input: no rows."""
-    one = embeddings.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(
-        F.min(F.struct(F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("v"))).alias("r")
-    ).select("vec_id", "r.label", "r.v")
+    typed = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))) & F.exists("v", lambda e: e != 0)
-    fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite, F.lit(False))
+    usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite, F.lit(False))
+    rows = typed.withColumn("fit", usable)
+    # Of rows that repeat a vec_id one that can link comes before one that can't.
+    one = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct(~F.col("fit"), "label", "v", "fit")).alias("r")).select("vec_id", "r.label", "r.v", "r.fit")
+    one = one.unionByName(rows.where("vec_id is null"))
     key = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("second"), "v").alias("h2")]
-    all_rows = write_shared(one.select("vec_id", "label", "v", fit.alias("fit"), *key), "emb-rows")
+    all_rows = write_shared(one.select("vec_id", "label", "v", "fit", *key), "emb-rows")
     valid = all_rows.where("fit").withColumn("dim", F.size("v"))
     reps = write_shared(
         valid.groupBy("label", "dim", "h1", "h2").agg(F.min(F.struct("vec_id", "v")).alias("r"), F.count("*").alias("m"))
