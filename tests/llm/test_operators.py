@@ -359,3 +359,57 @@ def test_traversal_finds_all_pairs_of_a_large_root(spark, monkeypatch):
     assert links and links <= got and len(got) < 2000
     forest = {tuple(r) for r in ngram_join.tree_candidates(members, forest=True).collect()}
     assert forest <= got
+
+
+def test_fingerprints_of_repeated_rows(spark):
+    rows = [(1, "ab"), (1, "ab"), (1, "cd"), (2, "xyz"), (None, "q"), (None, None), (2, "xyz")]
+    got = fingerprints.fingerprint_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((d, len(t or "")) for d, t in rows)
+    assert len({r.fingerprint for r in got if r.doc_id == 1}) == 2 and len({r.fingerprint for r in got if r.doc_id == 2}) == 1
+
+
+def _tilt(sizes, target, cap=2.0):
+    """The rates nearest an equal start that meet a target, by bisection on the tilt."""
+    mean, lo, hi = sum(sizes) / len(sizes), -60.0, 60.0
+    for _ in range(200):
+        lam = (lo + hi) / 2
+        lo, hi = (lam, hi) if sum(x * cap / (1 + math.exp(-lam * x / mean)) for x in sizes) < target else (lo, lam)
+    return lam
+
+
+def test_balance_solves_the_dual(spark):
+    rng = np.random.default_rng(8)
+    sizes = {k: rng.integers(1, 300, 200).tolist() for k in (1, 2, 3)}
+    share = {1: 0.2, 2: 1.0, 3: 1.7}
+    cells = mixing.write_shared(spark.createDataFrame([(k, x, n) for k, v in sizes.items() for x, n in Counter(v).items()], "source_key long, size long, n long"), "test-cells")
+    targets = spark.createDataFrame([(k, sum(v), share[k] * sum(v)) for k, v in sizes.items()], "source_key long, source_size long, target double")
+    for r in mixing.balance(cells, targets).collect():
+        assert math.isclose(r.lam, _tilt(sizes[r.source_key], share[r.source_key] * sum(sizes[r.source_key])), abs_tol=1e-4)
+
+
+def test_site_posteriors_shrink_sparse_sites(spark):
+    """Against the same formulas in plain Python: one-row, null and large sites."""
+    rng = np.random.default_rng(9)
+    sites = [("big", "a", 60, 0.8), ("big", "b", 40, 0.6), ("one", "a", 1, 0.1), (None, "a", 5, 0.3), (None, None, 1, 0.9), ("mid", None, 12, 0.2)]
+    rows = [(h, p, float(np.clip(m + rng.normal() * 0.1, 0.01, 0.99))) for h, p, n, m in sites for _ in range(n)]
+    got, mean = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, doc_score double"))
+    by = {}
+    for h, p, x in rows:
+        by.setdefault(h, {}).setdefault(p, []).append(x)
+    glob = (sum(x for _, _, x in rows) + 0.5) / (len(rows) + 1)
+
+    def strength(groups):  # (values, center)
+        own = [(np.mean(v), np.var(v), len(v), c) for v, c in groups if len(v) > 1]
+        extra = np.mean([(m - c) ** 2 for m, _, _, c in own]) - np.mean([v / n for _, v, n, _ in own])
+        return min(1e6, max(2.0, np.mean([c * (1 - c) for *_, c in own]) / extra - 1)) if extra > 0 else 1e6
+
+    k = strength([(sum(ps.values(), []), glob) for ps in by.values()])
+    host = {h: (k * glob + sum(sum(ps.values(), []))) / (k + len(sum(ps.values(), []))) for h, ps in by.items()}
+    kp = strength([(v, host[h]) for h, ps in by.items() for v in ps.values()])
+    assert math.isclose(mean, glob)
+    out = {(r.host, r.path): r for r in got.collect()}
+    assert set(out) == {(h, p) for h, ps in by.items() for p in ps}
+    for (h, p), r in out.items():
+        assert math.isclose(r.host_posterior, host[h], rel_tol=1e-9) and math.isclose(r.path_strength, kp, rel_tol=1e-6)
+        assert r.n == len(by[h][p]) and math.isclose(r.total, sum(by[h][p]))
+    assert abs(host["one"] - glob) < abs(0.1 - glob) / 2

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from travelfields.shared import write_shared
+from travelfields.operators.indexing import dense_index
+from travelfields.shared import small, write_shared
 
 #: A table up to this many rows of three longs (about 24 MB) is broadcast, a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -127,15 +128,19 @@ def fingerprint_with_edits(documents: DataFrame) -> DataFrame:
     of the next document in descending doc_id, after the last the first; a lone document follows
     itself. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
     near_next: 1.0 where the fingerprints are equal, else 0.0. Null texts are empty. Rows that
-    repeat a doc_id count once, with the least text; a null doc_id comes last. Columns but
+    repeat a doc_id are documents each, in the order of a hash of their texts; rows with a null doc_id come last. Columns but
     doc_id and text are ignored. Empty input: no rows."""
     docs = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ids = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows"))
     ids = write_shared(ids, "fp-ids")
+    named_ids = None
     if not ids.where("rows > 1 or doc_id is null").isEmpty():
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-        docs = write_shared(docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "text"), "fp-docs")
-        ids = write_shared(docs.select("doc_id", F.length("text").alias("n")), "fp-ids")
+        # Where ids don't tell rows apart, each gets its place in the order as a name.
+        docs = write_shared(docs.withColumn("row", F.monotonically_increasing_id()), "fp-docs")
+        key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64("text"), "row")
+        named_ids = write_shared(dense_index(docs.select("row", F.col("doc_id").alias("own_id"), F.length("text").alias("n"), key.alias("key")), "key", "doc_id").drop("key"), "fp-names")
+        docs = docs.drop("doc_id").join(small(named_ids.select("row", "doc_id")), "row").select("doc_id", "text")
+        ids = named_ids.select("doc_id", "n")
     order = write_shared(neighbours(ids.select("doc_id", "n")), "fp-next")
     held = docs.join(order, "doc_id")
     lent = held.select(F.col("before_id").alias("doc_id"), F.expr("substring(text, 1, cast(floor(before_n / 2) as int))").alias("lent"))
@@ -166,10 +171,13 @@ def fingerprint_with_edits(documents: DataFrame) -> DataFrame:
     edit = named.where("part = 1").select("doc_id", F.col("fingerprint").alias("edited_fingerprint"))
     nxt = name.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
     same = lambda a: (F.col("fingerprint") == F.col(a)).cast("double")
-    return (
+    out = (
         work.select("doc_id", "n_chars", "next_id", "edited_sha256").join(name, "doc_id").join(edit, "doc_id").join(nxt, "next_id")
         .select(
-            F.nullif("doc_id", F.lit(-(2**63))).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+            "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
             same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"),
         )
     )
+    if named_ids is None:
+        return out
+    return out.join(small(named_ids.select("doc_id", "own_id")), "doc_id").withColumn("doc_id", F.col("own_id")).drop("own_id")
