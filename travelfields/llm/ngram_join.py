@@ -41,6 +41,8 @@ BUCKETS = 1024
 FREQUENT = 250_000
 #: Waves of trees: the first proposes pairs that would join all components if they linked, the last all pairs.
 WAVES = (True, False)
+#: Roots of up to this many texts propose all their pairs in the first wave and are done.
+FULL_ROWS = 8
 #: Texts of a node (of a root that has more), of an inner node and of a leaf.
 NODE_ROWS, INNER_ROWS, LEAF_ROWS = 2048, 64, 8
 #: Rows of roots that are traversed in one task's turn.
@@ -433,9 +435,10 @@ def _turn(percent: int, forest: bool):
         maps = np.split(lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py())
         order = np.lexsort((side, j, i, key))
         edge = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
-        found, labels = [], _Labels(comp, forest)
+        found, known, grown = [], _Labels(comp, False), _Labels(comp, forest)
         for rows in np.split(order, edge):
             own = i[rows[0]] == j[rows[0]]
+            labels = known if len(rows) <= FULL_ROWS else grown
             of = labels.of(rows)
             if (of != of[0]).any():
                 found += traverse(rows if own else rows[side[rows] == 0], None if own else rows[side[rows] == 1], maps, n, labels, percent)
@@ -529,7 +532,8 @@ def _linked(sets: DataFrame, docs: DataFrame, n_words: int, percent: int) -> Dat
         # Roots with the same texts give the same pairs: one of them is enough. A root of two texts is a pair.
         same_texts = (F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("second"), "doc")).alias("x2"))
         apart = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("texts"), F.min("doc").alias("a"), F.max("doc").alias("b"), *same_texts)
-        apart = write_shared(apart.where("lo <> hi").groupBy("texts", "x1", "x2").agg(F.min("key").alias("key"), F.min("a").alias("a"), F.min("b").alias("b")), "ngram-apart")
+        apart = apart.where("lo <> hi") if forest else apart.where("lo <> hi").where(F.col("texts") > FULL_ROWS)
+        apart = write_shared(apart.groupBy("texts", "x1", "x2").agg(F.min("key").alias("key"), F.min("a").alias("a"), F.min("b").alias("b")), "ngram-apart")
         if apart.isEmpty():
             break
         roots = members.join(apart.where("texts > 2").select("key"), "key").join(sets.select(F.col("row").alias("doc"), "n", "sig"), "doc")
