@@ -1,7 +1,8 @@
 """Shortest-path cost fields from many sources at once.
 
-Nodes are dealt into square tiles. In each round a task settles one tile for a batch of fields, with vectors, and hands what
-crosses the tile's border to the next round; rounds follow the number of tiles on a path, not its hops."""
+Nodes are dealt into square tiles of a bounded number of nodes. In each round a task settles one tile for a batch of fields, with
+vectors, and hands what crosses the tile's border to the next round; rounds follow the number of tiles on a path, not its hops. A round
+writes only the labels that it improved, and reads only those of tiles that got something new."""
 
 from __future__ import annotations
 
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 
 from travelfields import config
 from travelfields.operators.streets import reverse_edges
-from travelfields.shared import drop_shared, write_shared
+from travelfields.shared import drop_shared, scratch, small, write_shared
 
-TILE_DEG = 0.25
+#: Degrees of a tile at most, and nodes of the densest tile, for which tiles are halved.
+TILE_DEG, TILE_NODES = 0.5, 20_000
 FIELDS_TOGETHER = 32
+#: Rounds after which labels that were improved again are merged.
+MERGE_ROUNDS = 16
 
 
 def metric_catalogue(spark: SparkSession) -> DataFrame:
@@ -33,8 +37,13 @@ def edge_weights(edges: DataFrame, nodes: DataFrame, slots: DataFrame, metrics:
     return both.select("metric", "slot", "src", "dst", F.when(F.col("uses_time"), time).otherwise(F.col("length_m").cast("double")).alias("w"))
 
 
-def tile_of(nodes: DataFrame, tile_deg: float = TILE_DEG) -> DataFrame:
-    return nodes.select("node", F.concat_ws(":", F.floor(F.col("lat") / tile_deg), F.floor(F.col("lon") / tile_deg)).alias("tile"))
+def tile_of(nodes: DataFrame, tile_deg: float | None = None) -> DataFrame:
+    """(node, tile). Without tile_deg tiles are as large as keeps the densest within TILE_NODES."""
+    cell = lambda deg: F.concat_ws(":", F.floor(F.col("lat") / deg), F.floor(F.col("lon") / deg))
+    deg = tile_deg or TILE_DEG
+    while not tile_deg and deg > 1e-4 and (nodes.groupBy(cell(deg)).count().agg(F.max("count")).first()[0] or 0) > TILE_NODES:
+        deg /= 2
+    return nodes.select("node", cell(deg).alias("tile"))
 
 
 _LABEL = ["c0", "c1", "c2", "c3", "c4", "c5"]
@@ -42,7 +51,8 @@ _LABEL = ["c0", "c1", "c2", "c3", "c4", "c5"]
 
 def _settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     """Relax inside one tile until nothing improves. A label is (cost, four sums, last): compared in that order; an edge adds to
-    the first five and replaces the last. state.fresh marks labels that came from outside since the last round."""
+    the first five and replaces the last. state.fresh marks labels that came from outside since the last round; of the others
+    the least of a node counts. Returns the labels that improved, and those of nodes across the border."""
     fields, f = np.unique(state["field"].to_numpy(), return_inverse=True)
     inner = edges["inner"].to_numpy() if len(edges) else np.zeros(0, bool)
     names = np.unique(np.concatenate([state["node"].to_numpy(), edges["src"].to_numpy(), edges["dst"].to_numpy()[inner] if len(edges) else np.zeros(0, np.int64)]))
@@ -59,7 +69,6 @@ def _settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     key = f * n + np.searchsorted(names, state["node"].to_numpy())
     label = state[_LABEL].to_numpy(float)
     old = ~state["fresh"].to_numpy()
-    best[key[old]] = label[old]
 
     def improve(k, lab):
         if not len(k):
@@ -75,6 +84,7 @@ def _settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         best[k[better]] = lab[better]
         return k[better]
 
+    improve(key[old], label[old])
     front = improve(key[~old], label[~old])
     changed = [front]
     crossing: list[tuple] = []
@@ -97,48 +107,61 @@ def _settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     lab = np.repeat(best[changed], reps, axis=0)[go]
     lab[:, :5] += add[e[go]]
     lab[:, 5] = add[e[go], 4]
-    crossing = pd.DataFrame(lab, columns=_LABEL)
-    crossing["field"], crossing["node"], crossing["fresh"] = fields[np.repeat(out_field, reps)[go]], dst_id[e[go]], True
-    known = np.flatnonzero(np.isfinite(best[:, 0]))
-    kept = pd.DataFrame(best[known], columns=_LABEL)
-    kept["field"], kept["node"], kept["fresh"] = fields[known // n], names[known % n], False
-    return pd.concat([kept, crossing], ignore_index=True)
+    outside, inside = pd.DataFrame(lab, columns=_LABEL), pd.DataFrame(best[changed], columns=_LABEL)
+    to_tile = edges["to_tile"].to_numpy()[order]
+    outside["field"], outside["node"], outside["tile"], outside["crossing"] = fields[np.repeat(out_field, reps)[go]], dst_id[e[go]], to_tile[e[go]], True
+    inside["field"], inside["node"], inside["tile"], inside["crossing"] = fields[out_field], names[out_node], state["tile"].iloc[0], False
+    out = pd.concat([inside, outside], ignore_index=True)
+    out["weight_id"], out["batch"] = state["weight_id"].iloc[0], state["batch"].iloc[0]
+    return out[_COLUMNS]
 
 
-_STATE = "field long, node long, c0 double, c1 double, c2 double, c3 double, c4 double, c5 double, fresh boolean"
+_GROUP = ["weight_id", "tile", "batch"]
+_COLUMNS = ["field", "node", *_LABEL, *_GROUP, "crossing"]
+_RAN = "field long, node long, " + ", ".join(f"{c} double" for c in _LABEL) + ", weight_id string, tile string, batch long, crossing boolean"
 
 
-def _relax(weights: DataFrame, sources: DataFrame, tiles: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """weights: weight_id, src, dst, w, p1..p4. sources: field, weight_id, node. Returns state rows by field and node."""
-    src_tile, dst_tile = tiles.toDF("src", "tile"), tiles.toDF("dst", "to_tile")
-    edges = weights.join(src_tile, "src").join(dst_tile, "dst").withColumn("inner", F.col("tile") == F.col("to_tile"))
-    edges = write_shared(edges.select("weight_id", "tile", "src", "dst", "w", "p1", "p2", "p3", "p4", "inner"), "route-edges")
-    batch = F.floor(F.col("field") / FIELDS_TOGETHER)
-    fields = write_shared(sources.select("field", "weight_id").distinct().withColumn("batch", batch), "route-fields")
-    zero = [F.lit(0.0).alias(c) for c in _LABEL]
-    state = write_shared(sources.select("field", "node", *zero, F.lit(True).alias("fresh")), "route-state")
-    done = None
-    for _ in range(max_rounds):
-        placed = write_shared(state.join(tiles, "node").join(fields, "field"), "route-placed")
-        # Only tiles that got something new work in this round; the others wait as they are.
-        busy = placed.where("fresh").select("weight_id", "tile", "batch").distinct()
-        work = placed.join(busy, ["weight_id", "tile", "batch"], "left_semi")
-        rest = placed.join(busy, ["weight_id", "tile", "batch"], "left_anti").select(*state.columns)
-        needed = edges.join(busy, ["weight_id", "tile"]).select("weight_id", "tile", "batch", "src", "dst", "w", "p1", "p2", "p3", "p4", "inner").toDF(
-            "weight_id_e", "tile_e", "batch_e", "src", "dst", "w", "p1", "p2", "p3", "p4", "inner"
-        )
-        ran = work.groupBy("weight_id", "tile", "batch").cogroup(needed.groupBy("weight_id_e", "tile_e", "batch_e")).applyInPandas(
-            lambda s, e: _settle(s, e)[["field", "node", *_LABEL, "fresh"]] if len(s) else pd.DataFrame({c.split()[0]: [] for c in _STATE.split(", ")}), _STATE
-        )
-        nxt = write_shared(ran.unionByName(rest), "route-state")
-        drop_shared(state, placed)
-        state = nxt
-        if state.where("fresh").isEmpty():
-            return state
-    raise RuntimeError("cost fields did not settle")
+def _least(labels: DataFrame, *by: str) -> DataFrame:
+    return labels.groupBy(*by).agg(F.min(F.struct(*_LABEL)).alias("m")).select(*by, "m.*")
 
 
-def cost_field(weights: DataFrame, sources: DataFrame, nodes: DataFrame, tile_deg: float = TILE_DEG) -> DataFrame:
+def _relax(weights: DataFrame, sources: DataFrame, tiles: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """weights: weight_id, src, dst, w, p1..p4. sources: field, weight_id, node. Returns (field, node, c0..c5), a written table."""
+    with scratch():
+        src_tile, dst_tile = tiles.toDF("src", "tile"), tiles.toDF("dst", "to_tile")
+        edges = weights.join(src_tile, "src").join(dst_tile, "dst").withColumn("inner", F.col("tile") == F.col("to_tile"))
+        parts = ["src", "dst", "w", "p1", "p2", "p3", "p4", "inner", "to_tile"]
+        edges = write_shared(edges.select("weight_id", "tile", *parts), "route-edges")
+        zero = [F.lit(0.0).alias(c) for c in _LABEL]
+        batch = F.floor(F.col("field") / FIELDS_TOGETHER).alias("batch")
+        fresh = write_shared(sources.join(tiles, "node").select("field", "node", *zero, "weight_id", "tile", batch), "route-fresh")
+        log, rounds = None, 0
+        while not fresh.isEmpty():
+            if rounds == max_rounds:
+                raise RuntimeError("cost fields did not settle")
+            rounds += 1
+            busy = small(write_shared(fresh.select(*_GROUP).distinct(), "route-busy"))
+            work = fresh.withColumn("fresh", F.lit(True))
+            if log is not None:
+                work = work.unionByName(log.join(busy, _GROUP, "left_semi").withColumn("fresh", F.lit(False)))
+            needed = edges.join(busy, ["weight_id", "tile"]).select(*(F.col(c).alias(f"{c}_e") for c in _GROUP), *parts)
+            ran = work.groupBy(*_GROUP).cogroup(needed.groupBy(*(f"{c}_e" for c in _GROUP))).applyInPandas(
+                lambda s, e: _settle(s, e) if len(s) else pd.DataFrame({c: [] for c in _COLUMNS}), _RAN
+            )
+            ran = write_shared(ran, "route-ran")
+            better = ran.where("not crossing").drop("crossing")
+            log = better if log is None else log.unionByName(better)
+            if rounds % MERGE_ROUNDS == 0:
+                log = write_shared(_least(log, "field", "node", *_GROUP), "route-merged")
+            fresh = write_shared(_least(ran.where("crossing"), "field", "node", *_GROUP), "route-fresh")
+        if log is None:
+            return write_shared(sources.select("field", "node", *zero), "route-state", keep=True)
+        labels = log.select("field", "node", *_LABEL)
+        # In one round each node got its label once.
+        return write_shared(labels if rounds == 1 else _least(labels, "field", "node"), "route-state", keep=True)
+
+
+def cost_field(weights: DataFrame, sources: DataFrame, nodes: DataFrame, tile_deg: float | None = None) -> DataFrame:
     """(field, node, cost): least cost from each field's source to every node that it reaches.
 
     weights: weight_id, src, dst, w. sources: field (long), weight_id, node. nodes: node, lat, lon. Nodes out of reach have no row."""
@@ -170,7 +193,7 @@ def effective_slots(points: DataFrame, metrics: DataFrame) -> DataFrame:
     return both.withColumn("slot_out", F.coalesce("fixed_slot", "slot_out")).withColumn("slot_back", F.coalesce("fixed_slot", "slot_back")).drop("fixed_slot")
 
 
-def point_fields(points: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataFrame, metrics: DataFrame, tile_deg: float = TILE_DEG) -> tuple[DataFrame, DataFrame]:
+def point_fields(points: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataFrame, metrics: DataFrame, tile_deg: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, fields) of active points (scenario, point, node, slot_out, slot_back, trips).
 
     fields (field, node, cost) has one field for each distinct (metric, slot, node, direction), whatever the number of points that
@@ -197,7 +220,7 @@ def point_fields(points: DataFrame, edges: DataFrame, nodes: DataFrame, slots: D
     return links.select("scenario", "point", "metric", "trips", "divisor", "field_out", "field_back", "t0_out", "t0_back"), fields
 
 
-def reach_field(origins: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataFrame, metrics: DataFrame, tile_deg: float = TILE_DEG) -> DataFrame:
+def reach_field(origins: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataFrame, metrics: DataFrame, tile_deg: float | None = None) -> DataFrame:
     """Forward fields of origins (field, node, metric, slot), without the fixed cost of a trip."""
     w = edge_weights(edges, nodes, slots, metrics).withColumn("weight_id", F.concat_ws("|", "metric", "slot"))
     asked = origins.withColumn("weight_id", F.concat_ws("|", "metric", "slot"))
@@ -205,7 +228,7 @@ def reach_field(origins: DataFrame, edges: DataFrame, nodes: DataFrame, slots: D
     return cost_field(w.select("weight_id", "src", "dst", "w"), asked.select("field", "weight_id", "node"), nodes, tile_deg)
 
 
-def od_routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataFrame, tile_deg: float = TILE_DEG) -> DataFrame:
+def od_routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataFrame, tile_deg: float | None = None) -> DataFrame:
     """(slot, pair, time_s, ff0, ff1, ff2, crossings): the best route of each pair (pair, origin, target) in each slot, its free-flow seconds by
     group and the junctions that it passes, its end not counted. Equal times go to the least (ff0, ff1, ff2, crossings).
     Pairs with equal origins share a search; pairs without a route have no row."""

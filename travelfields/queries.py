@@ -326,7 +326,7 @@ def r1_cost_field(spark, sf_dir):
     g = graph(spark, sf_dir)
     w = R.edge_weights(g.edges, g.nodes, S.slot_params(spark).where("slot = 'valle'"), R.metric_catalogue(spark).where("metric = 'tiempo'")).withColumn("weight_id", F.lit("v"))
     src = g.nodes.select(F.col("node").alias("field"), F.lit("v").alias("weight_id"), "node")
-    return _q(R.cost_field(w.select("weight_id", "src", "dst", "w"), src, g.nodes, 0.01))
+    return _q(R.cost_field(w.select("weight_id", "src", "dst", "w"), src, g.nodes))
 
 
 def r2_r4_point_fields(spark, sf_dir):
