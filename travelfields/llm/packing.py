@@ -23,10 +23,10 @@ END_ID = 2
 SLACK = 32
 #: Partitions whose leftover windows are merged together, round by round.
 FAN_IN = 16
-#: Words that a Python worker remembers with their ids; beyond it the memory starts anew.
+#: Words that a Python worker remembers with their ids; beyond it those met in one chunk only are forgotten.
 CACHE_WORDS = 400_000
 #: Bytes of texts that are split into words at a time.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 21
 SPECIAL = "<|endoftext|>"
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 CONTROL_SPACE = re.compile("[\\x1c-\\x1f]")
@@ -47,46 +47,56 @@ class KnownWords:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.forget()
+        self.words, self.used = pa.array([], pa.string()), np.zeros(0, np.int32)
+        self.first, self.count, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Keep words met in two chunks or more since the last time, at most half of CACHE_WORDS: those met most."""
+        keep = np.flatnonzero(self.used >= 2)
+        if len(keep) > CACHE_WORDS // 2:
+            keep = keep[np.argsort(-self.used[keep], kind="stable")[: CACHE_WORDS // 2]]
+        count = self.count[keep]
+        first = np.cumsum(count, dtype=np.int32) - count
+        self.ids = self.ids[np.repeat(self.first[keep] - first, count) + np.arange(count.sum(), dtype=np.int32)]
+        self.words, self.first, self.count, self.used = self.words.take(pa.array(keep)), first, count, np.ones(len(keep), np.int32)
 
     def learn(self, unknown: list[str]) -> None:
-        """Encode words, many joined by the special token, which marks their ends."""
+        """Encode words, many joined by the special token, which marks their ends; words that look like it go alone."""
         tok = self.tok
         end = tok.token_to_id(SPECIAL)
-        odd = [w for w in unknown if end is None or "<|" in w or "|>" in w]
-        plain = [w for w in unknown if not (end is None or "<|" in w or "|>" in w)] if odd else unknown
-        found = [np.array(tok.encode(w, add_special_tokens=False).ids, np.uint32) for w in odd]
-        counts = [np.array([len(f) for f in found], np.int64)]
-        lines = [SPECIAL.join(plain[j : j + 100]) for j in range(0, len(plain), 100)]
-        for j, e in enumerate(tok.encode_batch_fast(lines, add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            cut = np.concatenate(([-1], np.flatnonzero(ids == end), [len(ids)]))
-            found.append(ids[ids != end])
-            counts.append(np.diff(cut) - 1)
-        count = np.concatenate(counts)
-        at = len(self.first)
-        self.index.update(zip([*odd, *plain], range(at, at + len(count))))
-        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(count) - count))
+        counts, found = [], []
+        odd = [k for k, w in enumerate(unknown) if end is None or "<|" in w or "|>" in w]
+        alone = set(odd)
+        at = 0
+        for stop in [*odd, len(unknown)]:
+            lines = [unknown[j : min(j + 100, stop)] for j in range(at, stop, 100)]
+            for e in tok.encode_batch_fast([SPECIAL.join(line) for line in lines], add_special_tokens=False) if lines else []:
+                ids = np.array(e.ids, np.uint32)
+                cut = np.concatenate(([-1], np.flatnonzero(ids == end), [len(ids)]))
+                found.append(ids[ids != end])
+                counts.append(np.diff(cut) - 1)
+            if stop in alone:
+                found.append(np.array(tok.encode(unknown[stop], add_special_tokens=False).ids, np.uint32))
+                counts.append(np.array([len(found[-1])]))
+            at = stop + 1
+        count = np.concatenate(counts).astype(np.int32)
+        self.words = pa.concat_arrays([self.words, pa.array(unknown, pa.string())])
+        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(count, dtype=np.int32) - count))
         self.count = np.concatenate((self.count, count))
+        self.used = np.concatenate((self.used, np.zeros(len(count), np.int32)))
         self.ids = np.concatenate((self.ids, *found))
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.index) > CACHE_WORDS:
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        if len(self.words) > CACHE_WORDS:
             self.forget()
-        get = self.index.get
-        out = np.array([get(w, -1) for w in words], np.int64)
-        new = np.flatnonzero(out < 0)
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        new = np.flatnonzero(at < 0)
         if len(new):
-            at = len(self.first)
-            unknown = [words[k] for k in new]
-            self.learn(unknown)
-            out[new] = [self.index[w] for w in unknown]
-            assert len(self.first) == at + len(new)
-        return out
+            at = at.copy()
+            at[new] = len(self.words) + np.arange(len(new), dtype=np.int32)
+            self.learn(words.take(pa.array(new)).to_pylist())
+        self.used[at] += 1
+        return at
 
 
 def _chunks(texts: pa.Array) -> Iterator[pa.Array]:
@@ -115,11 +125,13 @@ def encode(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     for lists in _chunks(texts):
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        word = known.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+        word = known.numbers(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int32)
         n = known.count[word]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = known.ids[np.arange(ends[-1]) + np.repeat(known.first[word] - ends[:-1], n)]
-        for a, b in zip(ends[offsets[:-1]], ends[offsets[1:]]):
+        ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)))
+        place = np.repeat(known.first[word] - ends[:-1], n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = known.ids[place]
+        for a, b in zip(ends[offsets[:-1]].tolist(), ends[offsets[1:]].tolist()):
             yield ids[a:b]
 
 
