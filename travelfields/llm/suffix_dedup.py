@@ -278,18 +278,19 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         found = write_shared(docs.where(F.octet_length("bytes") >= length).mapInArrow(_find(length), _ANCHOR), "rep-anchors")
         many = write_shared(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "rep-many")
         # Written, so that the join may split an anchor that holds many rows and the aggregate combines before it shuffles.
-        shared = write_shared(found.join(small(many), "h"), "rep-shared")
+        shared = write_shared(found.join(many, "h"), "rep-shared")
         drop_shared(found)
         run = ["h", "run", "run2"]
         alike = write_shared(shared.groupBy(*run).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "s", "e")).alias("r")), "rep-runs")
         again = write_shared(alike.where("n > 1").select(*run), "rep-again")
-        whole = shared.join(small(again), run).select("doc_id", "th", F.col("s").alias("start"), (F.col("e") + length).alias("end"))
+        whole = shared.join(again, run).select("doc_id", "th", F.col("s").alias("start"), (F.col("e") + length).alias("end"))
         # Runs of the same bytes repeat one another; one of them is enough for the rest of the collection.
         sizes = write_shared(alike.groupBy("h").agg(F.count("*").alias("runs")).where("runs > 1"), "rep-sizes")
-        asked = write_shared(alike.select("h", "r.*").join(small(sizes), "h"), "rep-asked")
+        asked = write_shared(alike.select("h", "r.*").join(sizes, "h"), "rep-asked")
         cut = F.substring("bytes", F.col("s").cast("int") + 1, (F.col("e") - F.col("s") + length).cast("int"))
-        # Ids go to the texts as long as they are few; otherwise both are shuffled once.
-        texts = docs.join(small(asked), ["doc_id", "th"]).select("doc_id", "th", "h", "pos", "s", "e", "runs", cut.alias("bytes"))
+        # Only texts that are asked for are shuffled: the list of them goes to the texts as long as it is short.
+        wanted = write_shared(asked.select("doc_id", "th").distinct(), "rep-wanted")
+        texts = docs.join(small(wanted), ["doc_id", "th"]).join(asked.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "h", "pos", "s", "e", "runs", cut.alias("bytes"))
         texts = write_shared(texts.dropDuplicates(["doc_id", "th", "pos", "s"]), "rep-texts")
         few = texts.where(F.col("runs") <= TASK_RUNS).drop("runs").repartition("h").sortWithinPartitions("h")
         marks = write_shared(whole.unionByName(few.mapInArrow(_sort_runs(length), "doc_id long, th long, start long, end long")), "rep-marks")
