@@ -32,3 +32,11 @@ def test_twin(spark, name):
     got = Counter(tuple(_norm(r[c]) for c in cols) for r in df.collect())
     want = Counter(tuple(_norm(r[names.index(c)]) for c in cols) for r in cur.fetchall())
     assert got == want
+
+
+STORED = ["s1_elements", "s2_merged_nodes", "s2_merged_ways", "s3_boundary_names", "d2_assembled_rings", "s4_s5_stored_measurements", "s6_stored_nodes", "s6_stored_edges", "s6_stored_cells", "s7_stored_slots", "s8_parsed_points", "k6_new_rows", "k7_snapped_pairs", "k7_unknown_pairs", "k13_diagnostics", "d9_nearest_any"]
+
+
+@pytest.mark.parametrize("name", STORED)
+def test_stored_and_snapped(spark, name):
+    test_twin(spark, name)

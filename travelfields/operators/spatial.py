@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from travelfields import config
-from travelfields.shared import write_shared
+from travelfields.shared import small, write_shared
 
 #: Rings and points up to this many rows go to every task; larger sides are joined by a bucket.
 BROADCAST_ROWS = 200_000
@@ -152,13 +152,7 @@ def nearest_within(points: DataFrame, nodes: DataFrame, radius_m: float = config
 def nearest_any(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """points with the nearest node whatever its distance; longitude is scaled at the point, ties go to the lowest node.
 
-    A few points (at most BROADCAST_ROWS, which is checked) visit all nodes; their minimum is combined before the shuffle. More points
-    first look in growing buckets and only those that find nothing go on."""
-    if points.count() <= BROADCAST_ROWS:
-        q = F.broadcast(points.select("point", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")))
-        dy, dx = F.col("lat") - F.col("p_lat"), (F.col("lon") - F.col("p_lon")) * F.cos(F.radians("p_lat"))
-        best = nodes.select("node", "lat", "lon").join(q).groupBy("point").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), "node")).alias("best"))
-        return points.join(best, "point", "left").select(*points.columns, F.col("best.node").alias("node"))
+    Points look in growing buckets, and only those that find nothing go on. Without nodes, node is null."""
     left, done, radius = points, None, 500.0
     while True:
         found = write_shared(_nearest_in_buckets(left, nodes, radius), "nearest")
@@ -186,7 +180,7 @@ def _nearest_in_buckets(points: DataFrame, nodes: DataFrame, radius_m: float) ->
 
 def select_zones(zones: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(zones with a wanted name, wanted names that are missing)."""
-    return zones.join(F.broadcast(wanted), "name", "left_semi"), wanted.join(zones.select("name"), "name", "left_anti")
+    return zones.join(small(wanted), "name", "left_semi"), wanted.join(zones.select("name"), "name", "left_anti")
 
 
 def zone_of_points(points: DataFrame, edges: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -239,11 +239,29 @@ TWINS = {
     "k6_template_report": """select count(*) as expected, count(*) filter (was is null) as new, count(*) filter (was is not null) as kept, count(*) filter (was.m <> '' or was.lo <> '' or was.hi <> '') as filled,
       (select count(*) from latest l where not exists (select 1 from expected e where e.id_par = l.id_par and e.franja = l.franja)) as orphans from expected e left join latest l on l.id_par = e.id_par and l.franja = e.franja""",
     "k6_orphans": "select id_par, franja from latest l where not exists (select 1 from expected e where e.id_par = l.id_par and e.franja = l.franja)",
+    "k6_new_rows": """select id_par, string_agg(franja, ',' order by franja) as slots from (select 'p' || a.point as id_par, slot as franja from fx_points a join fx_points b on b.point = a.point + 1, slots where copy_of is null) e
+      where not exists (select 1 from latest l where e.id_par = l.id_par and e.franja = l.franja) group by id_par""",
+    "k7_snapped_pairs": "select 'p' || a.point as pair, a.node as origin, b.node as target from points a join points b on b.point = a.point + 1",
+    "k7_unknown_pairs": "select pair, count(*) as measurements from clean where pair not in (select 'p' || a.point from fx_points a join fx_points b on b.point = a.point + 1) group by pair",
+    "s1_elements": """select 'node' as type, node_id as id, 2::bigint as n from fx_nodes union all select 'relation', node_id, 1 from fx_nodes
+      union all select 'way', way_id, 2 from (select distinct way_id from fx_ways) w""",
+    "s2_merged_nodes": f"select node_id as id, {_r('lat lon', 7)} from fx_nodes",
+    "s2_merged_ways": """select w.way_id as id, highway, oneway, string_agg(ref::varchar, ',' order by pos) as nodes from fx_ways w join fx_refs r on r.way_id = w.way_id group by all""",
+    "s3_boundary_names": "select 'zone ' || (node_id % 7) as name, count(*) as relations from fx_nodes group by 1",
+    "d2_assembled_rings": """select node_id as relation_id, 0 as ring_id, k, round(lat + dy, 7) as lat, round(lon + dx, 7) as lon
+      from fx_nodes cross join (values (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) v(k, dy, dx)""",
+    "s4_s5_stored_measurements": """select e.id_par, e.franja, dia, hora_salida, origen, destino, nullif(was.m, '') as minutos, nullif(was.lo, '') as minutos_min, nullif(was.hi, '') as minutos_max
+      from expected e left join latest l on l.id_par = e.id_par and l.franja = e.franja""",
+    "s7_stored_slots": "select s.slot, copy_of, t0_s, g0, g1, g2, d_s, n from slots s join priors p on p.slot = coalesce(copy_of, s.slot) left join (select slot, count(*) as n from clean group by slot) c on c.slot = s.slot",
+    "s8_parsed_points": f"""select c_custkey as line, case when c_custkey % 4 > 0 then 'place ' || c_custkey end as name, 'street ' || c_custkey as address,
+      (case when c_custkey % 4 = 2 then least({config.MAX_TRIPS}, c_custkey % 20) else {config.DEFAULT_TRIPS} end)::int as trips from customer""",
     "k9_column_scales": "select slot, " + ", ".join(f"round(case when avg({c} * {c}) = 0 then 1 else sqrt(avg({c} * {c})) end, 6) as scale_{c}" for c in ("one", "ff0", "ff1", "ff2", "crossings")) + ", count(*) as n from design group by slot",
     "k9_normal_equations": "select slot, " + ", ".join(f"round(sum({a} * {b}), 3) as a{i}{j}" for i, a in enumerate(("one", "ff0", "ff1", "ff2", "crossings")) for j, b in enumerate(("one", "ff0", "ff1", "ff2", "crossings")) if j >= i)
     + ", " + ", ".join(f"round(sum({c} * observed_s), 3) as b{i}" for i, c in enumerate(("one", "ff0", "ff1", "ff2", "crossings"))) + ", round(sum(observed_s * observed_s), 3) as yy from design group by slot",
     "k11_huber_weights": f"select slot, pair, {_r('observed_s residual_s weight')} from resid",
     "k13_predictions": f"select slot, pair, {_r('observed_s predicted_s', 4)} from fitted",
+    "k13_diagnostics": "select slot, pair, " + ", ".join(f"round(cast(cast({x} as varchar) as decimal(38, 18)), 1)::double as {n}" for x, n in (("observed_s / 60", "observed_min"), ("predicted_s / 60", "predicted_min"), ("predicted_s / 60 - observed_s / 60", "error_min")))
+    + ", crossings::bigint as crossings, round(least(1, HUBER / greatest(1e-6, abs(predicted_s - observed_s))), 4) as weight from fitted".replace("HUBER", repr(config.HUBER_S)),
     "k14_fit_report": "select slot, count(*) as n, round(sqrt(avg(residual_s * residual_s)) / 60, 2) as rmse_min, round(max(abs(residual_s)) / 60, 2) as error_max_min from resid group by slot",
     "k15_global_report": "select count(*) as n, round(sqrt(avg(e * e)), 2) as rmse_min, round(avg(abs(e)), 2) as mae_min, count(*) filter (abs(e) > 5) as over_5_min from (select residual_s / 60 as e from resid) x",
     "k16_suspects": "select pair, count(*) as times from resid where weight < 0.6 group by pair",
@@ -252,5 +270,9 @@ TWINS = {
 }
 
 
+#: What is read back from a stored graph is what was stored.
+TWINS |= {"s6_stored_nodes": TWINS["g9_reindexed_nodes"], "s6_stored_edges": TWINS["g10_directed_edges"], "s6_stored_cells": TWINS["d10_zone_of_cells"]}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _sql(select) for name, select in TWINS.items()}

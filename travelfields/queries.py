@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,9 @@ from travelfields.operators import surfaces as V
 from travelfields.operators.components import connected_components
 from travelfields.operators.indexing import dense_index
 from travelfields.sources import synthetic as S
-from travelfields.shared import write_shared
+from travelfields.sources import extract as X
+from travelfields.sources import tables as T_
+from travelfields.shared import shared_dir, write_shared
 
 _built: dict[tuple, object] = {}
 
@@ -273,6 +276,98 @@ def d1_distances(spark, sf_dir):
     return _q(n.join(m, "node_id").select("node_id", geo.distance_m(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")).alias("m")), 4)
 
 
+def _extract(spark, sf_dir):
+    """Elements read back from gzip JSON tiles, in which every node and way stands twice, and a boundary for each node."""
+
+    def build():
+        ways, nodes = S.ways_and_nodes(spark, sf_dir)
+        at = lambda dy, dx: F.struct((F.col("lat") + dy).alias("lat"), (F.col("lon") + dx).alias("lon"))
+        member = lambda role, *geometry: F.struct(F.lit("way").alias("type"), F.lit(role).alias("role"), F.array(*geometry).alias("geometry"))
+        # A square in two outer pieces, the second one backwards, and a hole.
+        members = F.array(member("outer", at(0, 0), at(0, 1), at(1, 1)), member("inner", at(0.2, 0.2), at(0.2, 0.4), at(0.4, 0.4), at(0.2, 0.2)), member("", at(0, 0), at(1, 0), at(1, 1)))
+        name = F.concat(F.lit("zone "), (F.col("id") % 7).cast("string"))
+        parts = [
+            nodes.select(F.lit("node").alias("type"), "id", "lat", "lon"), ways.select(F.lit("way").alias("type"), "id", "nodes", "tags"),
+            nodes.select(F.lit("relation").alias("type"), "id", F.create_map(F.lit("name"), name).alias("tags"), members.alias("members")),
+        ]
+        elements = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+        first = F.floor(F.col("id") / 500).cast("long")
+        tile = F.explode(F.when(F.col("type") == "relation", F.array(first)).otherwise(F.array(first, first + 1)))
+        path = f"{shared_dir(spark)}/q-extract-{uuid.uuid4().hex}"
+        tiles = elements.withColumn("tile", tile).groupBy("tile").agg(F.collect_list(F.struct(*elements.columns)).alias("elements"))
+        tiles.write.partitionBy("tile").option("compression", "gzip").json(path)
+        return write_shared(X.read_extract(spark, path), "q-elements")
+
+    return _once(spark, sf_dir, "extract", build)
+
+
+def s1_elements(spark, sf_dir):
+    return _extract(spark, sf_dir).groupBy("type", "id").agg(F.count("*").alias("n"))
+
+
+def s2_merged_nodes(spark, sf_dir):
+    return _q(X.merge_tiles(_extract(spark, sf_dir))[1], 7)
+
+
+def s2_merged_ways(spark, sf_dir):
+    ways = X.merge_tiles(_extract(spark, sf_dir))[0]
+    return ways.select("id", F.col("tags")["highway"].alias("highway"), F.col("tags")["oneway"].alias("oneway"), F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"))
+
+
+def s3_boundary_names(spark, sf_dir):
+    relations, names = X.read_boundaries(_extract(spark, sf_dir))
+    return names.join(relations.groupBy("name").agg(F.count("*").alias("relations")), "name")
+
+
+def d2_assembled_rings(spark, sf_dir):
+    return _q(D.assemble_rings(X.read_boundaries(_extract(spark, sf_dir))[0]), 7)
+
+
+def s4_s5_stored_measurements(spark, sf_dir):
+    path = f"{shared_dir(spark)}/q-measurements-{uuid.uuid4().hex}"
+    expected = K.expected_measurements(_template_pairs(spark, sf_dir), K.slot_table(spark))
+    T_.write_measurements(K.merge_template(_existing(spark, sf_dir), expected), path)
+    return T_.read_measurements(spark, path).select("id_par", "franja", "dia", "hora_salida", "origen", "destino", "minutos", "minutos_min", "minutos_max")
+
+
+def _stored(spark, sf_dir):
+    def build():
+        path = f"{shared_dir(spark)}/q-graph-{uuid.uuid4().hex}"
+        T_.write_graph(graph(spark, sf_dir), _cells(spark, sf_dir), path)
+        return T_.read_graph(spark, path)
+
+    return _once(spark, sf_dir, "stored", build)
+
+
+def s6_stored_nodes(spark, sf_dir):
+    return _q(_stored(spark, sf_dir)[0].nodes.select("node", "id", "lat", "lon"), 7)
+
+
+def s6_stored_edges(spark, sf_dir):
+    return _stored(spark, sf_dir)[0].edges
+
+
+def s6_stored_cells(spark, sf_dir):
+    return _stored(spark, sf_dir)[1].select("cell", "zone_id")
+
+
+def s7_stored_slots(spark, sf_dir):
+    path = f"{shared_dir(spark)}/q-slots-{uuid.uuid4().hex}"
+    T_.write_slots(K.apply_aliases(K.prior_params(spark), K.slot_table(spark)), path)
+    used = _clean(spark, sf_dir).groupBy("slot").agg(F.count("*").alias("n"))
+    got = T_.read_slots(spark, path)
+    return got.join(used, "slot", "left").select("slot", "copy_of", "t0_s", *(F.col("g")[k].alias(f"g{k}") for k in range(3)), "d_s", "n")
+
+
+def s8_parsed_points(spark, sf_dir):
+    """A line for each customer: an address, with a name, with trips (over the bound for some), with trips that are no number."""
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    name, address = F.concat(F.lit(" place "), key), F.concat(F.lit("street "), key)
+    text = F.when(k % 4 == 0, address).when(k % 4 == 1, F.concat_ws(" ; ", name, address)).when(k % 4 == 2, F.concat_ws(";", name, address, (k % 20).cast("string"))).otherwise(F.concat_ws(";", name, address, F.lit("often")))
+    return T_.parse_point_list(spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("line"), text.alias("text")))
+
+
 def d3_ring_edges(spark, sf_dir):
     e = _ring_edges(spark)
     n = S.table(spark, sf_dir, "fx_nodes")
@@ -472,6 +567,27 @@ def k8_design_rows(spark, sf_dir):
     return _q(K.design_rows(r6_od_routes(spark, sf_dir), _clean(spark, sf_dir)))
 
 
+def _place_pairs(spark, sf_dir):
+    """A pair from each place to the one with the next number."""
+    p = S.table(spark, sf_dir, "fx_points")
+    end = lambda n: p.select((F.col("point") - int(n == "target")).alias("point"), F.col("lat").alias(f"{n}_lat"), F.col("lon").alias(f"{n}_lon"))
+    return end("origin").join(end("target"), "point").withColumn("pair", F.concat(F.lit("p"), F.col("point").cast("string"))).drop("point")
+
+
+def k6_new_rows(spark, sf_dir):
+    pairs = _place_pairs(spark, sf_dir).select("pair", F.col("pair").alias("origin"), F.col("pair").alias("target"), F.array().cast("array<string>").alias("slots"))
+    fresh = K.new_rows(_existing(spark, sf_dir), K.expected_measurements(pairs, K.slot_table(spark)))
+    return fresh.select("id_par", F.array_join("slots", ",").alias("slots"))
+
+
+def k7_snapped_pairs(spark, sf_dir):
+    return K.snap_pairs(_place_pairs(spark, sf_dir), graph(spark, sf_dir).nodes, _clean(spark, sf_dir))[0]
+
+
+def k7_unknown_pairs(spark, sf_dir):
+    return K.snap_pairs(_place_pairs(spark, sf_dir), graph(spark, sf_dir).nodes, _clean(spark, sf_dir))[1]
+
+
 def k9_column_scales(spark, sf_dir):
     return _q(K.column_scales(_design(spark, sf_dir)))
 
@@ -502,6 +618,10 @@ def k13_predictions(spark, sf_dir):
     return _q(both.select("slot", "pair", "observed_s", K.predicted_s().alias("predicted_s")), 4)
 
 
+def k13_diagnostics(spark, sf_dir):
+    return _q(_diagnostics(spark, sf_dir), 4)
+
+
 def k14_fit_report(spark, sf_dir):
     return K.fit_report(K.huber_weights(_design(spark, sf_dir), _params(spark)))
 
