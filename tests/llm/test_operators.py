@@ -198,6 +198,19 @@ def test_packing_keeps_every_id_once(spark, docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_long_words_are_summed_in_chunks(monkeypatch):
+    lat = lattice_lm.Lattice([b"a", b"ab", b"abc", b"bca", b" ab", b"cab", b"aaaaaaa"])
+    rng = np.random.default_rng(3)
+    lat.logp = np.log10(rng.dirichlet(np.ones(len(lat.keys))))
+    ws = ["".join(rng.choice(list("abc"), n)) for n in (1, 2, 6, 15, 16, 17, 40, 200)] + ["aaaaaaaaaaaaaaaaaaaa", "é" * 30]
+    weight = rng.random(len(ws)) + 0.5
+    score, uses = lat.score(ws), lat.expected(ws, weight)
+    for chunk in (1, 3, 16, 1000):
+        monkeypatch.setattr(lattice_lm, "CELLS", 0)
+        monkeypatch.setattr(lattice_lm, "CHUNK", chunk)
+        assert np.allclose(lat.score(ws), score, rtol=1e-12) and np.allclose(lat.expected(ws, weight), uses, rtol=1e-9)
+
+
 def test_chat_rotation(spark):
     rows = [(1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 0, "system", "be kind"), (1, 2, "bob", None), (1, None, "ann", "lost"), (2, 0, None, ""), (None, 0, "cy", "x"), (3, 0, "system", "alone"), (1, 200, "cy", "late")]
     df = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, block int")

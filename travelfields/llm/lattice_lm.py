@@ -28,8 +28,9 @@ EM_PASSES = 3
 SMOOTHING = 0.1
 #: Words whose scores every task holds; texts ask a join for the others.
 COMMON_WORDS = 200_000
-#: Cells of a lattice batch.
+#: Cells of a lattice batch. A word whose lattice has more is taken in chunks of so many bytes.
 CELLS = 1 << 21
+CHUNK = 1 << 14
 _P = np.uint64(0x100000001B3)
 
 
@@ -77,11 +78,65 @@ class Lattice:
             alpha[:, j] = top + np.log10((10.0 ** (stack - top)).sum(0))
         return alpha
 
-    def _batches(self, ws: list[str]):
+    def _arcs(self, codes: np.ndarray, first: int, last: int, by_end: bool) -> np.ndarray:
+        """One row for each of the positions first..last-1, one column for each piece length: the piece that starts there or, by_end, ends behind it; else -1."""
+        most = self.lengths[-1]
+        at = max(0, first + 1 - most) if by_end else first
+        part = codes[at : last if by_end else last + most - 1]
+        out = np.full((last - first, len(self.lengths)), -1)
+        for k, s in self._spans(part[None, :]).items():
+            row = np.arange(s.shape[1]) + at - first + (k - 1 if by_end else 0)
+            here = (row >= 0) & (row < last - first)
+            out[row[here], self.lengths.index(k)] = s[0, here]
+        return out
+
+    def _ring(self, arcs: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """The recursion over the rows of arcs, in their order. edge: the values of as many positions before the first row as the longest piece
+        has bytes, the next one last. Returns edge and the new values."""
+        most, back = self.lengths[-1], np.array(self.lengths)
+        value = np.concatenate([edge, np.empty(len(arcs))])
+        logp = np.where(arcs >= 0, self.logp[arcs], -np.inf)
+        for r in range(len(arcs)):
+            term = logp[r] + value[most + r - back]
+            top = term.max()
+            value[most + r] = top + np.log10((10.0 ** (term - top)).sum()) if top > -np.inf else -np.inf
+        return value
+
+    def _edge(self) -> np.ndarray:
+        return np.concatenate([np.full(self.lengths[-1] - 1, -np.inf), [0.0]])
+
+    def _long(self, codes: np.ndarray, weight: float | None = None) -> tuple[float, np.ndarray | None]:
+        """(log10 probability of one word, expected uses of pieces if there is a weight) in memory that grows by an edge a chunk. The way back
+        computes each chunk's forward values again from the edge before it."""
+        most, size = self.lengths[-1], len(codes)
+        starts, edges = range(0, size, CHUNK), [self._edge()]
+        for lo in starts:
+            edges.append(self._ring(self._arcs(codes, lo, min(lo + CHUNK, size), True), edges[-1])[-most:])
+        z = float(edges[-1][-1])
+        if weight is None:
+            return z, None
+        total, behind = np.zeros(len(self.keys)), self._edge()
+        for lo, edge in reversed(list(zip(starts, edges))):
+            hi = min(lo + CHUNK, size)
+            alpha = self._ring(self._arcs(codes, lo, hi, True), edge)[most - 1 : -1]
+            arcs = self._arcs(codes, lo, hi, False)
+            # Reversed, the value of position i stands behind those of i + 1, i + 2 and so on.
+            beta = self._ring(arcs[::-1], behind)
+            row, col = np.nonzero(arcs >= 0)
+            piece = arcs[row, col]
+            post = 10.0 ** (alpha[row] + self.logp[piece] + beta[most + (hi - lo - 1 - row) - np.array(self.lengths)[col]] - z)
+            total += np.bincount(piece, post * weight, len(total))
+            behind = beta[-most:]
+        return z, total
+
+    def _batches(self, ws: list[str], long: list):
+        """Batches of words of one size; words that are too long for a batch go to long, as (row, codes)."""
         by_size: dict[int, list[int]] = {}
-        raw = [b" " + w.encode("utf-8", "surrogatepass") for w in ws]
-        for i, w in enumerate(raw):
-            by_size.setdefault(len(w), []).append(i)
+        for i, w in enumerate(raw := [b" " + w.encode("utf-8", "surrogatepass") for w in ws]):
+            if len(w) * min(len(w), self.lengths[-1]) > CELLS:
+                long.append((i, np.frombuffer(w, np.uint8).astype(np.uint64)))
+            else:
+                by_size.setdefault(len(w), []).append(i)
         for size, rows in by_size.items():
             step = max(1, CELLS // (size * min(size, self.lengths[-1])))
             for k in range(0, len(rows), step):
@@ -91,15 +146,17 @@ class Lattice:
 
     def score(self, ws: list[str]) -> np.ndarray:
         """log10 marginal probability of each word, with the space before it."""
-        out = np.zeros(len(ws))
-        for rows, codes, size in self._batches(ws):
+        out, long = np.zeros(len(ws)), []
+        for rows, codes, size in self._batches(ws, long):
             out[rows] = self._forward(self._spans(codes), len(rows), size)[:, size]
+        for i, codes in long:
+            out[i] = self._long(codes)[0]
         return out
 
     def expected(self, ws: list[str], weight: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece, over weighted words."""
-        total = np.zeros(len(self.keys))
-        for rows, codes, size in self._batches(ws):
+        total, long = np.zeros(len(self.keys)), []
+        for rows, codes, size in self._batches(ws, long):
             n = len(rows)
             spans = self._spans(codes)
             alpha = self._forward(spans, n, size)
@@ -118,6 +175,8 @@ class Lattice:
                 piece = s[r, i]
                 post = 10.0 ** (alpha[r, i] + self.logp[piece] + beta[r, i + k] - z[r])
                 total += np.bincount(piece, post * w[r], len(total))
+        for i, codes in long:
+            total += self._long(codes, weight[i])[1]
         return total
 
 
@@ -205,7 +264,8 @@ def score_documents(documents: DataFrame, vocabulary_path: str, held_out: Column
     and pieces are all alike. Other columns are ignored. Empty input: no rows.
 
     Counts and expected counts cover all training words. What is broadcast is bounded by the vocabulary and by
-    COMMON_WORDS; a rarer word is looked up by a join on the word."""
+    COMMON_WORDS; a rarer word is looked up by a join on the word. A word of any length is summed in chunks
+    of bounded memory."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     sc = documents.sparkSession.sparkContext
     counted = docs.mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
