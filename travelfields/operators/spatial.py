@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -49,21 +49,22 @@ def _stitch(pieces: list[list[tuple[float, float]]]) -> list[list[tuple[float, f
     return rings
 
 
+def _stitch_rows(batches):
+    for batch in batches:
+        rows = []
+        for relation, pieces in zip(batch.column("relation_id").to_pylist(), batch.column("pieces").to_pylist()):
+            lines = [[(v["lat"], v["lon"]) for v in p] for p in pieces or [] if p and len(p) >= 2]
+            rows += [(relation, r, k, lat, lon) for r, ring in enumerate(_stitch(lines)) for k, (lat, lon) in enumerate(ring)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))], ["relation_id", "ring_id", "k", "lat", "lon"])
+
+
 def assemble_rings(relations: DataFrame) -> DataFrame:
     """relations: id, members(type, role, geometry(lat, lon)). Returns (relation_id, ring_id, k, lat, lon), closed rings of
-    the outer pieces; roles but outer and none are left out, so holes are ignored. One relation is one group."""
-    member = relations.select(F.col("id").alias("relation_id"), F.posexplode("members").alias("m", "member")).where(
-        "member.type = 'way' and coalesce(member.role, '') in ('outer', '')"
-    )
-    points = member.select("relation_id", "m", F.posexplode("member.geometry").alias("k", "p")).select("relation_id", "m", "k", "p.lat", "p.lon").where("lat is not null")
-
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces = [list(zip(g["lat"], g["lon"])) for _, g in pdf.sort_values(["m", "k"]).groupby("m")]
-        rings = _stitch([p for p in pieces if len(p) >= 2])
-        rows = [(pdf["relation_id"].iloc[0], r, k, lat, lon) for r, ring in enumerate(rings) for k, (lat, lon) in enumerate(ring)]
-        return pd.DataFrame(rows, columns=["relation_id", "ring_id", "k", "lat", "lon"])
-
-    return points.groupBy("relation_id").applyInPandas(stitch, "relation_id long, ring_id int, k int, lat double, lon double")
+    the outer pieces; roles but outer and none are left out, so holes are ignored. Each row is stitched where it is, without a shuffle."""
+    outer = F.filter("members", lambda m: (m["type"] == "way") & F.coalesce(m["role"], F.lit("")).isin("outer", ""))
+    pieces = F.transform(outer, lambda m: F.filter(m["geometry"], lambda p: p["lat"].isNotNull()))
+    rows = relations.select(F.col("id").cast("long").alias("relation_id"), pieces.alias("pieces"))
+    return rows.mapInArrow(_stitch_rows, "relation_id long, ring_id int, k int, lat double, lon double")
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
