@@ -50,8 +50,10 @@ def weekly_cost(links: DataFrame, fields: DataFrame, cells: DataFrame) -> DataFr
 
 
 def optimum(cost: DataFrame) -> DataFrame:
-    """(scenario, metric, cell, best_cost, worst_cost); ties go to the lowest cell."""
-    return cost.groupBy("scenario", "metric").agg(F.min(F.struct("cost", "cell")).alias("m"), F.max("cost").alias("worst_cost")).select("scenario", "metric", "m.cell", F.col("m.cost").alias("best_cost"), "worst_cost")
+    """(scenario, metric, cell, best_cost, worst_cost); ties go to the lowest cell. Costs equal to nine digits are ties, so that the order
+    in which a cost was summed doesn't choose the cell."""
+    first = F.min(F.struct(F.round("cost", 9), "cell"))["cell"]
+    return cost.groupBy("scenario", "metric").agg(first.alias("cell"), F.min("cost").alias("best_cost"), F.max("cost").alias("worst_cost"))
 
 
 def rank_pick(values: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:

@@ -142,20 +142,22 @@ CTES |= {
 CTES = {k: CTES[k] for k in CTES}
 
 
-def _needed(sql: str) -> list[str]:
+def _needed(sql: str, ctes: dict[str, str]) -> list[str]:
     import re
 
     words = lambda s: set(re.findall(r"[a-z_]\w*", re.sub(r"'[^']*'", "", s)))
     names, todo = set(), [sql]
     while todo:
-        for w in words(todo.pop()) & CTES.keys() - names:
+        for w in words(todo.pop()) & ctes.keys() - names:
             names.add(w)
-            todo.append(CTES[w])
-    return [n for n in CTES if n in names]
+            todo.append(ctes[w])
+    return [n for n in ctes if n in names]
 
 
-def _sql(select: str) -> str:
-    parts = ",\n".join(f"{n} as {'' if n in ('walk', 'reached') else 'materialized '}({CTES[n]})" for n in _needed(select))
+def _sql(select: str, ctes: dict[str, str] = CTES) -> str:
+    how = lambda n: "using key (field, node) as " if n.endswith("_labels") else "as " if n in ("walk", "reached") else "as materialized "
+    named = lambda n: f"{n}(field, node, weight, cost)" if n.endswith("_labels") else n
+    parts = ",\n".join(f"{named(n)} {how(n)}({ctes[n]})" for n in _needed(select, ctes))
     return f"with recursive {parts}\n{select}" if parts else select
 
 
@@ -276,3 +278,58 @@ TWINS |= {"s6_stored_nodes": TWINS["g9_reindexed_nodes"], "s6_stored_edges": TWI
 
 def oracle_sql() -> dict[str, str]:
     return {name: _sql(select) for name, select in TWINS.items()}
+
+
+def _least(name: str, wanted: str) -> dict[str, str]:
+    """CTEs that end in `name` (metric, slot, way, source, node, cost): least costs of all fields in `wanted`, for as many rounds as
+    labels improve. A round looks only at labels that the one before improved."""
+    return {
+        f"{name}_fields": f"select *, row_number() over (order by metric, slot, way, source) as field, dense_rank() over (order by metric, slot, way) as weight from ({wanted}) w",
+        f"{name}_arcs": f"""select weight, src, dst, min(w) as w from (select metric, slot, 'back' as way, src, dst, w from weights union all select metric, slot, 'out', src, dst, w from back_weights) a
+      join (select distinct metric, slot, way, weight from {name}_fields) x on x.metric = a.metric and x.slot = a.slot and x.way = a.way group by all""",
+        f"{name}_labels": f"""select field, source as node, weight, 0.0::double as cost from {name}_fields
+      union
+      select f.field, a.dst, f.weight, min(f.cost + a.w) from {name}_labels f join {name}_arcs a on a.weight = f.weight and a.src = f.node
+      left join recurring.{name}_labels r on r.field = f.field and r.node = a.dst where r.cost is null or f.cost + a.w < r.cost group by f.field, a.dst, f.weight""",
+        name: f"select metric, slot, way, source, node, cost from {name}_fields x join {name}_labels l on l.field = x.field",
+    }
+
+
+_ALL = dict(CTES)
+for _name, _text in CTES.items():
+    _ALL[_name] = _text.replace(f"f{ROUNDS}", "trip_costs")
+_ALL |= {"places": "select point as place, scenario, node from points"} | _least("trip_costs", "select * from wanted")
+_ALL |= _least("node_costs", "select 'tiempo' as metric, 'valle' as slot, 'back' as way, node as source from nodes")
+_ALL |= {
+    "box": "select min(lat) - 4e-3 as lat_min, max(lat) + 4e-3 as lat_max, min(lon) - 4e-3 as lon_min, max(lon) + 4e-3 as lon_max from nodes",
+    "rmeta": f"select *, 120.0 / {_M} as step_lat, 120.0 / ({_M} * cos(radians((lat_min + lat_max) / 2))) as step_lon from box",
+    "rsize": "select *, ceil((lon_max - lon_min) / step_lon) + 1 as width, ceil((lat_max - lat_min) / step_lat) + 1 as height from rmeta",
+    "stamp": """select source as field, (floor((lon - lon_min) / step_lon + 0.5) + dx)::int as x, (floor((lat - lat_min) / step_lat + 0.5) + dy)::int as y, cost, width, height
+      from node_costs r join nodes n on n.node = r.node, rsize, (select unnest(range(-2, 3)) as dx) a, (select unnest(range(-2, 3)) as dy) b where source in (select node from points)""",
+}
+_ALL |= {"asked": "select point, node as source, metric, coalesce(fixed_slot, slot_out) as slot from points cross join metrics"}
+_ALL |= _least("asked_costs", "select distinct metric, slot, 'back' as way, source from asked")
+_TIE = ("struct_pack(c := cost,", "struct_pack(c := round(cost, 9),")
+_ALL["best"] = _ALL["best"].replace(*_TIE)
+# Every CTE stands after those that it reads.
+_LATE = ["links", "trip", "node_cost", "cost", "best", "places", "detail", "breakdown", "box", "rmeta", "rsize", "stamp", "raster", "bands"]
+_ALL = {n: s for n, s in _ALL.items() if n not in _LATE} | {n: _ALL[n] for n in _LATE}
+
+
+def whole_sql() -> dict[str, str]:
+    """Twins whose least paths run until no label improves, from all nodes, points and places."""
+    texts = {n: s.replace(f"f{ROUNDS}", "trip_costs") for n, s in TWINS.items() if f"f{ROUNDS}" in s or "c1" <= n[:2] <= "c9" or n.startswith("v4")}
+    # Costs equal to nine digits are ties, and halves of the last digit go up.
+    texts["c7_reweighted_optimum"] = texts["c7_reweighted_optimum"].replace(*_TIE)
+    texts["c3_summary"] = texts["c3_summary"].replace("greatest(1, trips), 6)", "greatest(1, trips) + 1e-10, 6)")
+    texts["c9_cost_by_zone"] = texts["c9_cost_by_zone"].replace("avg(cost), 6)", "avg(cost) + 1e-10, 6)")
+    texts |= {n: TWINS[n] for n in ("v1_raster", "v2_isochrone_bands", "v6_reach_summary")}
+    # Four joins: a count for each row of bands would meet them all.
+    near = " ".join(f"left join bands n{k} on n{k}.field = a.field and n{k}.band = a.band and n{k}.x = a.x + {dx} and n{k}.y = a.y + {dy}" for k, (dx, dy) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1))))
+    texts["v3_band_borders"] = f"select a.field, a.x, a.y, a.x between 1 and width - 2 and a.y between 1 and height - 2 and (n0.x is null or n1.x is null or n2.x is null or n3.x is null) as is_border from bands a {near}, rsize"
+    corner = lambda name, low, step, k, half: f"round({low} + ({k} {half}) * {step}, 7) as {name}"
+    sides = ((n, f"{a}_min", f"step_{a}", k, h) for n, a, k, h in (("west", "lon", "x", "- 0.5"), ("east", "lon", "x", "+ 0.5"), ("south", "lat", "y", "- 0.5"), ("north", "lat", "y", "+ 0.5")))
+    texts["v8_cell_corners"] = f"select x, y, {', '.join(corner(*s) for s in sides)} from (select distinct x, y from raster) c, rsize"
+    texts["r1_cost_field"] = f"select source as field, node, {_r('cost')} from node_costs"
+    texts["r5_reach_field"] = f"select point, a.metric, a.slot, node, {_r('cost')} from asked a join asked_costs c on c.metric = a.metric and c.slot = a.slot and c.source = a.source"
+    return {n: _sql(s, _ALL) for n, s in texts.items()}

@@ -40,6 +40,11 @@ def _q(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def _up(df: DataFrame, name: str) -> DataFrame:
+    """A quotient may be half of the last digit that _q keeps; it then goes up, whatever its last bits."""
+    return df.withColumn(name, F.col(name) + 1e-10)
+
+
 def _rules(spark, sf_dir):
     return G.describe_ways(S.ways_and_nodes(spark, sf_dir)[0])
 
@@ -121,12 +126,41 @@ def _reach(spark, sf_dir):
     return _once(spark, sf_dir, "reach", build)
 
 
+def _node_fields(spark, sf_dir):
+    """Seconds from each node to each one that it reaches, in tiempo and valle; field is the node."""
+
+    def build():
+        g = graph(spark, sf_dir)
+        w = R.edge_weights(g.edges, g.nodes, S.slot_params(spark).where("slot = 'valle'"), R.metric_catalogue(spark).where("metric = 'tiempo'")).withColumn("weight_id", F.lit("v"))
+        src = g.nodes.select(F.col("node").alias("field"), F.lit("v").alias("weight_id"), "node")
+        return write_shared(R.cost_field(w.select("weight_id", "src", "dst", "w"), src, g.nodes), "q-node-fields")
+
+    return _once(spark, sf_dir, "node-fields", build)
+
+
+def _box(spark, sf_dir):
+    """A box around all nodes of the graph: one row of bounds."""
+    ends = ((f(a).alias(f"{a}_{e}")) for a in ("lat", "lon") for e, f in (("min", F.min), ("max", F.max)))
+    build = lambda: graph(spark, sf_dir).nodes.agg(*ends).first().asDict()
+    got = _once(spark, sf_dir, "box", build)
+    return {k: v + (4e-3 if k.endswith("max") else -4e-3) for k, v in got.items()}
+
+
 def _raster(spark, sf_dir):
-    return _once(spark, sf_dir, "raster", lambda: write_shared(V.rasterise(_reach(spark, sf_dir), graph(spark, sf_dir).nodes, _BOX), "q-raster"))
+    """Rasters of all fields that start where a point is, over the whole network. Points at one node share a field."""
+
+    def build():
+        at = _points(spark, sf_dir).select(F.col("node").alias("field")).distinct()
+        return write_shared(V.rasterise(_node_fields(spark, sf_dir).join(at, "field", "left_semi"), graph(spark, sf_dir).nodes, _box(spark, sf_dir)), "q-raster")
+
+    return _once(spark, sf_dir, "raster", build)
+
+
+_LIMITS = (2.0, 4.0, 0.0, 8.0)
 
 
 def _bands(spark, sf_dir):
-    return V.isochrone_bands(_raster(spark, sf_dir), (2.0, 4.0, 0.0, 8.0))
+    return V.isochrone_bands(_raster(spark, sf_dir), _LIMITS)
 
 
 def _pairs(spark, sf_dir):
@@ -418,10 +452,7 @@ def d12_select_zones(spark, sf_dir):
 
 
 def r1_cost_field(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    w = R.edge_weights(g.edges, g.nodes, S.slot_params(spark).where("slot = 'valle'"), R.metric_catalogue(spark).where("metric = 'tiempo'")).withColumn("weight_id", F.lit("v"))
-    src = g.nodes.select(F.col("node").alias("field"), F.lit("v").alias("weight_id"), "node")
-    return _q(R.cost_field(w.select("weight_id", "src", "dst", "w"), src, g.nodes))
+    return _q(_node_fields(spark, sf_dir))
 
 
 def r2_r4_point_fields(spark, sf_dir):
@@ -461,7 +492,7 @@ def c2_optimum(spark, sf_dir):
 
 
 def c3_summary(spark, sf_dir):
-    return _q(C.summary(_cost(spark, sf_dir), _points(spark, sf_dir), _cells(spark, sf_dir)))
+    return _q(_up(C.summary(_cost(spark, sf_dir), _points(spark, sf_dir), _cells(spark, sf_dir)), "cost_per_trip"))
 
 
 def _places(spark, sf_dir):
@@ -492,7 +523,7 @@ def c8_points_bbox(spark, sf_dir):
 
 
 def c9_cost_by_zone(spark, sf_dir):
-    return _q(C.cost_by_zone(_cost(spark, sf_dir), _cells(spark, sf_dir)))
+    return _q(_up(C.cost_by_zone(_cost(spark, sf_dir), _cells(spark, sf_dir)), "mean_cost"))
 
 
 def v1_raster(spark, sf_dir):
@@ -504,7 +535,14 @@ def v2_isochrone_bands(spark, sf_dir):
 
 
 def v3_band_borders(spark, sf_dir):
+    """A small example in a fixed box; _band_borders has all fields."""
     m = V.raster_meta(_BOX)
+    raster = V.rasterise(_reach(spark, sf_dir), graph(spark, sf_dir).nodes, _BOX)
+    return V.band_borders(V.isochrone_bands(raster, _LIMITS), m["width"], m["height"]).select("field", "x", "y", "is_border")
+
+
+def _band_borders(spark, sf_dir):
+    m = V.raster_meta(_box(spark, sf_dir))
     return V.band_borders(_bands(spark, sf_dir), m["width"], m["height"]).select("field", "x", "y", "is_border")
 
 
@@ -527,8 +565,9 @@ def v7_formatted_costs(spark, sf_dir):
 
 
 def v8_cell_corners(spark, sf_dir):
-    m = V.raster_meta(_BOX)
-    return _q(V.cell_corners(_raster(spark, sf_dir).select("x", "y").distinct(), _BOX["lat_min"], _BOX["lon_min"], m["step_lat"], m["step_lon"]), 7)
+    box = _box(spark, sf_dir)
+    m = V.raster_meta(box)
+    return _q(V.cell_corners(_raster(spark, sf_dir).select("x", "y").distinct(), box["lat_min"], box["lon_min"], m["step_lat"], m["step_lon"]), 7)
 
 
 def k1_clean_measurements(spark, sf_dir):
@@ -648,3 +687,8 @@ def k18_priors(spark, sf_dir):
 def queries():
     named = {n: f for n, f in globals().items() if n[:2] in {f"{a}{b}" for a in "pgdrcvks" for b in "123456789"} and callable(f)}
     return {**{n: partial(q_fixture, n) for n in S.VIEWS}, **named}
+
+
+def whole_queries():
+    """queries(), with those that are small examples there over all fields."""
+    return queries() | {"v3_band_borders": _band_borders}
