@@ -99,6 +99,16 @@ def test_repeats_are_removed(docs, none, most, monkeypatch):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_sql_of_repeats(docs):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    got = {r[0]: r[1:] for r in con.execute(queries.oracle_sql()["op4_suffix_array_dedup"]).fetchall()}
+    out = suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("left", 256))
+    assert got == {r[0]: tuple(r[1:]) for r in out.collect()} and len(got) == len(TEXTS)
+
+
 def test_columnwise_order_is_the_sorted_order():
     rng = np.random.default_rng(2)
     m = rng.integers(97, 99, (60, 24)).astype(np.uint8)

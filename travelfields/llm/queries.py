@@ -147,6 +147,25 @@ from g join (select doc_id, min(c) as m from r group by doc_id) x on x.doc_id =
 """
 
 
+#: Texts as hexadecimal digits, in blocks of 1,000 bytes that run on by a window. Windows that meet or overlap are one span.
+_OP4 = f"""
+with h as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+blocks as (select r, j, substr(x, 2000 * j + 1, 2000 + 2 * ({suffix_dedup.LENGTH} - 1)) as x from h, lateral (select unnest(range(0, strlen(x) // 2000 + 1)) as j) b),
+starts as (select r, 1000 * j + i as p, md5_number(substr(x, 2 * i + 1, 2 * {suffix_dedup.LENGTH})) as k from blocks,
+  lateral (select unnest(range(0, greatest(0, least(1000, strlen(x) // 2 - {suffix_dedup.LENGTH} + 1)))) as i) w),
+twice as (select r, p from starts qualify count(*) over (partition by k) > 1),
+fresh as (select r, p, coalesce(p - lag(p) over (partition by r order by p) > {suffix_dedup.LENGTH}, true)::int as f from twice),
+runs as (select r, p, sum(f) over (partition by r order by p) as run from fresh),
+spans as (select r, min(p) as a, max(p) + {suffix_dedup.LENGTH} as b from runs group by r, run),
+ends as (select r, a, b from spans union all select r, strlen(x) // 2, null from h),
+gaps as (select r, coalesce(lag(b) over (partition by r order by a, b nulls last), 0) as a, a as b from ends),
+kept as (select h.r, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' order by a) as x from gaps join h on h.r = gaps.r group by h.r),
+removed as (select r, sum(b - a)::bigint as n, count(*) as spans from spans group by r)
+select doc_id, (strlen(h.x) // 2)::bigint as n_bytes, coalesce(n, 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(kept.x)) as kept_sha256
+from h join kept on kept.r = h.r left join removed on removed.r = h.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     table = ",".join(map(str, sharding.slot_table(SHARDS)))
     op8 = f"""
@@ -154,4 +173,4 @@ with t as (select string_split('{table}', ',') as claim),
 d as (select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint % {sharding.TABLE_SIZE} as shard_slot from documents)
 select doc_id, shard_slot, claim[shard_slot + 1]::int as shard from d, t
 """
-    return {"op1_embedding_near_dedup": _OP1, "op3_perspective_rotation": _OP3, "op8_lookup_table_sharding": op8, "op10_signature_tree_join": _OP10}
+    return {"op1_embedding_near_dedup": _OP1, "op3_perspective_rotation": _OP3, "op4_suffix_array_dedup": _OP4, "op8_lookup_table_sharding": op8, "op10_signature_tree_join": _OP10}
