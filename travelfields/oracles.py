@@ -316,6 +316,14 @@ _LATE = ["links", "trip", "node_cost", "cost", "best", "places", "detail", "brea
 _ALL = {n: s for n, s in _ALL.items() if n not in _LATE} | {n: _ALL[n] for n in _LATE}
 
 
+# The lattice over the zones' box instead of that of all nodes.
+_MASKED = _ALL | {"span": _ALL["span"].replace(
+    "(select min(lat) - 4e-3 as lat_min, max(lat) + 4e-3 as lat_max, min(lon) - 4e-3 as lon_min, max(lon) + 4e-3 as lon_max from fx_nodes) b",
+    "(select " + ", ".join(f"{g}({m}({a}), {config.GRAPH_BBOX[f'{a}_{m}']!r}::double) as {a}_{m}" for a in ("lat", "lon") for m, g in (("min", "greatest"), ("max", "least")))
+    + " from (select lat_a as lat, lon_a as lon from ring_edges union all select lat_min, lon_min from boxes union all select lat_max, lon_max from boxes) e) b",
+)}
+
+
 def whole_sql() -> dict[str, str]:
     """Twins whose least paths run until no label improves, from all nodes, points and places."""
     texts = {n: s.replace(f"f{ROUNDS}", "trip_costs") for n, s in TWINS.items() if f"f{ROUNDS}" in s or "c1" <= n[:2] <= "c9" or n.startswith("v4")}
@@ -330,6 +338,18 @@ def whole_sql() -> dict[str, str]:
     corner = lambda name, low, step, k, half: f"round({low} + ({k} {half}) * {step}, 7) as {name}"
     sides = ((n, f"{a}_min", f"step_{a}", k, h) for n, a, k, h in (("west", "lon", "x", "- 0.5"), ("east", "lon", "x", "+ 0.5"), ("south", "lat", "y", "- 0.5"), ("north", "lat", "y", "+ 0.5")))
     texts["v8_cell_corners"] = f"select x, y, {', '.join(corner(*s) for s in sides)} from (select distinct x, y from raster) c, rsize"
+    texts["v7_formatted_costs"] = """select scenario, metric, case when unit = 'km' and v < 10 then format('{:.1f}', v) || ' km' when unit = 'km' then floor(v + 0.5)::bigint || ' km' when v < 60 then round(v)::bigint || ' min'
+      when floor(v - 60 * h + 0.5) = 0 then h || ' h' else h || ' h ' || floor(v - 60 * h + 0.5)::bigint || ' min' end as text
+      from (select b.scenario, b.metric, unit, round(best_cost, 3) as v, floor(round(best_cost, 3) / 60)::bigint as h from best b join metrics m on m.metric = b.metric) x"""
+    channels = ", ".join(f"sum(floor(a[{k}] + (b[{k}] - a[{k}]) * (x - i) + 0.5))::bigint as {c}" for k, c in enumerate("rgb", 1))
+    ramp = [list(c) for c in config.HEAT_RAMP]
+    texts["v5_heat_map"] = f"""select scenario, metric, {channels} from (select scenario, metric, x, i, ramp[i + 1] as a, ramp[i + 2] as b from
+      (select *, least({len(ramp) - 2}, floor(x))::int as i, {ramp} as ramp from (select c.scenario, c.metric, least(1.0::double, greatest(0.0::double, (round(cost, 6) - low) / span)) * {len(ramp) - 1} as x
+      from cost c join ({texts["v4_heat_scale"]}) e on e.scenario = c.scenario and e.metric = c.metric) p) q) z group by scenario, metric"""
+    texts["p7_quantised_edges"] = """select way, stretch, seg, greatest(1, least(65535, round_even(length_m / (kmh / 3.6) * 10, 0)))::int as base_ds, greatest(1, least(65535, round_even(length_m, 0)))::int as whole_m from
+      (select g.*, stretch::int as stretch, seg::int as seg from segments g join (select c.way, c.pos, stretch, row_number() over (partition by c.way, stretch order by c.pos) - 1 as seg from cuts c
+      join (select way, pos, coalesce(sum((shared and pos > 0)::int) over (partition by way order by pos rows between unbounded preceding and 1 preceding), 0) as stretch from steps s join usage u on u.ref = s.ref) t
+      on t.way = c.way and t.pos = c.pos) n on n.way = g.way and n.pos = g.pos) y"""
     texts["r1_cost_field"] = f"select source as field, node, {_r('cost')} from node_costs"
     texts["r5_reach_field"] = f"select point, a.metric, a.slot, node, {_r('cost')} from asked a join asked_costs c on c.metric = a.metric and c.slot = a.slot and c.source = a.source"
-    return {n: _sql(s, _ALL) for n, s in texts.items()}
+    return {n: _sql(s, _ALL) for n, s in texts.items()} | {"d11_candidate_cells": _sql("select cell, ix, iy, node, zone_id from cells where zone_id > 0", _MASKED)}
