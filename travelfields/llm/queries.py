@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from travelfields.llm import chat, embedding_dedup, fingerprints, lattice_lm, mixing, ngram_join, packing, quality, sharding, suffix_dedup
+from travelfields.llm import chat, embedding_dedup, fingerprints, lattice_lm, maxscore_search, mixing, ngram_join, packing, ppm_language, prefix_trie, quality, sharding, suffix_dedup
 from travelfields.llm.text import word_array
 
 LM_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -84,10 +84,23 @@ def op10_signature_tree_join(spark, sf_dir):
     return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.shared_head_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_maxscore_search(spark, sf_dir):
+    return maxscore_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_ppm_language(spark, sf_dir):
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return ppm_language.identify(_table(spark, sf_dir, "documents"), F.crc32(id_text.cast("binary")) % 3 == 1)
+
+
 def queries():
     ops = (
         op1_embedding_near_dedup, op2_lattice_scoring, op3_perspective_rotation, op4_suffix_array_dedup, op5_entropy_balancing, op6_quality_classifier,
-        op7_online_packing, op8_lookup_table_sharding, op9_canonical_fingerprints, op10_signature_tree_join,
+        op7_online_packing, op8_lookup_table_sharding, op9_canonical_fingerprints, op10_signature_tree_join, op11_prefix_trie, op12_maxscore_search, op13_ppm_language,
     )
     return {f.__name__: f for f in ops}
 
@@ -166,6 +179,40 @@ from h join kept on kept.r = h.r left join removed on removed.r = h.r
 """
 
 
+#: Paths are the digests of all turns up to one. crc counts a decimal's bytes bit by bit.
+_OP11 = """
+with crc as (select conv_id, list_reduce(list_transform(list_concat([4294967295::bigint], list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i, 1))::bigint)), lambda x: x),
+  lambda s, b: list_reduce(list_concat([xor(s, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as s from (select distinct conv_id from conversations where conv_id is not null)),
+cs as (select conv_id, xor(s, 4294967295) % 6 as h, conv_id - conv_id % 100 as base from crc),
+m as (select conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as k, length(coalesce(text, '')) as chars,
+  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos from conversations where conv_id is not null),
+r as (select cs.conv_id, 0 as part, pos, k, chars from cs join m on m.conv_id = cs.base where pos < h
+  union all select cs.conv_id, 1, pos, k, chars from cs join m on m.conv_id = cs.conv_id where pos >= h),
+p as (select conv_id, row_number() over w as depth, string_agg(k, '') over w as path, chars from r window w as (partition by conv_id order by part, pos rows unbounded preceding)
+  union all select conv_id, 0, '', 0 from cs),
+n as (select path, depth, chars, min(conv_id) as conv_id, count(*) as n_convs from p group by all),
+f as (select conv_id, max(depth) as d from p group by conv_id),
+e as (select path, string_agg(conv_id::varchar, ',' order by conv_id) as ids from p join f using (conv_id) where depth = d group by path),
+kids as (select substr(path, 1, 64 * (depth - 1)) as path, count(*) as n from n where depth > 0 group by 1),
+x as (select n.*, coalesce(kids.n, 0) as n_children from n left join kids using (path)),
+a as (select substr(path, 1, 64 * d) as path, sum((n_convs - 1) * chars) as saved, count(*) filter (n_children = 0) as leaves from x, lateral (select unnest(range(0, depth + 1)) as d) group by 1)
+select x.conv_id, x.depth::bigint as depth, u.conv_id as parent_conv_id, x.n_convs, x.n_children, leaves as n_leaves, saved::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from x join a using (path) left join e using (path) left join n u on x.depth > 0 and u.path = substr(x.path, 1, 64 * (x.depth - 1))
+"""
+
+_OP12 = """
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ts from documents),
+q as (select row_number() over () as i, item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) as t from benchmark),
+k as (select count(*)::bigint as nd, sum(len(ts))::bigint as l from d where len(ts) > 0),
+p as (select r, doc_id, len(ts)::bigint as n, unnest(ts) as t from d),
+c as (select r, doc_id, n, t, count(*)::bigint as tf from p where t in (select t from q) group by all),
+w as (select t, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::bigint as w from c, k group by t, nd),
+s as (select i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))))::bigint as score from q join c using (t) join w using (t), k group by all),
+z as (select *, row_number() over (partition by i order by score desc, doc_id nulls first) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from z where rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     table = ",".join(map(str, sharding.slot_table(SHARDS)))
     op8 = f"""
@@ -173,4 +220,4 @@ with t as (select string_split('{table}', ',') as claim),
 d as (select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint % {sharding.TABLE_SIZE} as shard_slot from documents)
 select doc_id, shard_slot, claim[shard_slot + 1]::int as shard from d, t
 """
-    return {"op1_embedding_near_dedup": _OP1, "op3_perspective_rotation": _OP3, "op4_suffix_array_dedup": _OP4, "op8_lookup_table_sharding": op8, "op10_signature_tree_join": _OP10}
+    return {"op1_embedding_near_dedup": _OP1, "op3_perspective_rotation": _OP3, "op4_suffix_array_dedup": _OP4, "op8_lookup_table_sharding": op8, "op10_signature_tree_join": _OP10, "op11_prefix_trie": _OP11, "op12_maxscore_search": _OP12}
