@@ -67,6 +67,20 @@ def test_word_hashes_agree_over_long_texts():
     assert len(ngram_join.word_hashes(b" \t ")) == 0
 
 
+def test_long_words_of_two_letters_are_told_apart(spark):
+    """Words whose byte polynomials are equal modulo 2^64 for all values of the two bytes."""
+    thue = lambda n, a, b: "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+    rows = [(k, thue(n, *ends)) for k, (n, ends) in enumerate([(16, "ab"), (16, "ba"), (1024, "ab"), (1024, "ba"), (4096, "ab"), (4096, "ba"), (600_000, "ab"), (600_000, "ba")])] + [(20, "x y z")]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d for d, _ in rows}
+    for n in (256, 300):
+        a, b = (spark.createDataFrame([(1, thue(n, *x) * 2)], "doc_id long, text string") for x in ("ab", "ba"))
+        gone = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(a.union(b.selectExpr("2L", "text"))).collect()}
+        texts = {1: thue(n, *"ab").encode() * 2, 2: thue(n, *"ba").encode() * 2}
+        starts = Counter(t[i : i + 200] for t in texts.values() for i in range(len(t) - 199))
+        assert gone == {d: len({p for i in range(len(t) - 199) if starts[t[i : i + 200]] > 1 for p in range(i, i + 200)}) for d, t in texts.items()}
+
+
 def test_signature_tree_finds_what_stars_leave_apart(spark):
     """b and c link but neither links a, the star of the shingles that all three share."""
     common = [f"s{k}" for k in range(12)]
@@ -226,13 +240,21 @@ def test_chat_rotation(spark):
     df = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, block int")
     got = {(r.conv_id, r.perspective, r.block): r for r in chat.rotate_perspectives(df).collect()}
     r = got[1, "bob", 0]
-    assert r.rendered == "<|system|>\nbe kind<|end|>\n<|user name=ann|>\nhi<|end|>\n<|assistant|>\n<|end|>\n"
-    assert (r.mask, r.n_messages) == ("001", 3) and [r.rendered[s.start : s.end] for s in r.train_spans] == ["<|end|>\n"]
-    assert {k[1] for k in got if k[0] == 1} == {"ann", "bob", "cy"} and (1, "cy", 3) in got and (2, "unknown", 0) in got and (None, "cy", 0) in got
-    assert not any(k[0] == 3 for k in got) and any(k[2] is not None and k[2] < 0 for k in got)
+    assert r.rendered == "<|user name=ann|>\nlost<|end|>\n<|system|>\nbe kind<|end|>\n<|user name=ann|>\nhi<|end|>\n<|assistant|>\n<|end|>\n<|user name=cy|>\nlate<|end|>\n"
+    assert (r.mask, r.n_messages, r.first_message) == ("00010", 5, 0) and [r.rendered[s.start : s.end] for s in r.train_spans] == ["<|end|>\n"]
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "cy", 0), (2, "unknown", 0), (None, "cy", 0)}
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_long_dialogues_are_whole_or_cut_by_place(spark):
+    df = spark.createDataFrame([(1, 10 * t, "ab"[t % 2], f"m{t}") for t in range(100)], "conv_id long, turn long, role string, text string")
+    whole = {r.perspective: r for r in chat.rotate_perspectives(df).collect()}
+    assert set(whole) == {"a", "b"} and all(r.n_messages == 100 for r in whole.values())
+    cut = sorted(chat.rotate_perspectives(df, 64).collect(), key=lambda r: (r.perspective, r.block))
+    assert [(r.perspective, r.block, r.first_message, r.n_messages) for r in cut] == [(p, b, 64 * b, n) for p in "ab" for b, n in ((0, 64), (1, 36))]
+    assert all("".join(r.rendered for r in cut if r.perspective == p) == whole[p].rendered for p in "ab")
+
+
 def test_sharding(spark, docs):
     table = sharding.slot_table([f"s{k}" for k in range(7)], 1009)
     share = Counter(table)

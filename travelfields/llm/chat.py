@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from travelfields.shared import write_shared
 
-BLOCK_TURNS = 64
-NULL_BLOCKS = 1 << 20
 
-
-def rotate_perspectives(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+def rotate_perspectives(conversations: DataFrame, block_turns: int | None = None) -> DataFrame:
     """Render each conversation once for each participant, who becomes the assistant.
 
     conversations: conv_id, turn, role, text. A participant is any role but `system`; a null
@@ -19,24 +17,22 @@ def rotate_perspectives(conversations: DataFrame, block_turns: int = BLOCK_TURNS
     name, system messages stay as they are. Only what the assistant says (with its end
     marker) is trained on.
 
-    Returns one row per (conv_id, perspective, block): a block holds the messages whose
-    turn divided by block_turns is the block, so a conversation of any length stays in
-    bounded rows; one of up to block_turns turns is one row, block 0. Columns: n_messages,
-    rendered, mask (a 1 for each message trained on, else a 0, in order), train_spans (array
-    of start and end, code points of rendered, end excluded).
+    Returns one row per (conv_id, perspective, block), with first_message, n_messages, rendered, mask (a 1 for
+    each message trained on, else a 0, in order) and train_spans (array of start and end, code points of rendered, end
+    excluded). A dialogue is one row, block 0, unless block_turns is given: then its messages are cut by their place in it
+    into blocks of that many, and first_message is the place, from 0, of a block's first one.
 
-    Messages are ordered by turn, then role, then text. An identical repeated row is one
-    message. A null text is an empty message. A null turn has no place in the order: such
-    messages come in blocks of their own with negative numbers, dealt by a hash of the row.
-    A null conv_id is one conversation. A conversation with only system messages has no
+    Messages are ordered by turn (null first), then role, then text. An identical repeated row is one
+    message. A null text is an empty message. A null conv_id is one conversation. A conversation with only system messages has no
     participant and gives no row. Other columns are ignored. Empty input: no rows."""
     speaker = F.coalesce(F.col("role"), F.lit("unknown"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    turn = F.col("turn").cast("long")
-    block = F.when(turn.isNotNull(), F.floor(turn / F.lit(block_turns)).cast("long")).otherwise(
-        -1 - F.pmod(F.xxhash64(speaker, text), F.lit(NULL_BLOCKS)).cast("long")
-    )
-    said = conversations.select("conv_id", block.alias("block"), F.struct(turn.alias("turn"), speaker.alias("speaker"), text.alias("text")).alias("m"))
+    said = conversations.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), speaker.alias("speaker"), text.alias("text")).alias("m"))
+    if block_turns is None:
+        said = said.withColumn("block", F.lit(0).cast("long"))
+    else:
+        place = F.row_number().over(W.partitionBy("conv_id").orderBy("m")) - 1
+        said = said.distinct().withColumn("block", F.floor(place / F.lit(block_turns)).cast("long"))
     blocks = said.groupBy("conv_id", "block").agg(F.sort_array(F.collect_set("m")).alias("messages"))
     people = write_shared(
         conversations.select("conv_id", speaker.alias("perspective")).where("perspective <> 'system'").distinct(), "chat-people"
@@ -60,7 +56,7 @@ def rotate_perspectives(conversations: DataFrame, block_turns: int = BLOCK_TURNS
         return F.struct(end.alias("at"), F.when(p["own"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     return views.withColumn("parts", parts).select(
-        "conv_id", "perspective", "block",
+        "conv_id", "perspective", "block", (F.col("block") * (block_turns or 0)).alias("first_message"),
         F.size("parts").cast("long").alias("n_messages"),
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("rendered"),
         F.array_join(F.transform("parts", lambda p: F.when(p["own"], F.lit("1")).otherwise(F.lit("0"))), "").alias("mask"),

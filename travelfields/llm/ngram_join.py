@@ -21,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -57,6 +58,8 @@ _MASK = (1 << 64) - 1
 
 #: Words are hashed in pieces of a text of about this many bytes.
 SEGMENT = 1 << 18
+#: Longer words are hashed one by one.
+WORD_BYTES = 24
 _FOLDED = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BYTE = np.random.default_rng(10).integers(0, 2**64, 256, np.uint64)
 with np.errstate(over="ignore"):
@@ -70,17 +73,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _long_word(piece: bytes) -> np.ndarray:
-    total = 0
-    for at in range(0, len(piece), SEGMENT):
-        x = np.frombuffer(piece, np.uint8, min(SEGMENT, len(piece) - at), at)
-        total += int((_BYTE[x] * _UP[: len(x)]).sum()) * pow(int(_P), at, 2**64)
-    return np.array([total & _MASK], np.uint64)
-
-
 def word_hashes(text: bytes) -> np.ndarray:
-    """A hash of each word of a text in UTF-8: A-Z folded, cut at the bytes \\x20 and \\x09-\\x0D. A word's hash is a
-    polynomial of its bytes, taken as the difference of two running sums."""
+    """A hash of each word of a text in UTF-8: A-Z folded, cut at the bytes \\x20 and \\x09-\\x0D. The hash of a word of up to WORD_BYTES
+    is a polynomial of its bytes, taken as the difference of two running sums. Modulo 2^64 such polynomials are equal for some pairs of
+    long words of two letters whatever the bytes' values, so longer words are hashed by XXH3."""
     text = text.translate(_FOLDED)
     out, at = [], 0
     while at < len(text):
@@ -93,7 +89,7 @@ def word_hashes(text: bytes) -> np.ndarray:
         piece = text[at:end].strip(b" ")
         at = end
         if len(piece) > SEGMENT:
-            out.append(_long_word(piece))
+            out.append(np.array([xxhash.xxh3_64_intdigest(piece)], np.uint64))
         elif piece:
             data = np.frombuffer(piece, np.uint8)
             sums = np.zeros(len(data) + 1, np.uint64)
@@ -101,7 +97,10 @@ def word_hashes(text: bytes) -> np.ndarray:
             inside = data != 32
             edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
             start, stop = np.concatenate(([0], edge[1::2])), np.concatenate((edge[::2], [len(data)]))
-            out.append((sums[stop] - sums[start]) * _DOWN[start])
+            found = (sums[stop] - sums[start]) * _DOWN[start]
+            for k in np.flatnonzero(stop - start > WORD_BYTES):
+                found[k] = xxhash.xxh3_64_intdigest(piece[start[k] : stop[k]])
+            out.append(found)
     return _mixed(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 

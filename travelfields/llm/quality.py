@@ -65,7 +65,8 @@ class QualityModel:
         """labels: (doc_id, good). A doc_id with several labels is good only if all say so; null labels are none."""
         rated = labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good"))
         chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-        rows = write_shared(featured(documents.join(F.broadcast(chosen), "doc_id"), F.col("good")), "quality-train")
+        rated_texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        rows = write_shared(featured(rated_texts, F.col("good")), "quality-train")
         n, good = rows.agg(F.count("*"), F.sum("good")).first()
         good = good or 0
         if not good or good == n:

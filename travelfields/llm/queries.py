@@ -119,25 +119,25 @@ from v left join (select a, count(*) as n from l group by a) k on k.a = v.vec_id
 join (select vec_id, min(c) as m from r group by vec_id) x on x.vec_id = v.vec_id
 """
 
-_OP3 = f"""
+_OP3 = """
 with m as (
-  select distinct conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text, turn // {chat.BLOCK_TURNS} as block from conversations
+  select distinct conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text from conversations
 ), p as (
   select distinct conv_id, speaker as perspective from m where speaker <> 'system'
 ), x as (
-  select m.conv_id, perspective, block, turn, speaker, text, speaker = perspective as own,
+  select m.conv_id, perspective, turn, speaker, text, speaker = perspective as own,
     case when speaker = perspective then '<|assistant|>' || chr(10) when speaker = 'system' then '<|system|>' || chr(10)
          else '<|user name=' || speaker || '|>' || chr(10) end as head,
     text || '<|end|>' || chr(10) as body
   from m join p on m.conv_id = p.conv_id
 ), y as (
-  select *, sum(length(head) + length(body)) over (partition by conv_id, perspective, block order by turn, speaker, text) as till from x
+  select *, sum(length(head) + length(body)) over (partition by conv_id, perspective order by turn nulls first, speaker, text) as till from x
 )
-select conv_id, perspective, block::bigint as block, count(*)::bigint as n_messages,
-  string_agg(head || body, '' order by turn, speaker, text) as rendered,
-  string_agg(case when own then '1' else '0' end, '' order by turn, speaker, text) as mask,
-  coalesce(string_agg(case when own then (till - length(body))::bigint || '-' || till::bigint end, ' ' order by turn, speaker, text), '') as train_spans
-from y group by conv_id, perspective, block
+select conv_id, perspective, 0::bigint as block, 0::bigint as first_message, count(*)::bigint as n_messages,
+  string_agg(head || body, '' order by turn nulls first, speaker, text) as rendered,
+  string_agg(case when own then '1' else '0' end, '' order by turn nulls first, speaker, text) as mask,
+  coalesce(string_agg(case when own then (till - length(body))::bigint || '-' || till::bigint end, ' ' order by turn nulls first, speaker, text), '') as train_spans
+from y group by conv_id, perspective
 """
 
 _OP10 = f"""

@@ -7,7 +7,7 @@ construction runs over many small collections of short, aligned strings:
 1. Every window of `length` bytes has an anchor, the least hash of the BLOCK-byte blocks in
    it. Equal windows have equal anchors at equal places, so only occurrences of one anchor
    can hold a repeated window. An occurrence carries the run of windows that it anchors.
-2. Anchors that occur once are done. Runs of one anchor with the same length, place and 128-bit hash of their bytes repeat
+2. Anchors that occur once are done. Runs of one anchor with the same length, place and 128-bit hash of their bytes (XXH3) repeat
    one another whole, and one of them stands for all from here on.
 3. Anchors that still have different runs fetch their bytes. Runs of one anchor, aligned at it, are the
    documents of a small collection. Column by column from the right, one symbol of each run
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,7 @@ BROADCAST_SPANS = 200_000
 NULL_ID = -(2**63)
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_TABLE, _TABLE2 = np.random.default_rng(20).integers(0, 2**64, (2, 256), np.uint64)
-_powers: dict[str, np.ndarray] = {}
+_TABLE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
 
 
 def _mix(h):
@@ -51,28 +51,6 @@ def _mix(h):
     return h ^ (h >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SEGMENT + 4096)
-        up = np.full(size, _P)
-        up[0] = 1
-        down = np.full(size, np.uint64(pow(int(_P), -1, 2**64)))
-        down[0] = 1
-        _powers["up"], _powers["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers["up"], _powers["down"]
-
-
-def _sums(x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x * _power(len(x))[0][: len(x)], out=out[1:])
-    return out
-
-
-def _range_hash(sums: np.ndarray, start, end):
-    """Hash of the symbols start to end, the same wherever they are."""
-    return _mix((sums[end] - sums[start]) * _power(len(sums))[1][start])
-
-
 def anchors(data: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> Iterator[tuple[np.ndarray, ...]]:
     """(hash, position, first window, last window, two hashes of the run's bytes, place and length) of each anchor of one text."""
     for at in range(0, max(0, len(data) - length + 1), SEGMENT):
@@ -97,8 +75,10 @@ def anchors(data: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> Itera
         last = np.concatenate((first[1:], [n_windows])) - 1
         pos = where[first]
         shape = (pos - first).astype(np.uint64) * _P + (last - first).astype(np.uint64)
-        runs = [_mix(_range_hash(_sums(v), first, last + length) + shape).view(np.int64) for v in (x, _TABLE2[seg])]
-        yield h[pos].view(np.int64), pos + at, first + at, last + at, *runs
+        held = memoryview(np.ascontiguousarray(seg))
+        digests = b"".join([xxhash.xxh3_128_digest(held[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())])
+        runs = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+        yield h[pos].view(np.int64), pos + at, first + at, last + at, *((runs[:, k] + shape).view(np.int64) for k in (0, 1))
 
 
 _ANCHOR = "doc_id long, th long, h long, pos long, s long, e long, run long, run2 long"
