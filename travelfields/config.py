@@ -57,3 +57,6 @@ HEAT_RAMP = ((0, 104, 55), (49, 163, 84), (166, 217, 106), (255, 255, 191), (253
 
 MEASUREMENT_COLUMNS = ("id_par", "franja", "dia", "hora_salida", "origen", "destino", "minutos", "minutos_min", "minutos_max", "notas")
 TYPED_COLUMNS = ("minutos", "minutos_min", "minutos_max", "notas")
+
+#: Costs of edges and trips are multiples of this part of a second (or metre): doubles sum such numbers exactly, in any order.
+COST_UNIT = 2.0**-30

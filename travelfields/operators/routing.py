@@ -1,23 +1,27 @@
 """Shortest-path cost fields from many sources at once.
 
-Nodes are dealt into square tiles of a bounded number of nodes. In each round a task settles one tile for a batch of fields, with
-vectors, and hands what crosses the tile's border to the next round; rounds follow the number of tiles on a path, not its hops. A round
-writes only the labels that it improved, and reads only those of tiles that got something new."""
+Nodes are dealt into square tiles of a bounded number of nodes. Each tile is contracted once for each weighting (see hierarchy). Fields first search the
+overlay of tile borders: in each round a task settles the border of one tile for a batch of fields and hands what crosses it to the next round, so rounds
+follow the number of tiles on a path, not its hops, and write only labels of border nodes that they improved. Then each tile that a field reaches is filled from its border
+once. Weights are rounded to config.COST_UNIT, so that sums are exact and no order of additions changes a label.
+
+Routes of pairs carry their composition along and are searched without contraction, each only as far as its farthest target."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from travelfields import config
+from travelfields.operators import hierarchy as H
 from travelfields.operators.streets import reverse_edges
 from travelfields.shared import drop_shared, scratch, small, write_shared
 
 #: Degrees of a tile at most, and nodes of the densest tile, for which tiles are halved.
 TILE_DEG, TILE_NODES = 0.5, 20_000
-FIELDS_TOGETHER = 32
+FIELDS_TOGETHER = 64
 #: Rounds after which labels that were improved again are merged.
 MERGE_ROUNDS = 16
 
@@ -26,6 +30,11 @@ def metric_catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(config.METRICS, "metric string, label string, unit string, divisor double, uses_time boolean, fixed_slot string")
 
 
+def exact(cost: Column) -> Column:
+    """cost as a multiple of COST_UNIT, halves up."""
+    return F.floor(cost / config.COST_UNIT + 0.5).cast("double") * config.COST_UNIT
+
+
 def edge_weights(edges: DataFrame, nodes: DataFrame, slots: DataFrame, metrics: DataFrame) -> DataFrame:
     """(metric, slot, src, dst, w): seconds at the slot's factors plus the delay of arriving at a junction off the motorway, or metres.
     slots: slot, t0_s, g (array by group), d_s: a handful of rows, which go to every task with the metrics."""
@@ -34,7 +43,7 @@ def edge_weights(edges: DataFrame, nodes: DataFrame, slots: DataFrame, metrics:
     both = edges.join(flags, "dst").crossJoin(F.broadcast(choice))
     delay = F.when(F.col("is_junction") & (F.col("grp") != config.NO_DELAY_GROUP), F.col("d_s")).otherwise(F.lit(0.0))
     time = F.col("base_ds") / 10 * F.element_at("g", F.col("grp") + 1) + delay
-    return both.select("metric", "slot", "src", "dst", F.when(F.col("uses_time"), time).otherwise(F.col("length_m").cast("double")).alias("w"))
+    return both.select("metric", "slot", "src", "dst", exact(F.when(F.col("uses_time"), time).otherwise(F.col("length_m").cast("double"))).alias("w"))
 
 
 def tile_of(nodes: DataFrame, tile_deg: float | None = None) -> DataFrame:
@@ -161,17 +170,98 @@ def _relax(weights: DataFrame, sources: DataFrame, tiles: DataFrame, max_rounds:
         return write_shared(labels if rounds == 1 else _least(labels, "field", "node"), "route-state", keep=True)
 
 
-def cost_field(weights: DataFrame, sources: DataFrame, nodes: DataFrame, tile_deg: float | None = None) -> DataFrame:
-    """(field, node, cost): least cost from each field's source to every node that it reaches.
+_KEYS = ", ".join(("weight_id string", "tile string", "batch long"))
+_STEP = f"field long, node long, cost double, {_KEYS}, crossing boolean"
+
+
+def _cross(labels: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
+    """Settle the border of a tile. labels: field, node, cost, fresh. Returns the labels of border nodes that improved, and what they give across the border."""
+    columns = ["field", "node", "cost", *_GROUP, "crossing"]
+    if not len(labels) or not len(row):
+        return pd.DataFrame({c: [] for c in columns})
+    h = H.read_row(row.iloc[0])
+    first = len(h["order"]) - h["n_border"]
+    cost, fields, _ = H.start(h, labels)
+    # Fields of which nothing is known yet have no place among the old labels.
+    old, known, _ = H.start(h, labels[~labels["fresh"]])
+    before = np.full((h["n_border"], len(fields)), np.inf)
+    before[:, np.searchsorted(fields, known)] = old[first:]
+    H.sweep(h, cost)
+    cost = cost[first:]
+    at, f = np.nonzero(cost < before)
+    reps = h["cross_at"][at + 1] - h["cross_at"][at]
+    e = np.repeat(h["cross_at"][at] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum()) if len(at) else np.zeros(0, int)
+    better = cost[at, f]
+    own = {"field": fields[f], "node": h["order"][first:][at], "cost": better, "tile": labels["tile"].iloc[0], "crossing": False}
+    away = {"field": np.repeat(fields[f], reps), "node": h["cross_to"][e], "cost": np.repeat(better, reps) + h["cross_w"][e], "tile": np.array(h["tiles"], object)[h["cross_tile"][e]], "crossing": True}
+    out = pd.concat([pd.DataFrame(own), pd.DataFrame(away)], ignore_index=True)
+    return out.assign(weight_id=labels["weight_id"].iloc[0], batch=labels["batch"].iloc[0])[columns]
+
+
+def _fill(labels: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
+    """All labels of a tile from those of its border and of sources inside. A node without edges has the label that it came with."""
+    if not len(row):
+        return labels[["field", "node", "cost"]].groupby(["field", "node"], as_index=False).min()
+    h = H.read_row(row.iloc[0])
+    cost, fields, known = H.start(h, labels)
+    H.sweep(h, cost)
+    f, at = np.nonzero(np.isfinite(cost.T))
+    out = pd.DataFrame({"field": fields[f], "node": h["order"][at], "cost": cost[at, f]})
+    return out if known.all() else pd.concat([out, labels.loc[~known, ["field", "node", "cost"]]], ignore_index=True)
+
+
+def contracted_tiles(weights: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Rows of hierarchy.ROW for each tile and weighting (weights: weight_id, src, dst, w), a written table."""
+    src_tile, dst_tile = tiles.toDF("src", "tile"), tiles.toDF("dst", "to_tile")
+    edges = weights.select("weight_id", "src", "dst", exact(F.col("w")).alias("w")).join(src_tile, "src").join(dst_tile, "dst")
+    edges = edges.select("weight_id", "tile", "src", "dst", "w", (F.col("tile") == F.col("to_tile")).alias("inner"), "to_tile")
+    entries = edges.where("not inner").select("weight_id", F.col("to_tile").alias("tile"), F.col("dst").alias("src"), "dst", F.lit(0.0).alias("w"), F.lit(None).cast("boolean").alias("inner"), "to_tile").distinct()
+    return write_shared(edges.unionByName(entries).groupBy("weight_id", "tile").applyInPandas(H.contract_tile, H.ROW), "route-contracted")
+
+
+def _with_tiles(labels: DataFrame, tiles: DataFrame, run, schema: str) -> DataFrame:
+    """run(labels, tile row) for each group of labels."""
+    busy = small(write_shared(labels.select(*_GROUP).distinct(), "route-busy"))
+    needed = tiles.join(busy, ["weight_id", "tile"]).withColumnsRenamed({c: f"{c}_e" for c in _GROUP})
+    return labels.groupBy(*_GROUP).cogroup(needed.groupBy(*(f"{c}_e" for c in _GROUP))).applyInPandas(run, schema)
+
+
+def cost_field(weights: DataFrame, sources: DataFrame, nodes: DataFrame, tile_deg: float | None = None, max_rounds: int = 10_000) -> DataFrame:
+    """(field, node, cost): least cost from each field's source to every node that it reaches, a written table.
 
     weights: weight_id, src, dst, w. sources: field (long), weight_id, node. nodes: node, lat, lon. Nodes out of reach have no row."""
-    padded = weights.select("weight_id", "src", "dst", "w", *(F.lit(0.0).alias(p) for p in ("p1", "p2", "p3", "p4")))
-    return _relax(padded, sources, write_shared(tile_of(nodes, tile_deg), "route-tiles")).select("field", "node", F.col("c0").alias("cost"))
+    with scratch():
+        tiles = write_shared(tile_of(nodes, tile_deg), "route-tiles")
+        contracted = contracted_tiles(weights, tiles)
+        whole, rim = contracted.where("whole"), contracted.where("not whole")
+        batch = F.floor(F.col("field") / FIELDS_TOGETHER).alias("batch")
+        began = write_shared(sources.join(tiles, "node").select("field", "node", F.lit(0.0).alias("cost"), "weight_id", "tile", batch), "route-sources")
+        least = lambda df: df.groupBy("field", "node", *_GROUP).agg(F.min("cost").alias("cost"))
+        log, rounds = None, 0
+        fresh = began if not contracted.where("n_border > 0").isEmpty() else began.limit(0)
+        while not fresh.isEmpty():
+            if rounds == max_rounds:
+                raise RuntimeError("cost fields did not settle")
+            work = fresh.withColumn("fresh", F.lit(True))
+            if log is not None:
+                touched = small(write_shared(fresh.select(*_GROUP).distinct(), "route-touched"))
+                work = work.unionByName(least(log.join(touched, _GROUP, "left_semi")).withColumn("fresh", F.lit(False)))
+            ran = write_shared(_with_tiles(work, rim if rounds else whole, _cross, _STEP), "route-ran")
+            rounds += 1
+            better = ran.where("not crossing").drop("crossing")
+            log = better if log is None else log.unionByName(better)
+            if rounds % MERGE_ROUNDS == 0:
+                log = write_shared(least(log), "route-merged")
+            fresh = write_shared(least(ran.where("crossing")), "route-fresh")
+        # A label of a round is fresher than all before it, so a tile's border has the least of each node.
+        known = began if log is None else began.unionByName(least(log))
+        return write_shared(_with_tiles(known, whole, _fill, "field long, node long, cost double"), "route-state", keep=True)
 
 
 def cost_field_plain(weights: DataFrame, sources: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """The same by DataFrame operations alone: each round extends the labels that improved by one edge. Rounds follow the hops of the longest
     least path; for graphs with few hops, and to check cost_field."""
+    weights = weights.withColumn("w", exact(F.col("w")))
     state = write_shared(sources.select("field", "weight_id", "node", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")), "plain-state")
     for _ in range(max_rounds):
         step = state.where("fresh").join(weights, [state["weight_id"] == weights["weight_id"], state["node"] == weights["src"]]).select(
@@ -215,7 +305,7 @@ def point_fields(points: DataFrame, edges: DataFrame, nodes: DataFrame, slots: D
     links = used
     for way in ("out", "back"):
         ids = keyed.where(F.col("way") == way).select("metric", F.col("slot").alias(f"slot_{way}"), "node", F.col("field").alias(f"field_{way}"))
-        links = links.join(ids, ["metric", f"slot_{way}", "node"]).join(F.broadcast(t0.toDF(f"slot_{way}", f"t0_{way}")), f"slot_{way}")
+        links = links.join(ids, ["metric", f"slot_{way}", "node"]).join(F.broadcast(t0.select(F.col("slot").alias(f"slot_{way}"), exact(F.col("t0_s")).alias(f"t0_{way}"))), f"slot_{way}")
         links = links.withColumn(f"t0_{way}", F.when(F.col("uses_time"), F.col(f"t0_{way}")).otherwise(F.lit(0.0)))
     return links.select("scenario", "point", "metric", "trips", "divisor", "field_out", "field_back", "t0_out", "t0_back"), fields
 
@@ -236,7 +326,7 @@ def od_routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataF
     wait = (F.col("is_junction") & (F.col("grp") != config.NO_DELAY_GROUP)).cast("double")
     ff = F.col("base_ds") / 10
     w = edges.join(flags, "dst").crossJoin(F.broadcast(slots)).select(
-        F.col("slot").alias("weight_id"), "src", "dst", (ff * F.element_at("g", F.col("grp") + 1) + wait * F.col("d_s")).alias("w"),
+        F.col("slot").alias("weight_id"), "src", "dst", exact(ff * F.element_at("g", F.col("grp") + 1) + wait * F.col("d_s")).alias("w"),
         *(F.when(F.col("grp") == k, ff).otherwise(0.0).alias(f"p{k + 1}") for k in range(3)), wait.alias("p4"),
     )
     from travelfields.operators.indexing import dense_index

@@ -71,9 +71,9 @@ CTES |= {
     "quant": "select *, greatest(1, least(65535, round_even(length_m / (kmh / 3.6) * 10, 0)))::int as base_ds, greatest(1, least(65535, round_even(length_m, 0)))::int as whole_m from kept",
     "edges": """select s.node as src, d.node as dst, base_ds, whole_m as length_m, grp from
       (select a, b, base_ds, whole_m, grp from quant union all select b, a, base_ds, whole_m, grp from quant where two_way) q join nodes s on s.id = q.a join nodes d on d.id = q.b""",
-    "weights": """select metric, slot, e.src, e.dst, case when uses_time then base_ds::double / 10 * (case grp when 0 then g0 when 1 then g1 else g2 end) + case when is_junction and grp <> 0 then d_s else 0 end else length_m::double end as w
+    "weights": """select metric, slot, e.src, e.dst, floor((case when uses_time then base_ds::double / 10 * (case grp when 0 then g0 when 1 then g1 else g2 end) + case when is_junction and grp <> 0 then d_s else 0 end else length_m::double end) * 1073741824 + 0.5) / 1073741824 as w
       from edges e join nodes n on n.node = e.dst cross join params cross join metrics""",
-    "back_weights": """select metric, slot, e.dst as src, e.src as dst, case when uses_time then base_ds::double / 10 * (case grp when 0 then g0 when 1 then g1 else g2 end) + case when is_junction and grp <> 0 then d_s else 0 end else length_m::double end as w
+    "back_weights": """select metric, slot, e.dst as src, e.src as dst, floor((case when uses_time then base_ds::double / 10 * (case grp when 0 then g0 when 1 then g1 else g2 end) + case when is_junction and grp <> 0 then d_s else 0 end else length_m::double end) * 1073741824 + 0.5) / 1073741824 as w
       from edges e join nodes n on n.node = e.src cross join params cross join metrics""",
     "zone_points": "select node_id as point, lat, lon from fx_nodes",
     "ring_hits": """select point, zone_id from zone_points join ring_edges on (lon_a > lon) <> (lon_b > lon) group by point, zone_id
@@ -104,7 +104,7 @@ CTES |= {
       group by all"""
         for k in range(1, ROUNDS + 1)
     },
-    "links": "select l.*, case when uses_time then o.t0_s else 0 end as t0_out, case when uses_time then b.t0_s else 0 end as t0_back from legs l join params o on o.slot = l.slot_out join params b on b.slot = l.slot_back",
+    "links": "select l.*, case when uses_time then floor(o.t0_s * 1073741824 + 0.5) / 1073741824 else 0 end as t0_out, case when uses_time then floor(b.t0_s * 1073741824 + 0.5) / 1073741824 else 0 end as t0_back from legs l join params o on o.slot = l.slot_out join params b on b.slot = l.slot_back",
     "trip": f"""select l.scenario, l.point, l.metric, l.trips, l.divisor, l.t0_out, l.t0_back, o.node, o.cost as c_out, b.cost as c_back from links l
       join f{ROUNDS} o on o.metric = l.metric and o.slot = l.slot_out and o.way = 'out' and o.source = l.node
       join f{ROUNDS} b on b.metric = l.metric and b.slot = l.slot_back and b.way = 'back' and b.source = l.node and b.node = o.node""",
