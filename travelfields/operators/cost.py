@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from travelfields import config
-from travelfields.shared import write_shared
+from travelfields.shared import scratch, write_shared
 
 
 def default_points(points: DataFrame, slots: DataFrame) -> DataFrame:
@@ -50,22 +50,46 @@ def weekly_cost(links: DataFrame, fields: DataFrame, cells: DataFrame) -> DataFr
 
 
 def optimum(cost: DataFrame) -> DataFrame:
-    """(scenario, metric, cell, best_cost, worst_cost); ties go to the lowest cell. Costs equal to nine digits are ties, so that the order
-    in which a cost was summed doesn't choose the cell."""
-    first = F.min(F.struct(F.round("cost", 9), "cell"))["cell"]
+    """(scenario, metric, cell, best_cost, worst_cost); ties go to the lowest cell. Costs are sums of multiples of config.COST_UNIT, so
+    equal ones are equal in whatever order they were summed."""
+    first = F.min(F.struct("cost", "cell"))["cell"]
     return cost.groupBy("scenario", "metric").agg(first.alias("cell"), F.min("cost").alias("best_cost"), F.max("cost").alias("worst_cost"))
 
 
-def rank_pick(values: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
-    """The value at position floor(share * n) of the sorted values of each group, from 0; not interpolated.
-
-    Equal values are counted before the window, which then runs over distinct values."""
-    counted = values.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    line = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    total = W.partitionBy(*keys)
-    ranked = counted.withColumn("_upto", F.sum("_n").over(line)).withColumn("_all", F.sum("_n").over(total))
-    at = F.least(F.floor(F.col("_all") * share), F.col("_all") - 1)
-    return ranked.where(F.col("_upto") > at).groupBy(*keys).agg(F.min(value).alias(name))
+#: Distinct values of a group that one window orders; more are narrowed down by counts of ranges first, of which each pass makes so many.
+WINDOW_ROWS, RANGES = 65_536, 1024
+
+
+def rank_pick(values: DataFrame, keys: list[str], value: str, share: float, name: str, window_rows: int = WINDOW_ROWS, ranges: int = RANGES) -> DataFrame:
+    """The value at position floor(share * n) of the sorted values of each group, from 0; not interpolated. Nulls don't count.
+
+    Equal values are counted first. As long as a group's candidates are more than window_rows, they are counted by ranges of equal width between
+    their ends, and only the range that holds the position goes on, so that no window has to order a group of any size."""
+    with scratch():
+        counted = write_shared(values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")), "rank-values")
+        todo = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        at = F.least(F.floor(F.col("_all") * share), F.col("_all") - 1)
+        todo = write_shared(todo.select(*keys, at.alias("_at"), F.lit(0).cast("long").alias("_before"), "_rows", "_lo", "_hi"), "rank-groups")
+        done = None
+        wide = (F.col("_rows") > window_rows) & (F.col("_lo") < F.col("_hi"))
+        while True:
+            ready = todo.where(~wide)
+            done = ready if done is None else done.unionByName(ready)
+            todo = todo.where(wide)
+            if todo.isEmpty():
+                break
+            inside = counted.join(todo, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+            cut = F.least(F.lit(ranges - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges))
+            group = [*keys, "_at", "_before"]
+            parts = inside.groupBy(*group, cut.alias("_cut")).agg(F.sum("_n").alias("_n"), F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+            line = W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, 0)
+            upto = parts.withColumn("_upto", F.col("_before") + F.sum("_n").over(line))
+            mine = upto.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at")))
+            todo = write_shared(mine.select(*keys, "_at", (F.col("_upto") - F.col("_n")).alias("_before"), "_rows", "_lo", "_hi"), "rank-groups")
+        near = counted.join(done, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        line = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+        ranked = near.withColumn("_upto", F.col("_before") + F.sum("_n").over(line))
+        return write_shared(ranked.where(F.col("_upto") > F.col("_at")).groupBy(*keys).agg(F.min("_v").alias(name)), "rank-picks", keep=True)
 
 
 def summary(cost: DataFrame, points: DataFrame, cells: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from travelfields.shared import drop_shared, scratch, small, write_shared
 #: Degrees of a tile at most, and nodes of the densest tile, for which tiles are halved.
 TILE_DEG, TILE_NODES = 0.5, 20_000
 FIELDS_TOGETHER = 64
+ROUTES_TOGETHER = 32
 #: Rounds after which labels that were improved again are merged.
 MERGE_ROUNDS = 16
 
@@ -61,10 +62,14 @@ _LABEL = ["c0", "c1", "c2", "c3", "c4", "c5"]
 def _settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     """Relax inside one tile until nothing improves. A label is (cost, four sums, last): compared in that order; an edge adds to
     the first five and replaces the last. state.fresh marks labels that came from outside since the last round; of the others
-    the least of a node counts. Returns the labels that improved, and those of nodes across the border."""
+    the least of a node counts. state.goal marks targets in this tile, without a label; state.outside is the cost of the field's farthest target elsewhere so far. What costs
+    as much as the farthest of all targets leads to none of them, and is dropped. Returns the labels that improved, and those of nodes across the border."""
+    goal = state["goal"].to_numpy(bool)
+    goals, state = state[goal], state[~goal]
     fields, f = np.unique(state["field"].to_numpy(), return_inverse=True)
+    goals = goals[np.isin(goals["field"].to_numpy(), fields)]
     inner = edges["inner"].to_numpy() if len(edges) else np.zeros(0, bool)
-    names = np.unique(np.concatenate([state["node"].to_numpy(), edges["src"].to_numpy(), edges["dst"].to_numpy()[inner] if len(edges) else np.zeros(0, np.int64)]))
+    names = np.unique(np.concatenate([state["node"].to_numpy(), goals["node"].to_numpy(), edges["src"].to_numpy(), edges["dst"].to_numpy()[inner] if len(edges) else np.zeros(0, np.int64)]))
     n = len(names)
     src, order = np.searchsorted(names, edges["src"].to_numpy()), None
     order = np.argsort(src, kind="stable")
@@ -77,9 +82,22 @@ def _settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     best = np.full((len(fields) * n, 6), np.inf)
     key = f * n + np.searchsorted(names, state["node"].to_numpy())
     label = state[_LABEL].to_numpy(float)
-    old = ~state["fresh"].to_numpy()
+    old = ~state["fresh"].to_numpy(bool)
+    bound = np.full(len(fields), -np.inf)
+    np.maximum.at(bound, f, state["outside"].to_numpy(float))
+    outside = bound.copy()
+    goal_field = np.searchsorted(fields, goals["field"].to_numpy())
+    goal_key = goal_field * n + np.searchsorted(names, goals["node"].to_numpy())
+    is_goal = np.zeros(len(fields) * n, bool)
+    is_goal[goal_key] = True
+
+    def look():
+        bound[:] = outside
+        np.maximum.at(bound, goal_field, best[goal_key, 0])
 
     def improve(k, lab):
+        keep = (lab[:, 0] < bound[k // n]) | (is_goal[k] & (lab[:, 0] == bound[k // n]))
+        k, lab = k[keep], lab[keep]
         if not len(k):
             return k
         order = np.lexsort((*lab.T[::-1], k))
@@ -93,8 +111,11 @@ def _settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         best[k[better]] = lab[better]
         return k[better]
 
+    bound[:] = np.inf  # known labels stand, whatever they cost
     improve(key[old], label[old])
+    look()
     front = improve(key[~old], label[~old])
+    look()
     changed = [front]
     crossing: list[tuple] = []
     while len(front):
@@ -107,8 +128,10 @@ def _settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         fe = np.repeat(field, reps)
         stay = inner[e]
         front = improve(fe[stay] * n + dst[e[stay]], lab[stay])
+        look()
         changed.append(front)
     changed = np.unique(np.concatenate(changed))
+    changed = changed[best[changed, 0] <= bound[changed // n]]
     out_node, out_field = changed % n, changed // n
     reps = count[out_node]
     e = np.repeat(first[out_node] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
@@ -116,11 +139,12 @@ def _settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     lab = np.repeat(best[changed], reps, axis=0)[go]
     lab[:, :5] += add[e[go]]
     lab[:, 5] = add[e[go], 4]
-    outside, inside = pd.DataFrame(lab, columns=_LABEL), pd.DataFrame(best[changed], columns=_LABEL)
+    away, inside = pd.DataFrame(lab, columns=_LABEL), pd.DataFrame(best[changed], columns=_LABEL)
     to_tile = edges["to_tile"].to_numpy()[order]
-    outside["field"], outside["node"], outside["tile"], outside["crossing"] = fields[np.repeat(out_field, reps)[go]], dst_id[e[go]], to_tile[e[go]], True
+    away["field"], away["node"], away["tile"], away["crossing"] = fields[np.repeat(out_field, reps)[go]], dst_id[e[go]], to_tile[e[go]], True
+    away = away[lab[:, 0] <= bound[np.repeat(out_field, reps)[go]]]
     inside["field"], inside["node"], inside["tile"], inside["crossing"] = fields[out_field], names[out_node], state["tile"].iloc[0], False
-    out = pd.concat([inside, outside], ignore_index=True)
+    out = pd.concat([inside, away], ignore_index=True)
     out["weight_id"], out["batch"] = state["weight_id"].iloc[0], state["batch"].iloc[0]
     return out[_COLUMNS]
 
@@ -134,25 +158,43 @@ def _least(labels: DataFrame, *by: str) -> DataFrame:
     return labels.groupBy(*by).agg(F.min(F.struct(*_LABEL)).alias("m")).select(*by, "m.*")
 
 
-def _relax(weights: DataFrame, sources: DataFrame, tiles: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """weights: weight_id, src, dst, w, p1..p4. sources: field, weight_id, node. Returns (field, node, c0..c5), a written table."""
+def _farthest(goals: DataFrame, log: DataFrame | None) -> DataFrame:
+    """(field, far): of each field the two tiles whose farthest targets cost most so far, as (cost, tile), targets not reached costing infinity."""
+    infinite = F.lit(float("inf"))
+    at = goals.select("field", "node", "tile")
+    known = at.withColumn("c", infinite) if log is None else at.join(_least(log, "field", "node").select("field", "node", "c0"), ["field", "node"], "left").withColumn("c", F.coalesce("c0", infinite))
+    by_tile = known.groupBy("field", "tile").agg(F.max("c").alias("c"))
+    return by_tile.groupBy("field").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "tile")), False), 1, 2).alias("far"))
+
+
+def _relax(weights: DataFrame, sources: DataFrame, tiles: DataFrame, goals: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """weights: weight_id, src, dst, w, p1..p4. sources: field, weight_id, node. goals: (field, node), the targets of each field, one at least. Returns
+    (field, node, c0..c5), a written table: the labels of all targets in reach, and of what was met on the way to the farthest."""
     with scratch():
         src_tile, dst_tile = tiles.toDF("src", "tile"), tiles.toDF("dst", "to_tile")
         edges = weights.join(src_tile, "src").join(dst_tile, "dst").withColumn("inner", F.col("tile") == F.col("to_tile"))
         parts = ["src", "dst", "w", "p1", "p2", "p3", "p4", "inner", "to_tile"]
         edges = write_shared(edges.select("weight_id", "tile", *parts), "route-edges")
         zero = [F.lit(0.0).alias(c) for c in _LABEL]
-        batch = F.floor(F.col("field") / FIELDS_TOGETHER).alias("batch")
+        batch = F.floor(F.col("field") / ROUTES_TOGETHER).alias("batch")
         fresh = write_shared(sources.join(tiles, "node").select("field", "node", *zero, "weight_id", "tile", batch), "route-fresh")
+        goals = goals.distinct().join(tiles, "node").join(sources.select("field", "weight_id"), "field").select("field", "node", *zero, "weight_id", "tile", batch)
+        goals = write_shared(goals, "route-goals")
         log, rounds = None, 0
         while not fresh.isEmpty():
             if rounds == max_rounds:
-                raise RuntimeError("cost fields did not settle")
+                raise RuntimeError("routes did not settle")
             rounds += 1
-            busy = small(write_shared(fresh.select(*_GROUP).distinct(), "route-busy"))
-            work = fresh.withColumn("fresh", F.lit(True))
+            far = _farthest(goals, log)
+            elsewhere = F.when(F.col("far")[0]["tile"] == F.col("tile"), F.try_element_at("far", F.lit(2))["c"]).otherwise(F.col("far")[0]["c"])
+            bounded = fresh.join(far, "field").withColumn("outside", F.coalesce(elsewhere, F.lit(float("-inf")))).drop("far")
+            bounded = write_shared(bounded, "route-bounded")
+            busy = small(write_shared(bounded.select(*_GROUP).distinct(), "route-busy"))
+            nowhere = F.lit(float("-inf"))
+            work = bounded.select("*", F.lit(True).alias("fresh"), F.lit(False).alias("goal"))
+            work = work.unionByName(goals.join(busy, _GROUP, "left_semi").select("*", nowhere.alias("outside"), F.lit(False).alias("fresh"), F.lit(True).alias("goal")))
             if log is not None:
-                work = work.unionByName(log.join(busy, _GROUP, "left_semi").withColumn("fresh", F.lit(False)))
+                work = work.unionByName(log.join(busy, _GROUP, "left_semi").select("*", nowhere.alias("outside"), F.lit(False).alias("fresh"), F.lit(False).alias("goal")))
             needed = edges.join(busy, ["weight_id", "tile"]).select(*(F.col(c).alias(f"{c}_e") for c in _GROUP), *parts)
             ran = work.groupBy(*_GROUP).cogroup(needed.groupBy(*(f"{c}_e" for c in _GROUP))).applyInPandas(
                 lambda s, e: _settle(s, e) if len(s) else pd.DataFrame({c: [] for c in _COLUMNS}), _RAN
@@ -321,7 +363,7 @@ def reach_field(origins: DataFrame, edges: DataFrame, nodes: DataFrame, slots: D
 def od_routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataFrame, tile_deg: float | None = None) -> DataFrame:
     """(slot, pair, time_s, ff0, ff1, ff2, crossings): the best route of each pair (pair, origin, target) in each slot, its free-flow seconds by
     group and the junctions that it passes, its end not counted. Equal times go to the least (ff0, ff1, ff2, crossings).
-    Pairs with equal origins share a search; pairs without a route have no row."""
+    Pairs with equal origins share a search, which goes no farther than their farthest target; pairs without a route have no row."""
     flags = nodes.select(F.col("node").alias("dst"), "is_junction")
     wait = (F.col("is_junction") & (F.col("grp") != config.NO_DELAY_GROUP)).cast("double")
     ff = F.col("base_ds") / 10
@@ -333,8 +375,9 @@ def od_routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataF
 
     asked = pairs.select("origin").distinct().crossJoin(F.broadcast(slots.select("slot"))).withColumn("key", F.concat_ws("|", "slot", F.lpad(F.col("origin").cast("string"), 20, "0")))
     asked = write_shared(dense_index(asked, "key", "field").select("field", F.col("slot").alias("weight_id"), F.col("origin").alias("node")), "od-fields")
-    state = _relax(w, asked, write_shared(tile_of(nodes, tile_deg), "route-tiles"))
     ends = pairs.join(asked.select("field", F.col("weight_id").alias("slot"), F.col("node").alias("origin")), "origin")
+    goals = write_shared(ends.select("field", F.col("target").alias("node")).distinct(), "od-goals")
+    state = _relax(w, asked, write_shared(tile_of(nodes, tile_deg), "route-tiles"), goals)
     return ends.join(state, (ends["field"] == state["field"]) & (ends["target"] == state["node"])).select(
         "slot", "pair", F.col("c0").alias("time_s"), F.col("c1").alias("ff0"), F.col("c2").alias("ff1"), F.col("c3").alias("ff2"), (F.col("c4") - F.col("c5")).cast("long").alias("crossings")
     )

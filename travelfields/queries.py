@@ -138,6 +138,17 @@ def _node_fields(spark, sf_dir):
     return _once(spark, sf_dir, "node-fields", build)
 
 
+def _point_fields_out(spark, sf_dir):
+    """Seconds from each node at which a point is, in tiempo and valle; field is the node."""
+
+    def build():
+        g = graph(spark, sf_dir)
+        at = _points(spark, sf_dir).where("node is not null").select(F.col("node").alias("field"), "node", F.lit("tiempo").alias("metric"), F.lit("valle").alias("slot")).distinct()
+        return R.reach_field(at, g.edges, g.nodes, S.slot_params(spark), R.metric_catalogue(spark))
+
+    return _once(spark, sf_dir, "point-fields-out", build)
+
+
 def _box(spark, sf_dir):
     """A box around all nodes of the graph: one row of bounds."""
     ends = ((f(a).alias(f"{a}_{e}")) for a in ("lat", "lon") for e, f in (("min", F.min), ("max", F.max)))
@@ -150,8 +161,7 @@ def _raster(spark, sf_dir):
     """Rasters of all fields that start where a point is, over the whole network. Points at one node share a field."""
 
     def build():
-        at = _points(spark, sf_dir).select(F.col("node").alias("field")).distinct()
-        return write_shared(V.rasterise(_node_fields(spark, sf_dir).join(at, "field", "left_semi"), graph(spark, sf_dir).nodes, _box(spark, sf_dir)), "q-raster")
+        return write_shared(V.rasterise(_point_fields_out(spark, sf_dir), graph(spark, sf_dir).nodes, _box(spark, sf_dir)), "q-raster")
 
     return _once(spark, sf_dir, "raster", build)
 
@@ -164,11 +174,18 @@ def _bands(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """18 pairs p0..p17 between nodes of the graph, spread by their number."""
-    g = graph(spark, sf_dir).nodes
-    n = g.count()
-    ids = spark.range(18).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("pair"), (F.col("id") * 13 % n).alias("origin"), ((F.col("id") * 29 + 7) % n).alias("target"))
-    return ids.where("origin <> target")
+    """Pairs of places as nodes."""
+    return _once(spark, sf_dir, "pairs", lambda: write_shared(K.snap_pairs(_place_pairs(spark, sf_dir), graph(spark, sf_dir).nodes, _clean(spark, sf_dir))[0], "q-pairs"))
+
+
+def _routes(spark, sf_dir):
+    """The routes of all pairs of places in the fitted slots."""
+
+    def build():
+        g = graph(spark, sf_dir)
+        return write_shared(R.od_routes(_pairs(spark, sf_dir), g.edges, g.nodes, S.slot_params(spark).where(F.col("slot").isin(*config.PRIORS))), "q-routes")
+
+    return _once(spark, sf_dir, "routes", build)
 
 
 def _clean(spark, sf_dir):
@@ -474,8 +491,7 @@ def r5_reach_field(spark, sf_dir):
 
 
 def r6_od_routes(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return _q(R.od_routes(_pairs(spark, sf_dir), g.edges, g.nodes, S.slot_params(spark).where(F.col("slot").isin(*config.PRIORS))))
+    return _q(_routes(spark, sf_dir))
 
 
 def r7_metrics(spark, sf_dir):
@@ -556,7 +572,8 @@ def v5_heat_map(spark, sf_dir):
 
 
 def v6_reach_summary(spark, sf_dir):
-    return _q(V.reach_summary(_bands(spark, sf_dir)))
+    nodes = V.isochrone_bands(_point_fields_out(spark, sf_dir).withColumnRenamed("cost", "value"), _LIMITS)
+    return _q(V.reach_summary(_bands(spark, sf_dir), nodes))
 
 
 def v7_formatted_costs(spark, sf_dir):
@@ -603,7 +620,7 @@ def k6_orphans(spark, sf_dir):
 
 
 def k8_design_rows(spark, sf_dir):
-    return _q(K.design_rows(r6_od_routes(spark, sf_dir), _clean(spark, sf_dir)))
+    return _q(K.design_rows(_routes(spark, sf_dir), _clean(spark, sf_dir)))
 
 
 def _place_pairs(spark, sf_dir):
@@ -635,17 +652,45 @@ def k9_normal_equations(spark, sf_dir):
     return _q(K.normal_equations(_design(spark, sf_dir).withColumn("weight", F.lit(1.0))), 3)
 
 
+def _fitted(spark, sf_dir):
+    """(params, rows with residuals and weights) of a fit of the design rows."""
+    return _once(spark, sf_dir, "fitted", lambda: K.fit_slots(_design(spark, sf_dir)))
+
+
 def k10_fit_slots(spark, sf_dir):
-    return _q(K.fit_slots(_design(spark, sf_dir))[0], 4)
+    return _q(_fitted(spark, sf_dir)[0], 4)
+
+
+def k10_fit_certificate(spark, sf_dir):
+    """Where each parameter lies in its bounds, and whether the fit is the least in the box."""
+    cert = K.fit_certificate(_design(spark, sf_dir))
+    return cert.select("slot", *(F.col(f"side_{p}").cast("int").alias(f"side_{p}") for p in K.PARAMS), "is_optimal")
 
 
 def k11_huber_weights(spark, sf_dir):
     return _q(K.huber_weights(_design(spark, sf_dir), _params(spark)).select("slot", "pair", "observed_s", "residual_s", "weight"))
 
 
+def _calibrated(spark, sf_dir):
+    def build():
+        g = graph(spark, sf_dir)
+        return K.calibrate_places(_clean(spark, sf_dir), _place_pairs(spark, sf_dir), g.edges, g.nodes, K.slot_table(spark))
+
+    return _once(spark, sf_dir, "calibrated", build)
+
+
 def k12_calibration(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return K.calibrate(_clean(spark, sf_dir), _pairs(spark, sf_dir), g.edges, g.nodes)[0]
+    return _calibrated(spark, sf_dir).params
+
+
+def k12_calibration_diagnostics(spark, sf_dir):
+    return _calibrated(spark, sf_dir).diagnostics
+
+
+def k12_unused_measurements(spark, sf_dir):
+    """Measured keys that the calibration had to leave out: pairs without places, and pairs without a route."""
+    c = _calibrated(spark, sf_dir)
+    return c.unknown.select("pair", F.lit(None).cast("string").alias("slot"), "measurements").unionByName(c.unrouted)
 
 
 def _diagnostics(spark, sf_dir):
@@ -662,16 +707,16 @@ def k13_diagnostics(spark, sf_dir):
 
 
 def k14_fit_report(spark, sf_dir):
-    return K.fit_report(K.huber_weights(_design(spark, sf_dir), _params(spark)))
+    return K.fit_report(_fitted(spark, sf_dir)[1])
 
 
 def k15_global_report(spark, sf_dir):
-    rows = K.huber_weights(_design(spark, sf_dir), _params(spark)).select((F.col("residual_s") / 60).alias("error_min"))
-    return K.global_report(rows)
+    params, rows = _fitted(spark, sf_dir)
+    return K.global_report(K.predict(rows, params))
 
 
 def k16_suspects(spark, sf_dir):
-    return K.suspects(K.huber_weights(_design(spark, sf_dir), _params(spark)))
+    return K.suspects(_fitted(spark, sf_dir)[1])
 
 
 def k17_aliases(spark, sf_dir):

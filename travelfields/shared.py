@@ -6,6 +6,7 @@ a lost executor costs a re-read and not a replay of every round."""
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,7 +17,15 @@ from pyspark.sql import functions as F
 #: A table up to this many rows of a few longs (some tens of MB) is broadcast, a longer one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
-_open_scopes: list[list[DataFrame]] = []
+
+class _Scopes(threading.local):
+    """Scopes that are open in this thread: queries in other threads keep and drop their own tables."""
+
+    def __init__(self):
+        self.open: list[list[DataFrame]] = []
+
+
+_scopes = _Scopes()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +49,7 @@ def write_shared(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
-    scopes = _open_scopes[:-1] if keep else _open_scopes
+    scopes = _scopes.open[:-1] if keep else _scopes.open
     if scopes:
         scopes[-1].append(out)
     return out
@@ -60,11 +69,11 @@ def drop_shared(*tables: DataFrame) -> None:
 def scratch() -> Iterator[None]:
     """Tables that are written inside the block and not kept are deleted at its end, so what leaves the block must not
     read them: write it with keep=True."""
-    _open_scopes.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        drop_shared(*_open_scopes.pop())
+        drop_shared(*_scopes.open.pop())
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
