@@ -28,6 +28,8 @@ EM_PASSES = 3
 SMOOTHING = 0.1
 #: Words whose scores every task holds; texts ask a join for the others.
 COMMON_WORDS = 200_000
+#: Longer words are never among them, so that they take a bounded number of bytes.
+COMMON_BYTES = 64
 #: Cells of a lattice batch. A word whose lattice has more is taken in chunks of so many bytes.
 CELLS = 1 << 21
 CHUNK = 1 << 14
@@ -285,7 +287,7 @@ def score_documents(documents: DataFrame, vocabulary_path: str, held_out: Column
         lattice.logp, lattice.end = np.log10(n / total), float(np.log10((n_ends + SMOOTHING) / total))
     scored = write_shared(counts.mapInArrow(_score_words(sc.broadcast(lattice), discount, total), "word string, c long, lp double"), "lm-scored")
 
-    top = scored.orderBy(F.desc("c"), "word").limit(COMMON_WORDS).toPandas()
+    top = scored.where(F.octet_length("word") <= COMMON_BYTES).orderBy(F.desc("c"), "word").limit(COMMON_WORDS).toPandas()
     common = sc.broadcast((top["word"].tolist(), top["c"].to_numpy(float), top["lp"].to_numpy(float)))
     texts = write_shared(docs.mapInArrow(_score_texts(common, n_all, n_types), _DOC), "lm-texts")
     rare = texts.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("e")).select("row", F.col("e.rare").alias("word"), F.col("e.rare_n").alias("k"))
