@@ -220,7 +220,8 @@ def _cross(labels: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
     """Settle the border of a tile. labels: field, node, cost, fresh. Returns the labels of border nodes that improved, and what they give across the border."""
     columns = ["field", "node", "cost", *_GROUP, "crossing"]
     if not len(labels) or not len(row):
-        return pd.DataFrame({c: [] for c in columns})
+        kinds = (np.int64, np.int64, np.float64, object, object, np.int64, bool)
+        return pd.DataFrame({c: np.zeros(0, k) for c, k in zip(columns, kinds)})
     h = H.read_row(row.iloc[0])
     first = len(h["order"]) - h["n_border"]
     cost, fields, _ = H.start(h, labels)
@@ -242,14 +243,17 @@ def _cross(labels: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
 
 def _fill(labels: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
     """All labels of a tile from those of its border and of sources inside. A node without edges has the label that it came with."""
-    if not len(row):
-        return labels[["field", "node", "cost"]].groupby(["field", "node"], as_index=False).min()
+    named = lambda df: df.assign(weight_id=np.full(len(df), labels["weight_id"].iloc[0] if len(labels) else None, object))
+    if not len(row) or not len(labels):
+        return named(labels[["field", "node", "cost"]].groupby(["field", "node"], as_index=False).min())
     h = H.read_row(row.iloc[0])
     cost, fields, known = H.start(h, labels)
     H.sweep(h, cost)
     f, at = np.nonzero(np.isfinite(cost.T))
     out = pd.DataFrame({"field": fields[f], "node": h["order"][at], "cost": cost[at, f]})
-    return out if known.all() else pd.concat([out, labels.loc[~known, ["field", "node", "cost"]]], ignore_index=True)
+    if not known.all():
+        out = pd.concat([out, labels.loc[~known, ["field", "node", "cost"]]], ignore_index=True)
+    return named(out)
 
 
 def contracted_tiles(weights: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -273,31 +277,36 @@ def cost_field(weights: DataFrame, sources: DataFrame, nodes: DataFrame, tile_de
 
     weights: weight_id, src, dst, w. sources: field (long), weight_id, node. nodes: node, lat, lon. Nodes out of reach have no row."""
     with scratch():
-        tiles = write_shared(tile_of(nodes, tile_deg), "route-tiles")
-        contracted = contracted_tiles(weights, tiles)
-        whole, rim = contracted.where("whole"), contracted.where("not whole")
-        batch = F.floor(F.col("field") / FIELDS_TOGETHER).alias("batch")
-        began = write_shared(sources.join(tiles, "node").select("field", "node", F.lit(0.0).alias("cost"), "weight_id", "tile", batch), "route-sources")
-        least = lambda df: df.groupBy("field", "node", *_GROUP).agg(F.min("cost").alias("cost"))
-        log, rounds = None, 0
-        fresh = began if not contracted.where("n_border > 0").isEmpty() else began.limit(0)
-        while not fresh.isEmpty():
-            if rounds == max_rounds:
-                raise RuntimeError("cost fields did not settle")
-            work = fresh.withColumn("fresh", F.lit(True))
-            if log is not None:
-                touched = small(write_shared(fresh.select(*_GROUP).distinct(), "route-touched"))
-                work = work.unionByName(least(log.join(touched, _GROUP, "left_semi")).withColumn("fresh", F.lit(False)))
-            ran = write_shared(_with_tiles(work, rim if rounds else whole, _cross, _STEP), "route-ran")
-            rounds += 1
-            better = ran.where("not crossing").drop("crossing")
-            log = better if log is None else log.unionByName(better)
-            if rounds % MERGE_ROUNDS == 0:
-                log = write_shared(least(log), "route-merged")
-            fresh = write_shared(least(ran.where("crossing")), "route-fresh")
-        # A label of a round is fresher than all before it, so a tile's border has the least of each node.
-        known = began if log is None else began.unionByName(least(log))
-        return write_shared(_with_tiles(known, whole, _fill, "field long, node long, cost double"), "route-state", keep=True)
+        return write_shared(field_labels(weights, sources, nodes, tile_deg, max_rounds).drop("weight_id"), "route-state", keep=True)
+
+
+def field_labels(weights: DataFrame, sources: DataFrame, nodes: DataFrame, tile_deg: float | None = None, max_rounds: int = 10_000) -> DataFrame:
+    """cost_field with weight_id, still to be written: the tables that it reads belong to the scratch() around it."""
+    tiles = write_shared(tile_of(nodes, tile_deg), "route-tiles")
+    contracted = contracted_tiles(weights, tiles)
+    whole, rim = contracted.where("whole"), contracted.where("not whole")
+    batch = F.floor(F.col("field") / FIELDS_TOGETHER).alias("batch")
+    began = write_shared(sources.join(tiles, "node").select("field", "node", F.lit(0.0).alias("cost"), "weight_id", "tile", batch), "route-sources")
+    least = lambda df: df.groupBy("field", "node", *_GROUP).agg(F.min("cost").alias("cost"))
+    log, rounds = None, 0
+    fresh = began if not contracted.where("n_border > 0").isEmpty() else began.limit(0)
+    while not fresh.isEmpty():
+        if rounds == max_rounds:
+            raise RuntimeError("cost fields did not settle")
+        work = fresh.withColumn("fresh", F.lit(True))
+        if log is not None:
+            touched = small(write_shared(fresh.select(*_GROUP).distinct(), "route-touched"))
+            work = work.unionByName(least(log.join(touched, _GROUP, "left_semi")).withColumn("fresh", F.lit(False)))
+        ran = write_shared(_with_tiles(work, rim if rounds else whole, _cross, _STEP), "route-ran")
+        rounds += 1
+        better = ran.where("not crossing").drop("crossing")
+        log = better if log is None else log.unionByName(better)
+        if rounds % MERGE_ROUNDS == 0:
+            log = write_shared(least(log), "route-merged")
+        fresh = write_shared(least(ran.where("crossing")), "route-fresh")
+    # A label of a round is fresher than all before it, so a tile's border has the least of each node.
+    known = began if log is None else began.unionByName(least(log))
+    return _with_tiles(known, whole, _fill, "field long, node long, cost double, weight_id string")
 
 
 def cost_field_plain(weights: DataFrame, sources: DataFrame, max_rounds: int = 100_000) -> DataFrame:
@@ -325,31 +334,49 @@ def effective_slots(points: DataFrame, metrics: DataFrame) -> DataFrame:
     return both.withColumn("slot_out", F.coalesce("fixed_slot", "slot_out")).withColumn("slot_back", F.coalesce("fixed_slot", "slot_back")).drop("fixed_slot")
 
 
-def point_fields(points: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataFrame, metrics: DataFrame, tile_deg: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links, fields) of active points (scenario, point, node, slot_out, slot_back, trips).
-
-    fields (field, node, cost) has one field for each distinct (metric, slot, node, direction), whatever the number of points that
-    share it, and none depends on trips, so other weights reuse it. Outbound (cell to point) fields run over reversed edges under
-    the forward rule, so a junction's delay is charged at the other end of each edge. links has
-    scenario, point, metric, trips, divisor, field_out, field_back, t0_out and t0_back."""
+def wanted_fields(points: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(metric, slot, way, node): the fields that active points need, each once."""
     used = effective_slots(points, metrics)
-    need = used.select("metric", F.col("slot_out").alias("slot"), "node", F.lit("out").alias("way")).union(used.select("metric", "slot_back", "node", F.lit("back"))).distinct()
-    need = write_shared(need.withColumn("weight_id", F.concat_ws("|", "metric", "slot", "way")), "field-need")
+    return used.select("metric", F.col("slot_out").alias("slot"), F.lit("out").alias("way"), "node").union(used.select("metric", "slot_back", F.lit("back"), "node")).distinct()
+
+
+def number_fields(wanted: DataFrame) -> DataFrame:
+    """wanted with weight_id and field, numbered so that fields of one weighting follow each other; a written table."""
     from travelfields.operators.indexing import dense_index
 
-    keyed = dense_index(need.withColumn("key", F.concat_ws("|", "weight_id", F.lpad(F.col("node").cast("string"), 20, "0"))), "key", "field")
-    keyed = write_shared(keyed.select("field", "metric", "slot", "node", "way", "weight_id"), "field-list")
+    named = wanted.withColumn("weight_id", F.concat_ws("|", "metric", "slot", "way"))
+    keyed = dense_index(named.withColumn("key", F.concat_ws("|", "weight_id", F.lpad(F.col("node").cast("string"), 20, "0"))), "key", "field")
+    return write_shared(keyed.select("field", "metric", "slot", "node", "way", "weight_id"), "field-list")
+
+
+def two_way_weights(keyed: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(weight_id, src, dst, w) of the weightings in keyed. Outbound (cell to point) fields run over reversed edges under the forward rule, so a
+    junction's delay is charged at the other end of each edge."""
     both = edge_weights(edges, nodes, slots, metrics).withColumn("way", F.lit("back")).unionByName(edge_weights(reverse_edges(edges), nodes, slots, metrics).withColumn("way", F.lit("out")))
     both = both.withColumn("weight_id", F.concat_ws("|", "metric", "slot", "way"))
-    both = both.join(F.broadcast(keyed.select("weight_id").distinct()), "weight_id", "left_semi")  # at most metrics x slots x 2 rows
-    fields = cost_field(both.select("weight_id", "src", "dst", "w"), keyed.select("field", "weight_id", "node"), nodes, tile_deg)
+    # At most metrics x slots x 2 rows are broadcast.
+    return both.join(F.broadcast(keyed.select("weight_id").distinct()), "weight_id", "left_semi").select("weight_id", "src", "dst", "w")
+
+
+def field_links(points: DataFrame, keyed: DataFrame, slots: DataFrame, metrics: DataFrame) -> DataFrame:
+    """scenario, point, metric, trips, divisor, field_out, field_back, t0_out and t0_back of active points, fields found in keyed."""
+    links = effective_slots(points, metrics)
     t0 = slots.select("slot", "t0_s")
-    links = used
     for way in ("out", "back"):
         ids = keyed.where(F.col("way") == way).select("metric", F.col("slot").alias(f"slot_{way}"), "node", F.col("field").alias(f"field_{way}"))
         links = links.join(ids, ["metric", f"slot_{way}", "node"]).join(F.broadcast(t0.select(F.col("slot").alias(f"slot_{way}"), exact(F.col("t0_s")).alias(f"t0_{way}"))), f"slot_{way}")
         links = links.withColumn(f"t0_{way}", F.when(F.col("uses_time"), F.col(f"t0_{way}")).otherwise(F.lit(0.0)))
-    return links.select("scenario", "point", "metric", "trips", "divisor", "field_out", "field_back", "t0_out", "t0_back"), fields
+    return links.select("scenario", "point", "metric", "trips", "divisor", "field_out", "field_back", "t0_out", "t0_back")
+
+
+def point_fields(points: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataFrame, metrics: DataFrame, tile_deg: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, fields) of active points (scenario, point, node, slot_out, slot_back, trips).
+
+    fields (field, node, cost) has one field for each distinct (metric, slot, node, direction), whatever the number of points that
+    share it, and none depends on trips, so other weights reuse it. See field_links for links, and field_store for fields that outlast a run."""
+    keyed = number_fields(wanted_fields(points, metrics))
+    fields = cost_field(two_way_weights(keyed, edges, nodes, slots, metrics), keyed.select("field", "weight_id", "node"), nodes, tile_deg)
+    return field_links(points, keyed, slots, metrics), fields
 
 
 def reach_field(origins: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataFrame, metrics: DataFrame, tile_deg: float | None = None) -> DataFrame:

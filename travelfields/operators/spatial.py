@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from travelfields import config
-from travelfields.shared import small, write_shared
+from travelfields.shared import scratch, small, write_shared
 
 #: Rings and points up to this many rows go to every task; larger sides are joined by a bucket.
 BROADCAST_ROWS = 200_000
+#: Nodes of a bucket in which nearest_any looks at most; nodes of a pyramid's leaf, levels below its root, and degrees of the root.
+BUCKET_NODES, LEAF_NODES, LEVELS, ROOT_DEG = 2048, 64, 11, 512.0
 
 
 def _stitch(pieces: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
@@ -74,18 +76,44 @@ def ring_edges(rings: DataFrame) -> DataFrame:
     return nxt.where("lat_b is not null")
 
 
-def points_in_rings(points: DataFrame, edges: DataFrame, bucket: float = 0.002) -> DataFrame:
-    """(point, zone_id) of points (point, lat, lon) inside a ring, by even-odd crossings.
-
-    An edge can only be crossed by a point whose longitude it spans, so both sides are keyed by longitude bucket and joined on
-    it; only matching pairs are formed, and crossings are summed with map-side combine."""
-    column = lambda c: F.floor(F.col(c) / bucket).cast("long")
+def _odd_crossings(points: DataFrame, edges: DataFrame, keys: list[str], bucket: float) -> DataFrame:
+    """Distinct (keys, zone_id, ring_id) of points (keys, lat, lon, and zone_id and ring_id where only those rings are asked for) that an upward ray leaves through an odd number of edges. Points
+    and edges are keyed by longitude bucket, as only an edge that spans a point's longitude can be crossed."""
     lo, hi = F.least("lon_a", "lon_b"), F.greatest("lon_a", "lon_b")
     keyed = edges.where("lon_a <> lon_b").withColumn("bucket", F.explode(F.sequence(F.floor(lo / bucket), F.floor(hi / bucket))))
-    hits = points.withColumn("bucket", column("lon")).join(keyed, "bucket").where((F.col("lon_a") > F.col("lon")) != (F.col("lon_b") > F.col("lon")))
+    on = ["bucket", *(c for c in ("zone_id", "ring_id") if c in points.columns)]
+    hits = points.withColumn("bucket", F.floor(F.col("lon") / bucket).cast("long")).join(keyed, on).where((F.col("lon_a") > F.col("lon")) != (F.col("lon_b") > F.col("lon")))
     cut = (F.col("lat_b") - F.col("lat_a")) * (F.col("lon") - F.col("lon_a")) / (F.col("lon_b") - F.col("lon_a")) + F.col("lat_a")
-    odd = hits.groupBy("point", "zone_id", "ring_id").agg(F.count_if(F.col("lat") < cut).alias("n")).where("n % 2 = 1")
-    return odd.select("point", "zone_id").distinct()
+    return hits.groupBy(*keys, "zone_id", "ring_id").agg(F.count_if(F.col("lat") < cut).alias("n")).where("n % 2 = 1").drop("n")
+
+
+def border_cells(edges: DataFrame, bucket: float) -> DataFrame:
+    """(zone_id, ring_id, cx, cy): cells of bucket degrees through which, or within 1e-9 degrees of which, an edge of the ring passes."""
+    margin = 1e-9
+    lo, hi = F.least("lon_a", "lon_b"), F.greatest("lon_a", "lon_b")
+    low, high = F.least("lat_a", "lat_b"), F.greatest("lat_a", "lat_b")
+    cut = edges.withColumn("cx", F.explode(F.sequence(F.floor((lo - margin) / bucket), F.floor((hi + margin) / bucket))))
+    height = lambda x: F.when(F.col("lon_a") == F.col("lon_b"), None).otherwise(F.col("lat_a") + (F.col("lat_b") - F.col("lat_a")) * (x - F.col("lon_a")) / (F.col("lon_b") - F.col("lon_a")))
+    west, east = height(F.greatest(lo, F.col("cx") * bucket - margin)), height(F.least(hi, (F.col("cx") + 1) * bucket + margin))
+    south, north = F.greatest(low, F.coalesce(F.least(west, east), low)), F.least(high, F.coalesce(F.greatest(west, east), high))
+    rows = F.sequence(F.floor((F.least(south, north) - margin) / bucket), F.floor((F.greatest(south, north) + margin) / bucket))
+    return cut.select("zone_id", "ring_id", "cx", F.explode(rows).alias("cy")).distinct()
+
+
+def points_in_rings(points: DataFrame, edges: DataFrame, bucket: float = 0.002) -> DataFrame:
+    """(point, zone_id) of points (point, lat, lon) inside a ring, by even-odd crossings.
+
+    Rings are covered by cells. A cell through which no edge of a ring passes lies inside or outside as a whole: its centre is tested for it, once,
+    and its points are answered by an equi-join on the cell. Only points in cells on a ring's border meet that ring's edges, those of their longitude bucket."""
+    with scratch():
+        key = lambda c: F.floor(F.col(c) / bucket).cast("long")
+        placed = points.select("point", "lat", "lon", key("lon").alias("cx"), key("lat").alias("cy"))
+        border = write_shared(border_cells(edges, bucket), "rings-border")
+        centres = placed.select("cx", "cy").distinct().select("cx", "cy", ((F.col("cy") + 0.5) * bucket).alias("lat"), ((F.col("cx") + 0.5) * bucket).alias("lon"))
+        whole = _odd_crossings(centres, edges, ["cx", "cy"], bucket).join(border, ["zone_id", "ring_id", "cx", "cy"], "left_anti").select("cx", "cy", "zone_id").distinct()
+        inside = placed.select("point", "cx", "cy").join(whole, ["cx", "cy"]).select("point", "zone_id")
+        near = _odd_crossings(placed.join(border, ["cx", "cy"]).drop("cx", "cy"), edges, ["point"], bucket).select("point", "zone_id")
+        return write_shared(inside.unionByName(near).distinct(), "rings-points", keep=True)
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -153,16 +181,56 @@ def nearest_within(points: DataFrame, nodes: DataFrame, radius_m: float = config
 def nearest_any(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """points with the nearest node whatever its distance; longitude is scaled at the point, ties go to the lowest node.
 
-    Points look in growing buckets, and only those that find nothing go on. Without nodes, node is null."""
-    left, done, radius = points, None, 500.0
-    while True:
-        found = write_shared(_nearest_in_buckets(left, nodes, radius), "nearest")
-        hit = found.where("node is not null")
-        done = hit if done is None else done.unionByName(hit)
+    Points look in the buckets around them first, which are so small that none holds more than BUCKET_NODES nodes. Those that find nothing there go down a pyramid
+    of cells. Without nodes, node is null."""
+    radius = 500.0
+    while radius > 1.0 and (nodes.groupBy(*(F.floor(F.col(c) * config.M_PER_DEG / radius) for c in ("lat", "lon"))).count().agg(F.max("count")).first()[0] or 0) > BUCKET_NODES:
+        radius /= 2
+    with scratch():
+        found = write_shared(_nearest_in_buckets(points, nodes, radius), "nearest", keep=True)
         left = found.where("node is null").drop("node")
-        if left.isEmpty() or radius > 3e7:
-            return done.unionByName(left.withColumn("node", F.lit(None).cast("long")))
-        radius *= 8
+        if left.isEmpty():
+            return found
+        return found.where("node is not null").unionByName(_nearest_down_pyramid(left, nodes))
+
+
+def _cell_pyramid(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, nodes at their leaf). Cells of a level are split sixteenfold as long as they hold more than LEAF_NODES nodes: (level, row, col, n, up_row, up_col, is_leaf and the box
+    of its nodes)."""
+    step = lambda level: F.lit(ROOT_DEG) / F.pow(F.lit(4.0), level)
+    level = F.col("level")
+    spread = nodes.select("node", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"))
+    spread = spread.withColumn("row", F.floor((F.col("n_lat") + 90) / step(level))).withColumn("col", F.floor((F.col("n_lon") + 180) / step(level)))
+    box = [f(f"n_{c}").alias(f"{c}_{n}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))]
+    cells = write_shared(spread.groupBy("level", "row", "col").agg(F.count("*").alias("n"), *box), "pyramid-all")
+    cells = cells.withColumn("up_row", F.floor(F.col("row") / 4)).withColumn("up_col", F.floor(F.col("col") / 4)).withColumn("is_leaf", (F.col("n") <= LEAF_NODES) | (level == LEVELS))
+    split = cells.where("not is_leaf").select((level + 1).alias("level"), F.col("row").alias("up_row"), F.col("col").alias("up_col"))
+    cells = write_shared(cells.where("level = 0").unionByName(cells.join(split, ["level", "up_row", "up_col"], "left_semi").select(*cells.columns)), "pyramid")
+    leaves = cells.where("is_leaf").select("level", "row", "col")
+    return cells, write_shared(spread.join(leaves, ["level", "row", "col"], "left_semi"), "pyramid-leaves")
+
+
+def _nearest_down_pyramid(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nearest_any level by level: of a point's cells those go on whose nearest corner is no farther than the farthest corner of its best cell."""
+    cells, leaves = _cell_pyramid(nodes)
+    squeeze = F.cos(F.radians("lat"))
+    far = lambda c: F.greatest(F.abs(F.col(f"{c}_min") - F.col(c)), F.abs(F.col(f"{c}_max") - F.col(c)))
+    near = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}_min") - F.col(c), F.col(c) - F.col(f"{c}_max"))
+    square = lambda f: (f("lon") * squeeze) * (f("lon") * squeeze) + f("lat") * f("lat")
+    columns = ["point", "lat", "lon", "level", "row", "col", "is_leaf", "least", "most"]
+    bounded = lambda df: df.withColumn("least", square(near)).withColumn("most", square(far)).select(*columns)
+    live = bounded(points.select("point", "lat", "lon").join(F.broadcast(cells.where("level = 0")), how="cross"))  # one cell at most
+    for _ in range(LEVELS):
+        down = cells.select("level", "row", "col", "is_leaf", F.col("up_row"), F.col("up_col"), "lat_min", "lat_max", "lon_min", "lon_max")
+        inner = live.where("not is_leaf").select("point", "lat", "lon", (F.col("level") + 1).alias("level"), F.col("row").alias("up_row"), F.col("col").alias("up_col"))
+        met = live.where("is_leaf").unionByName(bounded(inner.join(down, ["level", "up_row", "up_col"])))
+        best = met.groupBy("point").agg(F.min("most").alias("best"))
+        live = write_shared(met.join(best, "point").where("least <= best").select(*columns), "pyramid-live")
+        if live.where("not is_leaf").isEmpty():
+            break
+    dx, dy = (F.col("n_lon") - F.col("lon")) * squeeze, F.col("n_lat") - F.col("lat")
+    best = live.join(leaves, ["level", "row", "col"]).groupBy("point").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), "node")).alias("best"))
+    return write_shared(points.join(best, "point", "left").select(*points.columns, F.col("best.node").alias("node")), "nearest-far", keep=True)
 
 
 def _nearest_in_buckets(points: DataFrame, nodes: DataFrame, radius_m: float) -> DataFrame:

@@ -204,7 +204,7 @@ TWINS = {
     "p4_maxspeed": "select way_id as id, case way_id % 4 when 0 then 40.0 when 1 then 35.0 end::double as limit_kmh from fx_ways",
     "p8_in_bbox": f"select node_id, lat between {_BOX['lat_min']!r}::double and {_BOX['lat_max']!r}::double and lon between {_BOX['lon_min']!r}::double and {_BOX['lon_max']!r}::double as inside from fx_nodes",
     "p9_in_boxes": "select distinct point, zone_id from box_hits",
-    "p10_edge_weights": f"select metric, slot, count(*) as edges, {_r('total', 3)} from (select metric, slot, w, sum(w) over (partition by metric, slot) as total from weights) x group by metric, slot, total",
+    "p10_edge_weights": f"select metric, slot, src, dst, {_r('w')} from weights",
     "p11_effective_slots": "select point, metric, coalesce(fixed_slot, slot_out) as slot_out, coalesce(fixed_slot, slot_back) as slot_back from fx_points cross join metrics",
     "p12_default_points": "select point, name, trips, slot_out, slot_back from named",
     "p13_active_points": "select scenario, point, trips from points where trips > 0 and node is not null",
@@ -387,15 +387,18 @@ def whole_sql() -> dict[str, str]:
     texts["v7_formatted_costs"] = """select scenario, metric, case when unit = 'km' and v < 10 then format('{:.1f}', v) || ' km' when unit = 'km' then floor(v + 0.5)::bigint || ' km' when v < 60 then round(v)::bigint || ' min'
       when floor(v - 60 * h + 0.5) = 0 then h || ' h' else h || ' h ' || floor(v - 60 * h + 0.5)::bigint || ' min' end as text
       from (select b.scenario, b.metric, unit, round(best_cost, 3) as v, floor(round(best_cost, 3) / 60)::bigint as h from best b join metrics m on m.metric = b.metric) x"""
-    channels = ", ".join(f"sum(floor(a[{k}] + (b[{k}] - a[{k}]) * (x - i) + 0.5))::bigint as {c}" for k, c in enumerate("rgb", 1))
+    channels = ", ".join(f"floor(a[{k}] + (b[{k}] - a[{k}]) * (x - i) + 0.5)::bigint as {c}" for k, c in enumerate("rgb", 1))
     ramp = [list(c) for c in config.HEAT_RAMP]
-    texts["v5_heat_map"] = f"""select scenario, metric, {channels} from (select scenario, metric, x, i, ramp[i + 1] as a, ramp[i + 2] as b from
-      (select *, least({len(ramp) - 2}, floor(x))::int as i, {ramp} as ramp from (select c.scenario, c.metric, least(1.0::double, greatest(0.0::double, (round(cost, 6) - low) / span)) * {len(ramp) - 1} as x
-      from cost c join ({texts["v4_heat_scale"]}) e on e.scenario = c.scenario and e.metric = c.metric) p) q) z group by scenario, metric"""
+    texts["v5_heat_map"] = f"""select scenario, metric, cell, {channels} from (select scenario, metric, cell, x, i, ramp[i + 1] as a, ramp[i + 2] as b from
+      (select *, least({len(ramp) - 2}, floor(x))::int as i, {ramp} as ramp from (select c.scenario, c.metric, c.cell, least(1.0::double, greatest(0.0::double, (round(cost, 6) - low) / span)) * {len(ramp) - 1} as x
+      from cost c join ({texts["v4_heat_scale"]}) e on e.scenario = c.scenario and e.metric = c.metric) p) q) z"""
     texts["p7_quantised_edges"] = """select way, stretch, seg, greatest(1, least(65535, round_even(length_m / (kmh / 3.6) * 10, 0)))::int as base_ds, greatest(1, least(65535, round_even(length_m, 0)))::int as whole_m from
       (select g.*, stretch::int as stretch, seg::int as seg from segments g join (select c.way, c.pos, stretch, row_number() over (partition by c.way, stretch order by c.pos) - 1 as seg from cuts c
       join (select way, pos, coalesce(sum((shared and pos > 0)::int) over (partition by way order by pos rows between unbounded preceding and 1 preceding), 0) as stretch from steps s join usage u on u.ref = s.ref) t
       on t.way = c.way and t.pos = c.pos) n on n.way = g.way and n.pos = g.pos) y"""
+    texts["r4_stored_fields"] = """select w.metric, w.slot, w.way, w.source as node, case when e.source is null then 2 else 1 end as run, count(*) as reached from wanted w join trip_costs c on c.metric = w.metric and c.slot = w.slot and c.way = w.way and c.source = w.source
+      left join (select distinct metric, slot_out as slot, node as source, 'out' as way from legs where point % 2 = 0 union select distinct metric, slot_back, node, 'back' from legs where point % 2 = 0) e
+      on e.metric = w.metric and e.slot = w.slot and e.way = w.way and e.source = w.source group by all"""
     texts["r6_od_routes"] = f"select slot, pair, {_r('time_s ff0 ff1 ff2')}, crossings from od_routes"
     texts["k8_design_rows"] = f"select r.slot, r.pair, 1.0::double as one, {_r('ff0 ff1 ff2')}, crossings::double as crossings, round(minutes * 60, 6) as observed_s from od_routes r join clean c on c.slot = r.slot and c.pair = r.pair"
     texts["k12_unused_measurements"] = """select pair, null::varchar as slot, count(*) as measurements from clean where pair not in (select pair from od_pairs) group by pair

@@ -18,6 +18,7 @@ from travelfields.operators import spatial as D
 from travelfields.operators import streets as G
 from travelfields.operators import surfaces as V
 from travelfields.operators.components import connected_components
+from travelfields.operators.field_store import FieldStore
 from travelfields.operators.indexing import dense_index
 from travelfields.sources import synthetic as S
 from travelfields.sources import extract as X
@@ -101,11 +102,23 @@ def _points(spark, sf_dir):
     return _once(spark, sf_dir, "points", build)
 
 
-def _fields(spark, sf_dir):
+def _store(spark, sf_dir):
+    """A store with the fields of all active points."""
+
     def build():
         g = graph(spark, sf_dir)
-        links, fields = R.point_fields(C.active_points(_points(spark, sf_dir)), g.edges, g.nodes, S.slot_params(spark), R.metric_catalogue(spark))
-        return write_shared(links, "q-links"), write_shared(fields, "q-fields")
+        store = FieldStore(f"{shared_dir(spark)}/q-store-{uuid.uuid4().hex}", g.edges, g.nodes, S.slot_params(spark), R.metric_catalogue(spark))
+        store.extend(C.active_points(_points(spark, sf_dir)))
+        return store
+
+    return _once(spark, sf_dir, "store", build)
+
+
+def _fields(spark, sf_dir):
+    def build():
+        store = _store(spark, sf_dir)
+        links = write_shared(store.links(C.active_points(_points(spark, sf_dir))), "q-links")
+        return links, store.fields(links)
 
     return _once(spark, sf_dir, "fields", build)
 
@@ -248,8 +261,7 @@ def p9_in_boxes(spark, sf_dir):
 
 def p10_edge_weights(spark, sf_dir):
     g = graph(spark, sf_dir)
-    w = R.edge_weights(g.edges, g.nodes, S.slot_params(spark), R.metric_catalogue(spark))
-    return _q(w.groupBy("metric", "slot").agg(F.count("*").alias("edges"), F.sum("w").alias("total")), 3)
+    return _q(R.edge_weights(g.edges, g.nodes, S.slot_params(spark), R.metric_catalogue(spark)))
 
 
 def p11_effective_slots(spark, sf_dir):
@@ -479,6 +491,17 @@ def r2_r4_point_fields(spark, sf_dir):
     return _q(out.select("point", "metric", "t0_out", "t0_back", "reached_out", "reached_back", "total_out", "total_back"), 3)
 
 
+def r4_stored_fields(spark, sf_dir):
+    """Which run of a store routed each field: points with even numbers come first, then all, which route what is missing, then all again, which route nothing."""
+    g = graph(spark, sf_dir)
+    store = FieldStore(f"{shared_dir(spark)}/q-runs-{uuid.uuid4().hex}", g.edges, g.nodes, S.slot_params(spark), R.metric_catalogue(spark))
+    points = C.active_points(_points(spark, sf_dir))
+    for part in (points.where("point % 2 = 0"), points, points):
+        store.extend(part)
+    reached = store.fields(store.links(points)).groupBy("field").agg(F.count("*").alias("reached"))
+    return store.keys().join(reached, "field").select("metric", "slot", "way", "node", "run", "reached")
+
+
 def r5_reach_field(spark, sf_dir):
     """From every point, in each metric and the slots that a trip out has in it."""
     g, metrics = graph(spark, sf_dir), R.metric_catalogue(spark)
@@ -529,9 +552,10 @@ def c6_traffic_share(spark, sf_dir):
 
 
 def c7_reweighted_optimum(spark, sf_dir):
-    links, fields = _fields(spark, sf_dir)
+    store = _store(spark, sf_dir)
     new = _points(spark, sf_dir).select("scenario", "point", (F.col("point") % 5 + 1).alias("trips"))
-    return _q(C.optimum(C.weekly_cost(C.reweight(links, new), fields, _cells(spark, sf_dir).where("node is not null"))))
+    links = write_shared(C.reweight(store.links(C.active_points(_points(spark, sf_dir))), new), "q-reweighted")
+    return _q(C.optimum(C.weekly_cost(links, store.fields(links), _cells(spark, sf_dir).where("node is not null"))))
 
 
 def c8_points_bbox(spark, sf_dir):
@@ -568,7 +592,7 @@ def v4_heat_scale(spark, sf_dir):
 
 def v5_heat_map(spark, sf_dir):
     cost = _q(_cost(spark, sf_dir), 6)
-    return V.heat_map(cost, _q(V.heat_scale(cost))).groupBy("scenario", "metric").agg(F.sum("r").alias("r"), F.sum("g").alias("g"), F.sum("b").alias("b"))
+    return V.heat_map(cost, _q(V.heat_scale(cost))).select("scenario", "metric", "cell", *(F.col(c).cast("long").alias(c) for c in "rgb"))
 
 
 def v6_reach_summary(spark, sf_dir):
