@@ -246,7 +246,7 @@ TWINS = {
     "c3_summary": f"""select b.scenario, b.metric, b.cell, zone_id, trips, round(best_cost, 6) as best_cost, round(best_cost / greatest(1, trips), 6) as cost_per_trip, round(pick - best_cost, 6) as saving from best b join cells c on c.cell = b.cell
       join ({_PICK.format(keys='scenario, metric', share=0.5)}) m on m.scenario = b.scenario and m.metric = b.metric join (select scenario, sum(trips)::bigint as trips from points where trips > 0 group by scenario) t on t.scenario = b.scenario""",
     "c4_breakdown": f"select scenario, metric, place, point, trips, {_r('out back weekly total')} from breakdown",
-    "c5_compare_places": """select t.scenario, t.metric, place, round(total, 6) as total, round(best_cost, 6) as best_cost, round(total - best_cost, 6) as difference, total - best_cost <= 0.5 as is_good
+    "c5_compare_places": """select t.scenario, t.metric, place, round(total, 6) as total, round(best_cost, 6) as best_cost, round(total - best_cost, 6) + 0::double as difference, total - best_cost <= 0.5 as is_good
       from (select distinct scenario, metric, place, total from breakdown) t join best b on b.scenario = t.scenario and b.metric = t.metric""",
     "c6_traffic_share": """select a.scenario, a.cell, round(a.cost, 6) as time_cost, round(b.cost, 6) as dawn_cost, round(a.cost - b.cost, 6) as traffic from cost a join cost b on b.scenario = a.scenario and b.cell = a.cell
       where a.metric = 'tiempo' and b.metric = 'flujo_libre'""",
