@@ -114,7 +114,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Fitted models, Newton steps and tokenizers have no SQL; tests compare stages with brute force.
+#: Fitted models, Newton steps and tokenizers have no SQL; tests check what each stage keeps, on the smallest tables and on awkward rows.
 ORACLE_SQL = None
 
 

@@ -231,6 +231,18 @@ def test_nearest_node_from_far_off_and_over_a_dense_centre(spark, monkeypatch):
     assert {r.node for r in D.nearest_any(table, grid.limit(0)).collect()} == {None}
 
 
+def test_nearest_within_over_a_dense_centre(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    nodes = [(k, -33.45 + float(a), -70.65 + float(b)) for k, (a, b) in enumerate(rng.normal(0, 0.003, (400, 2)))] + [(500, -33.45, -70.65), (501, -33.45, -70.65), (502, -33.3, -70.6)]
+    points = [(k, -33.45 + float(a), -70.65 + float(b)) for k, (a, b) in enumerate(rng.normal(0, 0.006, (150, 2)))] + [(200, -33.45, -70.65), (201, 0.0, 0.0)]
+    table, grid = spark.createDataFrame(points, "point long, lat double, lon double"), spark.createDataFrame(nodes, "node long, lat double, lon double")
+    want = {r.point: (r.node, r.distance_m) for r in D.nearest_within(table, grid).collect()}
+    monkeypatch.setattr(D, "BUCKET_NODES", 10)
+    monkeypatch.setattr(D, "LEAF_NODES", 4)
+    assert {r.point: (r.node, r.distance_m) for r in D.nearest_within(table, grid).collect()} == want
+    assert want[200][0] == 500 and want[201] == (None, None) and sum(n is None for n, _ in want.values()) > 3
+
+
 def test_stamps_equal_naive_ones(spark):
     rng = np.random.default_rng(6)
     box = {"lat_min": -33.5, "lat_max": -33.48, "lon_min": -70.7, "lon_max": -70.67}

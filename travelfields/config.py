@@ -37,9 +37,8 @@ PRIORS = {
 BOUNDS = ((30.0, 240.0), (0.7, 6.0), (0.7, 6.0), (0.7, 6.0), (0.0, 60.0))
 RIDGE, HUBER_S, ROBUST_PASSES, ROUTE_PASSES, DAMPING = 0.15, 240.0, 3, 5, 0.6
 
+# The graph's box, spacings and radii, bands, trips and default slots.
 GRAPH_BBOX = {"lat_min": -33.52, "lat_max": -33.15, "lon_min": -70.82, "lon_max": -70.44}
-ANALYSIS_ZONES = ("Lo Barnechea", "Las Condes", "Vitacura", "Providencia", "La Reina", "Ñuñoa")
-EXTRA_BOXES = (("Chicureo - Chamisero", -33.325, -33.255, -70.710, -70.565),)
 GRID_SPACING_M, MAX_SEGMENT_M, SNAP_RADIUS_M, SNAP_BUCKET_M = 150.0, 350.0, 300.0, 400.0
 RASTER_CELL_M, RASTER_RADIUS, BANDS, HEAT_QUANTILE = 120.0, 2, (15.0, 25.0, 40.0), 0.95
 MAX_TRIPS, DEFAULT_TRIPS = 14, 4
@@ -55,6 +54,7 @@ METRICS = (
 # Heat-map colours from low to high cost.
 HEAT_RAMP = ((0, 104, 55), (49, 163, 84), (166, 217, 106), (255, 255, 191), (253, 174, 97), (244, 109, 67), (165, 0, 38))
 
+# Columns of the measurement template, and those that people fill in.
 MEASUREMENT_COLUMNS = ("id_par", "franja", "dia", "hora_salida", "origen", "destino", "minutos", "minutos_min", "minutos_max", "notas")
 TYPED_COLUMNS = ("minutos", "minutos_min", "minutos_max", "notas")
 

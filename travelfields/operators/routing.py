@@ -334,9 +334,17 @@ def effective_slots(points: DataFrame, metrics: DataFrame) -> DataFrame:
     return both.withColumn("slot_out", F.coalesce("fixed_slot", "slot_out")).withColumn("slot_back", F.coalesce("fixed_slot", "slot_back")).drop("fixed_slot")
 
 
+#: The slot under which fields of a metric that doesn't depend on the slot are kept.
+ANY_SLOT = "-"
+
+
+def _slot_of_field(slot: str) -> Column:
+    return F.when(F.col("uses_time"), F.col(slot)).otherwise(F.lit(ANY_SLOT)).alias(slot)
+
+
 def wanted_fields(points: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(metric, slot, way, node): the fields that active points need, each once."""
-    used = effective_slots(points, metrics)
+    """(metric, slot, way, node): the fields that active points need, each once, and once for all slots where they don't matter."""
+    used = effective_slots(points, metrics).select("metric", "node", _slot_of_field("slot_out"), _slot_of_field("slot_back"))
     return used.select("metric", F.col("slot_out").alias("slot"), F.lit("out").alias("way"), "node").union(used.select("metric", "slot_back", F.lit("back"), "node")).distinct()
 
 
@@ -352,8 +360,13 @@ def number_fields(wanted: DataFrame) -> DataFrame:
 def two_way_weights(keyed: DataFrame, edges: DataFrame, nodes: DataFrame, slots: DataFrame, metrics: DataFrame) -> DataFrame:
     """(weight_id, src, dst, w) of the weightings in keyed. Outbound (cell to point) fields run over reversed edges under the forward rule, so a
     junction's delay is charged at the other end of each edge."""
-    both = edge_weights(edges, nodes, slots, metrics).withColumn("way", F.lit("back")).unionByName(edge_weights(reverse_edges(edges), nodes, slots, metrics).withColumn("way", F.lit("out")))
-    both = both.withColumn("weight_id", F.concat_ws("|", "metric", "slot", "way"))
+    timed, plain = metrics.where("uses_time"), metrics.where("not uses_time")
+    one = slots.limit(1).withColumn("slot", F.lit(ANY_SLOT))
+    both = None
+    for way, arcs in (("back", edges), ("out", reverse_edges(edges))):
+        for w in (edge_weights(arcs, nodes, slots, timed), edge_weights(arcs, nodes, one, plain)):
+            w = w.withColumn("weight_id", F.concat_ws("|", "metric", "slot", F.lit(way)))
+            both = w if both is None else both.unionByName(w)
     # At most metrics x slots x 2 rows are broadcast.
     return both.join(F.broadcast(keyed.select("weight_id").distinct()), "weight_id", "left_semi").select("weight_id", "src", "dst", "w")
 
@@ -363,8 +376,8 @@ def field_links(points: DataFrame, keyed: DataFrame, slots: DataFrame, metrics:
     links = effective_slots(points, metrics)
     t0 = slots.select("slot", "t0_s")
     for way in ("out", "back"):
-        ids = keyed.where(F.col("way") == way).select("metric", F.col("slot").alias(f"slot_{way}"), "node", F.col("field").alias(f"field_{way}"))
-        links = links.join(ids, ["metric", f"slot_{way}", "node"]).join(F.broadcast(t0.select(F.col("slot").alias(f"slot_{way}"), exact(F.col("t0_s")).alias(f"t0_{way}"))), f"slot_{way}")
+        ids = keyed.where(F.col("way") == way).select("metric", F.col("slot").alias("of_field"), "node", F.col("field").alias(f"field_{way}"))
+        links = links.withColumn("of_field", _slot_of_field(f"slot_{way}")).join(ids, ["metric", "of_field", "node"]).drop("of_field").join(F.broadcast(t0.select(F.col("slot").alias(f"slot_{way}"), exact(F.col("t0_s")).alias(f"t0_{way}"))), f"slot_{way}")
         links = links.withColumn(f"t0_{way}", F.when(F.col("uses_time"), F.col(f"t0_{way}")).otherwise(F.lit(0.0)))
     return links.select("scenario", "point", "metric", "trips", "divisor", "field_out", "field_back", "t0_out", "t0_back")
 

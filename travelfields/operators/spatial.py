@@ -7,7 +7,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -162,7 +162,7 @@ def nearest_within(points: DataFrame, nodes: DataFrame, radius_m: float = config
 
     Nodes are keyed by square buckets, points look into 3 x 3 of them by an equi-join, and the minimum is combined before the
     shuffle. Ties go to the first by bucket row, bucket column and node. One longitude scale, of the mean latitude of all
-    nodes, is used."""
+    nodes, is used. Where a bucket holds more than BUCKET_NODES nodes, points go down a pyramid of cells instead, which gives the same."""
     if radius_m >= bucket_m:
         raise ValueError("the radius must be smaller than a bucket")
     mean = nodes.agg(F.avg("lat")).first()[0] or 0.0
@@ -170,6 +170,10 @@ def nearest_within(points: DataFrame, nodes: DataFrame, radius_m: float = config
     row = lambda c: F.floor(F.col(c) * config.M_PER_DEG / bucket_m).cast("long")
     col = lambda c: F.floor(F.col(c) * scale / bucket_m).cast("long")
     grid = nodes.select(F.col("node"), F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon")).withColumn("row", row("n_lat")).withColumn("col", col("n_lon"))
+    if (grid.groupBy("row", "col").count().agg(F.max("count")).first()[0] or 0) > BUCKET_NODES:
+        with scratch():
+            far = _nearest_down_pyramid(points, nodes, F.lit(scale), F.lit(config.M_PER_DEG), radius_m * radius_m, [row("n_lat").alias("row"), col("n_lon").alias("col")])
+            return write_shared(far.withColumn("distance_m", F.sqrt("d2")).drop("d2"), "nearest-within", keep=True)
     offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
     asked = points.select("point", "lat", "lon", offsets.alias("o")).select("point", "lat", "lon", (row("lat") + F.col("o.a")).alias("row"), (col("lon") + F.col("o.b")).alias("col"))
     dy, dx = (F.col("n_lat") - F.col("lat")) * config.M_PER_DEG, (F.col("n_lon") - F.col("lon")) * scale
@@ -191,7 +195,7 @@ def nearest_any(points: DataFrame, nodes: DataFrame) -> DataFrame:
         left = found.where("node is null").drop("node")
         if left.isEmpty():
             return found
-        return found.where("node is not null").unionByName(_nearest_down_pyramid(left, nodes))
+        return found.where("node is not null").unionByName(_nearest_down_pyramid(left, nodes, F.cos(F.radians("lat")), F.lit(1.0)).drop("d2"))
 
 
 def _cell_pyramid(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -210,15 +214,15 @@ def _cell_pyramid(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells, write_shared(spread.join(leaves, ["level", "row", "col"], "left_semi"), "pyramid-leaves")
 
 
-def _nearest_down_pyramid(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """nearest_any level by level: of a point's cells those go on whose nearest corner is no farther than the farthest corner of its best cell."""
+def _nearest_down_pyramid(points: DataFrame, nodes: DataFrame, lon_scale: Column, lat_scale: Column, reach: float = math.inf, ties: list[Column] | None = None) -> DataFrame:
+    """points with node and d2 of the nearest node, level by level: of a point's cells those go on whose nearest corner is no farther than the farthest corner of its best cell.
+    Differences of degrees are scaled by lon_scale and lat_scale; nodes with d2 over `reach` don't count; equal d2 go by ties (of n_lat, n_lon) and then by node."""
     cells, leaves = _cell_pyramid(nodes)
-    squeeze = F.cos(F.radians("lat"))
     far = lambda c: F.greatest(F.abs(F.col(f"{c}_min") - F.col(c)), F.abs(F.col(f"{c}_max") - F.col(c)))
     near = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}_min") - F.col(c), F.col(c) - F.col(f"{c}_max"))
-    square = lambda f: (f("lon") * squeeze) * (f("lon") * squeeze) + f("lat") * f("lat")
+    square = lambda dx, dy: (dx * lon_scale) * (dx * lon_scale) + (dy * lat_scale) * (dy * lat_scale)
     columns = ["point", "lat", "lon", "level", "row", "col", "is_leaf", "least", "most"]
-    bounded = lambda df: df.withColumn("least", square(near)).withColumn("most", square(far)).select(*columns)
+    bounded = lambda df: df.withColumn("least", square(near("lon"), near("lat"))).withColumn("most", square(far("lon"), far("lat"))).where(F.col("least") <= reach).select(*columns)
     live = bounded(points.select("point", "lat", "lon").join(F.broadcast(cells.where("level = 0")), how="cross"))  # one cell at most
     for _ in range(LEVELS):
         down = cells.select("level", "row", "col", "is_leaf", F.col("up_row"), F.col("up_col"), "lat_min", "lat_max", "lon_min", "lon_max")
@@ -228,9 +232,10 @@ def _nearest_down_pyramid(points: DataFrame, nodes: DataFrame) -> DataFrame:
         live = write_shared(met.join(best, "point").where("least <= best").select(*columns), "pyramid-live")
         if live.where("not is_leaf").isEmpty():
             break
-    dx, dy = (F.col("n_lon") - F.col("lon")) * squeeze, F.col("n_lat") - F.col("lat")
-    best = live.join(leaves, ["level", "row", "col"]).groupBy("point").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), "node")).alias("best"))
-    return write_shared(points.join(best, "point", "left").select(*points.columns, F.col("best.node").alias("node")), "nearest-far", keep=True)
+    d2 = square(F.col("n_lon") - F.col("lon"), F.col("n_lat") - F.col("lat")).alias("d2")
+    best = live.join(leaves, ["level", "row", "col"]).select("point", d2, F.struct(d2, *(ties or []), "node").alias("order")).where(F.col("d2") <= reach)
+    best = best.groupBy("point").agg(F.min("order").alias("best"))
+    return write_shared(points.join(best, "point", "left").select(*points.columns, F.col("best.node").alias("node"), F.col("best.d2").alias("d2")), "nearest-far", keep=True)
 
 
 def _nearest_in_buckets(points: DataFrame, nodes: DataFrame, radius_m: float) -> DataFrame:

@@ -281,8 +281,8 @@ TWINS = {
     "s2_merged_nodes": f"select node_id as id, {_r('lat lon', 7)} from fx_nodes",
     "s2_merged_ways": """select w.way_id as id, highway, oneway, string_agg(ref::varchar, ',' order by pos) as nodes from fx_ways w join fx_refs r on r.way_id = w.way_id group by all""",
     "s3_boundary_names": "select 'zone ' || (node_id % 7) as name, count(*) as relations from fx_nodes group by 1",
-    "d2_assembled_rings": """select node_id as relation_id, 0 as ring_id, k, round(lat + dy, 7) as lat, round(lon + dx, 7) as lon
-      from fx_nodes cross join (values (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) v(k, dy, dx)""",
+    "d2_assembled_rings": """select node_id as relation_id, ring_id, k, round(lat + dy, 7) as lat, round(lon + dx, 7) as lon
+      from fx_nodes join (values (0, 0, 0, 0, 0), (0, 0, 1, 1, 0), (0, 0, 2, 1, 1), (0, 0, 3, 0, 1), (0, 0, 4, 0, 0), (1, 0, 0, 0, 0), (1, 0, 1, 0, 1), (1, 0, 2, 1, 1), (1, 0, 3, 0, 0), (2, 0, 0, 3, 1), (2, 0, 1, 2, 2), (2, 0, 2, 0, 2), (2, 0, 3, 0, 0), (2, 0, 4, 2, 0), (2, 0, 5, 3, 1), (3, 0, 0, 5, 5), (3, 0, 1, 5, 6), (3, 0, 2, 6, 6), (3, 0, 3, 6, 5), (3, 0, 4, 5, 5), (3, 1, 0, 0, 0), (3, 1, 1, 0, 1), (3, 1, 2, 2, 1), (3, 1, 3, 2, 0), (3, 1, 4, 0, 0)) v(shape, ring_id, k, dy, dx) on node_id % 4 = shape""",
     "s4_s5_stored_measurements": """select e.id_par, e.franja, dia, hora_salida, origen, destino, nullif(was.m, '') as minutos, nullif(was.lo, '') as minutos_min, nullif(was.hi, '') as minutos_max
       from expected e left join latest l on l.id_par = e.id_par and l.franja = e.franja""",
     "s7_stored_slots": "select s.slot, copy_of, t0_s, g0, g1, g2, d_s, n from slots s join priors p on p.slot = coalesce(copy_of, s.slot) left join (select slot, count(*) as n from clean group by slot) c on c.slot = s.slot",
@@ -396,9 +396,12 @@ def whole_sql() -> dict[str, str]:
       (select g.*, stretch::int as stretch, seg::int as seg from segments g join (select c.way, c.pos, stretch, row_number() over (partition by c.way, stretch order by c.pos) - 1 as seg from cuts c
       join (select way, pos, coalesce(sum((shared and pos > 0)::int) over (partition by way order by pos rows between unbounded preceding and 1 preceding), 0) as stretch from steps s join usage u on u.ref = s.ref) t
       on t.way = c.way and t.pos = c.pos) n on n.way = g.way and n.pos = g.pos) y"""
-    texts["r4_stored_fields"] = """select w.metric, w.slot, w.way, w.source as node, case when e.source is null then 2 else 1 end as run, count(*) as reached from wanted w join trip_costs c on c.metric = w.metric and c.slot = w.slot and c.way = w.way and c.source = w.source
-      left join (select distinct metric, slot_out as slot, node as source, 'out' as way from legs where point % 2 = 0 union select distinct metric, slot_back, node, 'back' from legs where point % 2 = 0) e
-      on e.metric = w.metric and e.slot = w.slot and e.way = w.way and e.source = w.source group by all"""
+    kept = "case when uses_time then {} else '-' end"
+    texts["r4_stored_fields"] = f"""select k.metric, k.slot, k.way, k.source as node, case when early then 1 else 2 end as run, reached from
+      (select metric, slot, way, source, bool_or(even) as early from (select metric, {kept.format('slot_out')} as slot, 'out' as way, node as source, point % 2 = 0 as even from legs
+        union all select metric, {kept.format('slot_back')}, 'back', node, point % 2 = 0 from legs) a group by all) k
+      join (select c.metric, {kept.format('c.slot')} as slot, way, source, max(n) as reached from (select metric, slot, way, source, count(*) as n from trip_costs group by all) c join metrics m on m.metric = c.metric group by all) r
+      on r.metric = k.metric and r.slot = k.slot and r.way = k.way and r.source = k.source"""
     texts["r6_od_routes"] = f"select slot, pair, {_r('time_s ff0 ff1 ff2')}, crossings from od_routes"
     texts["k8_design_rows"] = f"select r.slot, r.pair, 1.0::double as one, {_r('ff0 ff1 ff2')}, crossings::double as crossings, round(minutes * 60, 6) as observed_s from od_routes r join clean c on c.slot = r.slot and c.pair = r.pair"
     texts["k12_unused_measurements"] = """select pair, null::varchar as slot, count(*) as measurements from clean where pair not in (select pair from od_pairs) group by pair

@@ -346,8 +346,14 @@ def _extract(spark, sf_dir):
         ways, nodes = S.ways_and_nodes(spark, sf_dir)
         at = lambda dy, dx: F.struct((F.col("lat") + dy).alias("lat"), (F.col("lon") + dx).alias("lon"))
         member = lambda role, *geometry: F.struct(F.lit("way").alias("type"), F.lit(role).alias("role"), F.array(*geometry).alias("geometry"))
-        # A square in two outer pieces, the second one backwards, and a hole.
-        members = F.array(member("outer", at(0, 0), at(0, 1), at(1, 1)), member("inner", at(0.2, 0.2), at(0.2, 0.4), at(0.4, 0.4), at(0.2, 0.2)), member("", at(0, 0), at(1, 0), at(1, 1)))
+        outer = lambda *points: member("outer", *(at(*p) for p in points))
+        # A square in two outer pieces, the second one backwards, and a hole; a triangle in one piece; a pentagon in three pieces; a line that its end doesn't close, and a square.
+        shapes = (
+            (outer((0, 0), (0, 1), (1, 1)), member("inner", at(0.2, 0.2), at(0.2, 0.4), at(0.4, 0.4), at(0.2, 0.2)), member("", at(0, 0), at(1, 0), at(1, 1))),
+            (outer((0, 0), (0, 1), (1, 1), (0, 0)),), (outer((0, 0), (0, 2)), outer((3, 1), (2, 0), (0, 0)), outer((3, 1), (2, 2), (0, 2))),
+            (outer((0, 0), (0, 1), (2, 1), (2, 0)), outer((5, 5), (5, 6), (6, 6), (6, 5), (5, 5))),
+        )
+        members = F.coalesce(*(F.when(F.col("id") % len(shapes) == k, F.array(*pieces)) for k, pieces in enumerate(shapes)))
         name = F.concat(F.lit("zone "), (F.col("id") % 7).cast("string"))
         parts = [
             nodes.select(F.lit("node").alias("type"), "id", "lat", "lon"), ways.select(F.lit("way").alias("type"), "id", "nodes", "tags"),
