@@ -57,8 +57,18 @@ def test_components_match_union_find(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in parent}
+    table = spark.createDataFrame(edges, "a long, b long")
+    for by_id in (0, 3):
+        got = {r.node: r.component for r in connected_components(table, rounds_by_id=by_id).collect()}
+        assert got == {x: find(x) for x in parent}
+
+
+def test_stars_of_stars_end_in_as_many_rounds_as_they_are_deep(spark):
+    # 4,000 nodes hang from each hundredth, these from each thousandth.
+    edges = [(k, k // 1000 * 1000 if k % 100 == 0 else k // 100 * 100) for k in range(4000)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in connected_components(table, max_rounds=3, rounds_by_id=3).collect()}
+    assert got == {k: k // 1000 * 1000 for k in range(4000)}
 
 
 def _lattice(spark, n=7):

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from travelfields.shared import drop_shared, scratch, write_shared
 
 
-def _nearest_neighbour(edges: DataFrame, round_no: int) -> DataFrame:
-    """(node, rep): of each node and its neighbours the one with the least hash this round."""
+def _nearest_neighbour(edges: DataFrame, round_no: int, by_id: bool) -> DataFrame:
+    """(node, rep): of each node and its neighbours the one with the least id, or the least hash this round."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
     )
-    rank = lambda c: F.struct(F.xxhash64(F.lit(round_no), c).alias("h"), F.col(c).alias("v"))
+    rank = lambda c: F.struct((F.col(c) if by_id else F.xxhash64(F.lit(round_no), c)).alias("h"), F.col(c).alias("v"))
     return (
         both.groupBy("node")
         .agg(F.min(rank("other")).alias("best"))
@@ -21,7 +21,7 @@ def _nearest_neighbour(edges: DataFrame, round_no: int) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, rounds_by_id: int = 0) -> DataFrame:
     """Components of an undirected graph.
 
     edges has long columns a and b; loops, repeats and either direction are allowed, rows
@@ -32,12 +32,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     is contracted, which removes a constant share of its nodes whatever its shape: long
     chains take as few rounds as stars. Only aggregates with map-side combine and joins of
     written tables are used, so the hub of a huge component is split by adaptive skew
-    handling. Rounds grow with the logarithm of the nodes. The result is a written table."""
+    handling. Rounds grow with the logarithm of the nodes. The result is a written table.
+
+    In the first rounds_by_id rounds every node joins the neighbour with the least id instead. Where most nodes hang from smaller
+    ones within so many steps, as copies do from the least of their group, that ends what takes ten or more rounds by hash; on
+    chains it adds at most these rounds."""
     with scratch():
-        return write_shared(_contract(edges, max_rounds), "cc-named", keep=True)
+        return write_shared(_contract(edges, max_rounds, rounds_by_id), "cc-named", keep=True)
 
 
-def _contract(edges: DataFrame, max_rounds: int) -> DataFrame:
+def _contract(edges: DataFrame, max_rounds: int, rounds_by_id: int) -> DataFrame:
     clean = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where(
         F.col("a").isNotNull() & F.col("b").isNotNull()
     )
@@ -49,7 +53,7 @@ def _contract(edges: DataFrame, max_rounds: int) -> DataFrame:
     for round_no in range(max_rounds):
         if live.isEmpty():
             break
-        reps = write_shared(_nearest_neighbour(live, round_no), "cc-reps")
+        reps = write_shared(_nearest_neighbour(live, round_no, round_no < rounds_by_id), "cc-reps")
         maps.append(reps)
         ra = reps.select(F.col("node").alias("a"), F.col("rep").alias("ra"))
         rb = reps.select(F.col("node").alias("b"), F.col("rep").alias("rb"))
