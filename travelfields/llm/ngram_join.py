@@ -40,6 +40,8 @@ MOST_LONGS = 64
 BUCKETS = 1024
 #: How many frequent shingles are told apart when shingles are ordered; it bounds the broadcast to 2 MB.
 FREQUENT = 250_000
+#: Links go to a smaller row, through few steps: so many rounds of joining components go by row before any goes by hash.
+ROUNDS_BY_ROW = 3
 #: Waves of trees: the first proposes pairs that would join all components if they linked, the last all pairs.
 WAVES = (True, False)
 #: Roots of up to this many texts propose all their pairs in the first wave and are done.
@@ -496,8 +498,8 @@ def tree_candidates(members: DataFrame, percent: int = PERCENT, forest: bool = F
 def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components (node, component) after more links between them."""
     if comp is None:
-        return connected_components(links)
-    more = connected_components(_with(_with(links, comp, "a"), comp, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+        return connected_components(links, rounds_by_id=ROUNDS_BY_ROW)
+    more = connected_components(_with(_with(links, comp, "a"), comp, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), rounds_by_id=ROUNDS_BY_ROW)
     up = more.select(F.col("node").alias("component"), F.col("component").alias("top"))
     old = comp.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     new = more.join(comp.select("node"), "node", "left_anti")
