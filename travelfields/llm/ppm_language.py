@@ -6,7 +6,9 @@ costs an escape (method C: as likely as the context has distinct successors) and
 would have coded. Below the empty context all bytes left are equally likely. Counts are frozen after learning, so a code length depends
 on the last ORDER + 1 bytes alone and is exact: lengths are whole numbers of 2^-16 bits, whose sum doesn't depend on any order.
 
-Counts are taken over all texts learned from, in one pass with a combine in each task. The tree goes to every task; NODES and LANGUAGES bound it."""
+Counts are taken over all texts learned from, in one pass with a combine in each task, and nothing is pruned. Successors of a context of two bytes or more stand in one bucket, where
+the code lengths of all grams in the texts are worked out. Those of the NODES most frequent grams go to every task; the others are joined, so each is exact. More than LANGUAGES
+languages are further passes."""
 
 from __future__ import annotations
 
@@ -15,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from travelfields.shared import drop_shared, write_shared
+from travelfields.llm.text import row_hash
+from travelfields.operators.indexing import dense_index
+from travelfields.shared import scratch, write_shared
 
 #: Bytes of the longest context; a context and its next byte fit a long.
 ORDER = 4
-#: Deepest nodes of all trees together. Beyond it the rarest are left out, by the least power of two of their counts that fits.
+#: Grams at most whose code lengths go to every task, the most frequent ones, by the least power of two of their counts that fits; others are joined.
 NODES = 1 << 18
-#: Languages learned at most, those with the most texts; ties go to the lower name.
+#: Languages of one pass, those with the most texts first; ties go to the lower name.
 LANGUAGES = 64
+#: Counts in a bucket of contexts, on average.
+BUCKET = 200_000
 #: Bytes that are turned into numbers at once.
 CHUNK = 1 << 20
 #: Distinct contexts that a task counts before it hands them on.
@@ -88,11 +94,11 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def _count(batches):
-    """Arrow batches (lang, text) to (lang, gram, n), combined in memory of bounded size."""
+    """Arrow batches (lang, text) to (lang, gram, n), combined in memory of bounded size. Texts that aren't learned from have no lang."""
     held: dict[str, list] = {}
 
     def emit():
-        for lang in sorted(held):
+        for lang in sorted(held, key=lambda x: (x is not None, x)):
             grams, counts = _merge(held[lang])
             for at in range(0, len(grams), 1 << 17):
                 part = slice(at, at + (1 << 17))
@@ -117,15 +123,16 @@ def _count(batches):
 
 
 class ContextTree:
-    """Frozen counts of one language: for each depth the contexts and their successors as sorted numbers."""
+    """Frozen counts of one language: for each depth the contexts and their successors as sorted numbers. With short, the pairs of bytes of the
+    whole language and their counts, grams may be those of some contexts of two bytes alone."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, short: tuple[np.ndarray, np.ndarray] | None = None):
         order = np.argsort(grams)
         grams, counts = grams[order], counts[order].astype(np.int64)
         self.grams, self.counts, self.ctx, self.total, self.kinds = {}, {}, {}, {}, {}
         for depth in range(ORDER, -1, -1):
-            cut = grams & _MASK[depth + 1]
-            self.grams[depth], self.counts[depth] = _merge([(cut, counts)])
+            all_grams, n = short if short and depth < 2 else (grams, counts)
+            self.grams[depth], self.counts[depth] = _merge([(all_grams & _MASK[depth + 1], n)])
             self.ctx[depth], first = np.unique(self.grams[depth] >> 8, return_index=True)
             self.total[depth] = np.add.reduceat(self.counts[depth], first) if len(first) else first
             self.kinds[depth] = np.diff(np.append(first, len(self.grams[depth])))
@@ -168,15 +175,11 @@ class ContextTree:
         return np.rint(cost * _UNIT).astype(np.int32)
 
 
-class LanguageModel:
-    """Trees of all languages, and the code lengths of all grams that any of them knows in one hashed table."""
+class CodeTable:
+    """Code lengths (grams, languages) of known grams, by hash."""
 
-    def __init__(self, trees: dict[str, ContextTree], texts: dict[str, int]):
-        self.langs, self.trees = sorted(trees), trees
-        total = sum(texts.values())
-        self.prior = np.array([round(-np.log2(texts[x] / total) * _UNIT) for x in self.langs], np.int64)
-        self.known = np.unique(np.concatenate([trees[x].grams[ORDER] for x in self.langs])) if trees else np.zeros(0, np.int64)
-        self.cost = self._bits(self.known)
+    def __init__(self, known: np.ndarray, cost: np.ndarray):
+        self.known, self.cost = known, cost
         self.shift = 64 - max(8, int(len(self.known)).bit_length() + 2)
         self.slots = np.full(1 << (64 - self.shift), -1, np.int32)
         left, step = np.arange(len(self.known)), 0
@@ -190,13 +193,8 @@ class LanguageModel:
         mixed = (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)
         return (mixed.astype(np.int64) + step) & (len(self.slots) - 1)
 
-    def _bits(self, grams: np.ndarray) -> np.ndarray:
-        return np.stack([self.trees[x].bits(grams) for x in self.langs], 1)
-
-    def bits(self, grams: np.ndarray) -> np.ndarray:
-        """(grams, languages) code lengths."""
-        if not len(self.known):
-            return self._bits(grams)
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Where each gram is in known, -1 if it isn't."""
         at = np.full(len(grams), -1, np.int32)
         left, step = np.arange(len(grams)), 0
         asked = grams
@@ -206,50 +204,161 @@ class LanguageModel:
             at[left[hit]] = got[hit]
             go = (got >= 0) & ~hit
             left, asked, step = left[go], asked[go], step + 1
-        out = self.cost[at]
+        return at
+
+
+class LanguageModel:
+    """Trees of all languages, and the code lengths of all grams that any of them knows in one table."""
+
+    def __init__(self, trees: dict[str, ContextTree], texts: dict[str, int]):
+        self.langs, self.trees = sorted(trees), trees
+        self.prior = prior_bits([texts[x] for x in self.langs], sum(texts.values()))
+        known = np.unique(np.concatenate([trees[x].grams[ORDER] for x in self.langs])) if trees else np.zeros(0, np.int64)
+        self.table = CodeTable(known, self._bits(known))
+
+    def _bits(self, grams: np.ndarray) -> np.ndarray:
+        return np.stack([self.trees[x].bits(grams) for x in self.langs], 1)
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """(grams, languages) code lengths."""
+        if not len(self.table.known):
+            return self._bits(grams)
+        at = self.table.find(grams)
+        out = self.table.cost[at]
         new = np.flatnonzero(at < 0)
         if len(new):
             kinds, back = np.unique(grams[new], return_inverse=True)
             out[new] = self._bits(kinds)[back]
         return out
 
-    def score(self, batch: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray]:
-        """(language, confidence, bits of that language) of each row (text, has_letter)."""
-        data, starts, ends = _bytes_of(batch.column("text"))
-        total = np.tile(self.prior, (len(starts), 1))
-        for texts, grams, offsets in _grams(data, starts, ends):
-            total[texts] += np.add.reduceat(self.bits(grams), offsets, axis=0, dtype=np.int64)
-        best = total.argmin(1)  # the lowest name of equals
-        least = total[np.arange(len(best)), best]
-        share = 1 / np.exp2(-np.minimum((total - least[:, None]) / _UNIT, 1000)).sum(1)
-        letters = batch.column("has_letter").to_numpy(zero_copy_only=False).astype(bool)
-        names = [self.langs[k] if has else UNKNOWN for k, has in zip(best, letters)]
-        return names, np.where(letters, share, 0.0), np.where(letters, least / _UNIT, 0.0)
-
-
-def learn(docs: DataFrame) -> LanguageModel | None:
-    """The model of docs (lang, text); rows without a lang are left out. None if nothing is left. What comes to the driver is the
-    bounded tree."""
-    rows = docs.where(F.col("lang").isNotNull()).select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    few = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    texts = {r["lang"]: r["n"] for r in few.collect()}
-    if not texts:
-        return None
-    asked = rows.where(F.col("lang").isin(*texts))
-    counted = write_shared(asked.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ppm-counts")
-    sizes = {r["b"]: r["k"] for r in counted.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("k")).collect()}
+
+def prior_bits(texts: list[int], total: int) -> np.ndarray:
+    """Code length of each language's name, in 2^-16 bits."""
+    return np.array([round(-np.log2(n / total) * _UNIT) for n in texts], np.int64)
+
+
+def _write_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((lang, gram, n) of all texts, lang null where they aren't learned from; (gram, uses) over all), written tables."""
+    text = F.coalesce("text", F.lit("")).alias("text")
+    counted = rows.select(F.when(~F.col("held_out"), F.col("lang")).alias("lang"), text).mapInArrow(_count, "lang string, gram long, n long")
+    counted = write_shared(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ppm-counts")
+    return counted, write_shared(counted.groupBy("gram").agg(F.sum("n").alias("uses")), "ppm-grams")
+
+
+def _code_lengths(counted: DataFrame, grams: DataFrame, langs: list[str]) -> DataFrame:
+    """(gram, uses, bits array<int>) of all grams, by langs, a written table. A bucket holds all counts behind some contexts of two bytes; of shorter contexts
+    every bucket has all counts, 65,536 a language at most."""
+    spark = counted.sparkSession
+    codes = spark.createDataFrame([(x, k) for k, x in enumerate(langs)], "lang string, code int")
+    learned = counted.join(F.broadcast(codes), "lang").select("code", "gram", "n")
+    pairs = learned.groupBy("code", F.col("gram").bitwiseAND(_MASK[2]).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
+    short = []
+    for k in range(len(langs)):
+        mine = pairs[pairs["code"] == k]
+        short.append((mine["gram"].to_numpy(np.int64), mine["n"].to_numpy(np.int64)))
+    shipped = spark.sparkContext.broadcast(short)
+
+    def lengths(table: pa.Table) -> pa.Table:
+        code, gram, n = (table.column(c).to_numpy() for c in ("code", "gram", "n"))
+        asked = code < 0
+        wanted = gram[asked]
+        out = np.stack([ContextTree(gram[code == k], n[code == k], pair).bits(wanted) for k, pair in enumerate(shipped.value)], 1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(wanted) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+        return pa.table({"gram": wanted, "uses": n[asked], "bits": lists})
+
+    both = learned.unionByName(grams.select(F.lit(-1).alias("code"), "gram", F.col("uses").alias("n")))
+    buckets = min(1 << 16, max(16, both.count() // BUCKET))
+    bucket = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(_MASK[2])), F.lit(buckets)).alias("bucket")
+    return write_shared(both.select("code", "gram", "n", bucket).groupBy("bucket").applyInArrow(lengths, "gram long, uses long, bits array<int>"), "ppm-bits")
+
+
+def _frequent(lengths: DataFrame, languages: int) -> tuple[CodeTable, int]:
+    """The table of at most NODES grams that goes to every task, and the number of uses that those grams have at least."""
+    sizes = {r["b"]: r["k"] for r in lengths.groupBy(F.floor(F.log2("uses")).alias("b")).agg(F.count("*").alias("k")).collect()}
     kept, least = 0, 0
     for b in sorted(sizes, reverse=True):
         kept += sizes[b]
         if kept > NODES:
             least = b + 1
             break
-    names = list(texts)
-    code = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(k)) for k, lang in enumerate(names))).cast("int")
-    table = counted.where(F.col("n") >= 2**least).select(code.alias("code"), "gram", "n").toPandas()
-    drop_shared(counted)
-    of = [table[table["code"] == k] for k in range(len(names))]
-    return LanguageModel({lang: ContextTree(t["gram"].to_numpy(np.int64), t["n"].to_numpy(np.int64)) for lang, t in zip(names, of)}, texts)
+    table = lengths.where(F.col("uses") >= 2**least).select("gram", "bits").toArrow()
+    lists = table.column("bits").combine_chunks()
+    values = lists.flatten().to_numpy().reshape(-1, languages) if len(lists) else np.zeros((0, languages), np.int32)
+    return CodeTable(table.column("gram").to_numpy(), values), least
+
+
+def _decide(batches, langs: list[str], prior: np.ndarray):
+    """Adds the two parts of each row's code lengths: (lang, least, weight), weight being the sum of the languages' shares over that of the best."""
+    for batch in batches:
+        total = np.tile(prior, (len(batch), 1))
+        for name in ("totals", "more"):
+            lists = batch.column(name)
+            filled = lists.is_valid().to_numpy(zero_copy_only=False)
+            if filled.any():
+                total[filled] += lists.drop_null().flatten().to_numpy().reshape(-1, len(langs))
+        best = total.argmin(1)  # the lowest name of equals
+        least = total[np.arange(len(best)), best]
+        weight = np.exp2(-np.minimum((total - least[:, None]) / _UNIT, 1000)).sum(1)
+        names = pa.array([langs[k] for k in best], pa.string())
+        own = [batch.column(c) for c in _ROW]
+        yield pa.RecordBatch.from_arrays([*own, names, pa.array(least), pa.array(weight)], [*_ROW, "lang", "least", "weight"])
+
+
+_ROW = ["id", "doc_id", "held_out", "has_letter", "h1", "h2"]
+
+
+def _score(asked: DataFrame, lengths: DataFrame, langs: list[str], prior: np.ndarray, kind: str) -> DataFrame:
+    """(id, doc_id, held_out, has_letter, h1, h2, lang, least, weight) of each row of asked, by langs. Frequent grams are summed where the text is; the others meet their code lengths in a join."""
+    frequent, least = _frequent(lengths, len(langs))
+    shipped = lengths.sparkSession.sparkContext.broadcast(frequent)
+    columns = [*_ROW, "totals", "gram", "k"]
+    types = f"id long, doc_id {kind}, held_out boolean, has_letter boolean, h1 long, h2 long"
+
+    def read(batches):
+        table = shipped.value
+        for batch in batches:
+            data, starts, ends = _bytes_of(batch.column("text"))
+            ids = batch.column("id").to_numpy()
+            total = np.zeros((len(starts), len(langs)), np.int64)
+            for texts, grams, offsets in _grams(data, starts, ends):
+                at = table.find(grams) if len(table.known) else np.full(len(grams), -1)
+                rare = np.flatnonzero(at < 0)
+                if len(table.known):
+                    bits = table.cost[at]
+                    bits[rare] = 0
+                    total[texts] += np.add.reduceat(bits, offsets, axis=0, dtype=np.int64)
+                if len(rare):
+                    of = np.searchsorted(offsets, rare, "right") - 1
+                    order = np.lexsort((grams[rare], of))
+                    of, gram = of[order], grams[rare][order]
+                    first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (gram[1:] != gram[:-1]))))
+                    k = np.diff(np.append(first, len(gram)))
+                    nothing = [pa.nulls(len(first), batch.column(c).type) for c in _ROW[1:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[texts[of[first]]]), *nothing, pa.nulls(len(first), pa.list_(pa.int64())), pa.array(gram[first]), pa.array(k.astype(np.int64))], columns)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * len(langs)), pa.array(total.ravel()))
+            own = [batch.column(c) for c in _ROW]
+            yield pa.RecordBatch.from_arrays([*own, lists, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], columns)
+
+    found = write_shared(asked.mapInArrow(read, f"{types}, totals array<long>, gram long, k long"), "ppm-read")
+    heads, rest = found.where("gram is null").drop("gram", "k"), found.where("gram is not null").select("id", "gram", "k")
+    met = rest.join(lengths.where(F.col("uses") < 2**least), "gram")
+    sums = met.groupBy("id").agg(F.array(*(F.sum(F.col("k") * F.col("bits")[j]) for j in range(len(langs)))).alias("more"))
+    both = heads.withColumn("more", F.lit(None).cast("array<long>")) if rest.isEmpty() else heads.join(sums, "id", "left")
+    return both.mapInArrow(lambda batches: _decide(batches, langs, prior), f"{types}, lang string, least long, weight double")
+
+
+def _best_of(passes: list[DataFrame]) -> DataFrame:
+    """The first pass's rows with the best language over all passes, which meet on the hash of the text."""
+    if len(passes) == 1:
+        return passes[0]
+    every = passes[0]
+    for other in passes[1:]:
+        every = every.unionByName(other)
+    every = every.select("h1", "h2", "lang", "least", "weight").distinct()
+    found = every.groupBy("h1", "h2").agg(F.min(F.struct("least", "lang")).alias("best"), F.collect_list(F.struct("least", "weight")).alias("of"))
+    part = lambda acc, x: acc + x["weight"] * F.pow(F.lit(2.0), -F.least(F.lit(1000.0), (x["least"] - F.col("best.least")) / _UNIT))
+    found = found.select("h1", "h2", "best.lang", "best.least", F.aggregate("of", F.lit(0.0), part).alias("weight"))
+    return passes[0].drop("lang", "least", "weight").join(found, ["h1", "h2"])
 
 
 def identify(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -260,16 +369,24 @@ def identify(docs: DataFrame, held_out: Column) -> DataFrame:
     share of the probability, 0 to 1. Texts that are null, empty or without a letter are `und` with score 0, and so are all if
     nothing can be learned. Repeated rows are each a row of the result; an empty table gives an empty one."""
     rows = docs.select("doc_id", "lang", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model = learn(rows.where("not held_out").select("lang", "text"))
-    asked = rows.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("has_letter"))
+    has_letter = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("has_letter")
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
-    if model is None:
-        return asked.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-
-    def predict(batches):
-        for batch in batches:
-            names, score, bits = shipped.value.score(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(bits)], ["doc_id", "held_out", "lang_pred", "score", "bits"])
-
-    return asked.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits double")
+    with scratch():
+        named = rows.where("not held_out and lang is not null").groupBy("lang").agg(F.count("*").alias("texts"))
+        ranked = named.withColumn("key", F.concat(F.lpad((F.lit(2**62) - F.col("texts")).cast("string"), 19, "0"), "lang"))
+        ranked = write_shared(dense_index(ranked, "key", "place").select("lang", "texts", F.floor(F.col("place") / LANGUAGES).alias("pass")), "ppm-languages")
+        size = ranked.agg(F.sum("texts"), F.max("pass")).first()
+        if size[0] is None:
+            return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
+        counted, grams = _write_counts(rows)
+        whole = F.coalesce("text", F.lit("")).alias("text")
+        asked = rows.select(F.monotonically_increasing_id().alias("id"), "doc_id", "held_out", whole, has_letter, *(row_hash(whole) if size[1] else (F.lit(0).cast("long").alias(h) for h in ("h1", "h2"))))
+        passes = []
+        for k in range(size[1] + 1):
+            names = sorted((r["lang"], r["texts"]) for r in ranked.where(F.col("pass") == k).collect())
+            langs = [x for x, _ in names]
+            lengths = _code_lengths(counted, grams, langs)
+            passes.append(write_shared(_score(asked, lengths, langs, prior_bits([n for _, n in names], size[0]), kind), "ppm-scored"))
+        best = write_shared(_best_of(passes), "ppm-best", keep=True)
+    of = lambda there, other: F.when(F.col("has_letter"), there).otherwise(F.lit(other))
+    return best.select("doc_id", "held_out", of(F.col("lang"), UNKNOWN).alias("lang_pred"), of(1 / F.col("weight"), 0.0).alias("score"), of(F.col("least") / _UNIT, 0.0).alias("bits"))
