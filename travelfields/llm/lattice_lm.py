@@ -33,6 +33,8 @@ COMMON_BYTES = 64
 #: Cells of a lattice batch. A word whose lattice has more is taken in chunks of so many bytes.
 CELLS = 1 << 21
 CHUNK = 1 << 14
+#: Words whose least possible probability is above 10 to the minus this are summed as probabilities, others as logarithms.
+PLAIN = 280.0
 _P = np.uint64(0x100000001B3)
 
 
@@ -48,6 +50,9 @@ class Lattice:
         self.pieces = [pieces[i] for i in order]
         self.keys = keys[order]
         self.lengths = sorted({len(p) for p in pieces})
+        # Which leading bits of a hash some piece has: most spans of a text are no piece, and end there.
+        self.some = np.zeros(1 << 20, bool)
+        self.some[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.logp = np.full(len(pieces), -np.log10(len(pieces) + 1))
         self.end = self.logp[0]
 
@@ -65,8 +70,11 @@ class Lattice:
         for k in range(1, min(size, self.lengths[-1]) + 1):
             h = (h[:, : size - k + 1] + codes[:, k - 1 :] + np.uint64(1)) * _P
             if k in self.lengths:
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                out[k] = np.where(self.keys[at] == h, at, -1)
+                maybe = np.nonzero(self.some[(h >> np.uint64(44)).astype(np.int64)])
+                asked = h[maybe]
+                at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+                out[k] = np.full(h.shape, -1)
+                out[k][maybe] = np.where(self.keys[at] == asked, at, -1)
         return out
 
     def _forward(self, spans: dict, n: int, size: int) -> np.ndarray:
@@ -80,6 +88,30 @@ class Lattice:
             alpha[:, j] = top + np.log10((10.0 ** (stack - top)).sum(0))
         return alpha
 
+    def _chances(self, spans: dict, n: int, size: int, back: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """The summed probabilities themselves of the first j bytes and, with back, of the bytes from j on, in rows by j."""
+        p = np.append(10.0**self.logp, 0.0)
+        arcs = {k: p[s.T] for k, s in spans.items() if (s >= 0).any()}
+        alpha = np.zeros((size + 1, n))
+        alpha[0] = 1.0
+        for j in range(1, size + 1):
+            for k, a in arcs.items():
+                if k <= j:
+                    alpha[j] += alpha[j - k] * a[j - k]
+        if not back:
+            return alpha, None
+        beta = np.zeros((size + 1, n))
+        beta[size] = 1.0
+        for i in range(size - 1, -1, -1):
+            for k, a in arcs.items():
+                if i + k <= size:
+                    beta[i] += beta[i + k] * a[i]
+        return alpha, beta
+
+    def _plain(self, size: int) -> bool:
+        """Whether no product of probabilities over so many bytes leaves the range of doubles."""
+        return -size * self.logp.min() < PLAIN
+
     def _arcs(self, codes: np.ndarray, first: int, last: int, by_end: bool) -> np.ndarray:
         """One row for each of the positions first..last-1, one column for each piece length: the piece that starts there or, by_end, ends behind it; else -1."""
         most = self.lengths[-1]
@@ -150,7 +182,8 @@ class Lattice:
         """log10 marginal probability of each word, with the space before it."""
         out, long = np.zeros(len(ws)), []
         for rows, codes, size in self._batches(ws, long):
-            out[rows] = self._forward(self._spans(codes), len(rows), size)[:, size]
+            spans = self._spans(codes)
+            out[rows] = np.log10(self._chances(spans, len(rows), size)[0][size]) if self._plain(size) else self._forward(spans, len(rows), size)[:, size]
         for i, codes in long:
             out[i] = self._long(codes)[0]
         return out
@@ -161,6 +194,14 @@ class Lattice:
         for rows, codes, size in self._batches(ws, long):
             n = len(rows)
             spans = self._spans(codes)
+            if self._plain(size):
+                alpha, beta = self._chances(spans, n, size, back=True)
+                share = weight[rows] / alpha[size]
+                for k, s in spans.items():
+                    r, i = np.nonzero(s >= 0)
+                    piece = s[r, i]
+                    total += np.bincount(piece, alpha[i, r] * 10.0 ** self.logp[piece] * beta[i + k, r] * share[r], len(total))
+                continue
             alpha = self._forward(spans, n, size)
             beta = np.full((n, size + 1), -np.inf)
             beta[:, size] = 0.0
