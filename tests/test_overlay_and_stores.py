@@ -321,3 +321,18 @@ def test_fits_are_optimal_and_say_so(spark):
     assert len(cert) == 2 and all(r.is_optimal for r in cert)
     with pytest.raises(ValueError):
         K.solve_box(np.array([[1.0, 0.9999], [0.9999, 1.0]]), np.array([1.0, -1.0]), np.full(2, -1e9), np.full(2, 1e9), sweeps=3)
+
+
+def test_routes_don_t_look_for_what_is_out_of_reach(spark, monkeypatch):
+    nodes, edges = _streets(spark)
+    slots = K.prior_params(spark).where("slot = 'valle'").select("slot", "g", "d_s")
+    relax, seen = R._relax, []
+
+    def counted(*args):
+        seen.append((args[1].count(), relax(*args)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(R, "_relax", counted)
+    table = spark.createDataFrame([("lost", 3, 64), ("near", 0, 1)], "pair string, origin long, target long")
+    assert [r.pair for r in R.od_routes(table, edges, nodes, slots, None).collect()] == ["near"]
+    assert seen[0][0] == 1 and seen[0][1].count() == 1
